@@ -78,6 +78,7 @@ def draw(sources: DataFrame, seed: str = "mix") -> DataFrame:
     shards = F.ceil(F.col("all_slots") / SLOTS_PER_SHARD).cast("long")
     spread = (
         quota.withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((shards - 1) / SPAN).cast("long"))))
+        .repartition("source_index", "span")
         .withColumn("shard", F.explode(F.sequence(F.col("span") * SPAN, F.least(shards, (F.col("span") + 1) * SPAN) - 1)))
         .withColumn("in_shard", F.least(F.lit(SLOTS_PER_SHARD), F.col("all_slots") - F.col("shard") * SLOTS_PER_SHARD))
     )
@@ -101,6 +102,7 @@ def slots(drawn: DataFrame, seed: str = "mix") -> DataFrame:
     number = F.col("first") + F.col("i")
     spread = (
         drawn.filter("slots > 0")
+        .repartition("source_index", "shard")  # else all slots of a source come from one task
         .withColumn("blocks", F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long"))
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
         .filter(number < F.col("blocks") * MAX_PASSES)
@@ -155,9 +157,10 @@ def mix(docs: DataFrame, keys: list[str], seed: str = "mix") -> tuple[DataFrame,
     (source_index, start) they name a document of positive size. Null sources are one source, empty documents
     (size 0) are packed but never drawn, repeated rows are documents of their own, an empty table gives empty results.
     """
+    # the slots grow with the input although they come from a few rows of sources, so their join is never a broadcast
     sources = targets(docs)
     packed = pack(docs, sources, keys)
-    return packed, slots(draw(sources, seed), seed).join(pieces(packed), ["source_index", "block"]).drop("block")
+    return packed, slots(draw(sources, seed), seed).join(pieces(packed).hint("merge"), ["source_index", "block"]).drop("block")
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
