@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import mixing, sharding
+from lectern.llm import decontam, langid, mixing, sharding, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": sharding.query,
+        "op5_language_id": langid.query,
         "op6_mixing": mixing.query,
+        "op7_decontamination": decontam.query,
+        "op10_url_filter": urlfilter.query,
     }
 
 
