@@ -94,7 +94,7 @@ def _valid(kind: str, value: Column) -> Column:
         plain = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
         return F.forall(F.split(value, "[.]"), lambda p: (F.length(plain(p)) <= 3) & (F.substring(plain(p), 1, 3).try_cast("int") <= 255))
     if kind == "card":
-        return F.length(_digits(value)).between(13, 19) & F.luhn_check(_digits(value))
+        return F.length(_digits(value)).between(13, 19) & F.call_function("luhn_check", _digits(value))
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
     return F.lit(True)
@@ -144,7 +144,7 @@ def votes(text: Column, span: Column, base: Column) -> Column:
     check = _by_kind(kind, {
         "email": _vote(F.lower(value).rlike(rf"(?:\.|dot[)\]}}]?)\x20?(?:{DOMAINS})$"), F.lit(False)),
         "ip": _vote(base | value.contains(":"), F.lit(True)),
-        "card": _vote(F.luhn_check(_digits(value)), F.lit(True)),
+        "card": _vote(F.call_function("luhn_check", _digits(value)), F.lit(True)),
         "phone": _vote(n.between(9, 15), F.lit(True)),
     })
     gazetteer = _by_kind(kind, {

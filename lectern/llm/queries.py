@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontam, langid, mixing, sharding, urlfilter
+from lectern.llm import decontam, fingerprints, htmlcut, langid, mixing, pii, sharding, simhash, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": fingerprints.query,
         "op2_sharding": sharding.query,
+        "op3_simhash": simhash.query,
+        "op4_personal_data": pii.query,
         "op5_language_id": langid.query,
         "op6_mixing": mixing.query,
         "op7_decontamination": decontam.query,
+        "op9_main_text": htmlcut.query,
         "op10_url_filter": urlfilter.query,
     }
 
