@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontam, fingerprints, htmlcut, langid, mixing, pii, sharding, simhash, urlfilter
+from lectern.llm import brown, decontam, fingerprints, htmlcut, langid, mixing, pii, sharding, simhash, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": langid.query,
         "op6_mixing": mixing.query,
         "op7_decontamination": decontam.query,
+        "op8_brown_scores": brown.query,
         "op9_main_text": htmlcut.query,
         "op10_url_filter": urlfilter.query,
     }
