@@ -1,15 +1,387 @@
-"""The registered queries of the library and the SQL that each must equal."""
+"""The registered queries of the library and the SQL that each must equal.
+
+Every query runs over whole tables. Conversations stand for chats about the document with the
+conversation's number.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import chunking, grounding, highlight, notes, retrieval, scoring, vectors
+from lectern.sources.tables import build_documents, build_index, read
+from lectern.streaming import events
+
+TOP = 12
+GAP_MINUTES = 30
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# SQL for DuckDB, whose patterns have no look-around: a mark is put where a text is to be split.
+
+
+def _tokens(c: str) -> str:
+    low = f"regexp_replace(regexp_replace(lower({c}), '([a-z가-힣])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-z가-힣])', '\\1 \\2', 'g')"
+    return f"list_filter(regexp_split_to_array(regexp_replace({low}, '[^a-z0-9가-힣\\s]+', ' ', 'g'), '\\s+'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]+$'))"
+
+
+def _block(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(replace({c}, chr(13), ''), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), E' \\n\\t')"
+
+
+def _squeeze(c: str) -> str:
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+def _sentences(c: str) -> str:
+    t = _squeeze(c)
+    for pattern, plain in (("\\b(e)\\.(g)\\.", "\\1~\\2~"), ("\\b(i)\\.(e)\\.", "\\1~\\2~")):
+        t = f"regexp_replace({t}, '{pattern}', '{plain.replace('~', chr(0xE000))}', 'gi')"
+    for pattern in ("\\b(Fig)\\.", "\\b(Eq)\\.", "\\b(Sec)\\."):
+        t = f"regexp_replace({t}, '{pattern}', '\\1{chr(0xE000)}', 'g')"
+    t = f"regexp_replace({t}, '\\b(et al)\\.', '\\1{chr(0xE000)}', 'gi')"
+    t = f"regexp_replace({t}, '([.!?])\\s+([\\[A-Z0-9(“\"])', '\\1' || chr(1) || '\\2', 'g')"
+    return f"list_filter(list_transform(string_split({t}, chr(1)), lambda s: trim(replace(s, '{chr(0xE000)}', '.'))), lambda s: s <> '')"
+
+
+def _ground(c: str) -> str:
+    t = f"trim(regexp_replace(replace({c}, chr(13), ''), '\\n{{2,}}', chr(10), 'g'), E' \\n\\t')"
+    t = f"regexp_replace({t}, '([.!?。！？])\\s+', '\\1' || chr(1), 'g')"
+    return f"list_filter(list_transform(regexp_split_to_array({t}, '\\x01|\\n+'), lambda s: {_squeeze('s')}), lambda s: length(s) >= 12)"
+
+
+@registered(f"SELECT term, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS term FROM documents) GROUP BY term")
+def tokenize_freq(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT doc_id, greatest(1, ceil(length(text) / 4))::BIGINT AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@registered(f"SELECT doc_id, md5({_block('text')}) AS digest FROM documents")
+def block_normalize(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_block(F.col("text"))).alias("digest"))
+
+
+_TITLE = "[A-Z][A-Za-z0-9_''’\\-/,:+ ]{1,60}$"
+_HEADING = f"""length(t) BETWEEN 1 AND 79 AND NOT (regexp_matches(t, '[.!?;:]$') AND length(t) > 40) AND (
+  regexp_matches(t, '(?i)^((\\d+(\\.\\d+){{0,3}}|[IVXLC]+)\\.?\\s+)?({"|".join(T.SECTION_NAMES)})\\b')
+  OR (regexp_matches(t, '^\\d+(\\.\\d+){{0,3}}\\.?\\s+{_TITLE}') AND regexp_matches(regexp_replace(t, '^\\d+(\\.\\d+){{0,3}}\\.?\\s+', ''), '[A-Za-z]{{2,}}')
+      AND len(regexp_split_to_array(regexp_replace(t, '^\\d+(\\.\\d+){{0,3}}\\.?\\s+', ''), '\\s+')) <= 10)
+  OR regexp_matches(t, '^[IVXLC]{{1,6}}\\.?\\s+{_TITLE}')
+  OR (regexp_matches(t, '^[A-Z0-9][A-Z0-9\\s\\-&/]{{2,50}}$') AND len(regexp_split_to_array(t, '\\s+')) <= 8 AND regexp_matches(t, '[A-Z]{{3,}}')))"""
+
+
+@registered(f"""SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE {_HEADING}) AS n_headings
+FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents) GROUP BY doc_id""")
+def heading_lines(spark, sf_dir):
+    """Lines of each document and how many of them look like headings."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.lines(F.col("text"))).alias("line"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(T.is_heading(F.col("line")).cast("long")).alias("n_headings"))
+
+
+def _listed(f):
+    def rows(spark, sf_dir):
+        return read(spark, sf_dir, "documents").select("doc_id", f(F.col("text")).alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", "\n")).alias("digest"))
+
+    return rows
+
+
+def _listed_sql(x: str) -> str:
+    return f"SELECT doc_id, len(x)::BIGINT AS n, md5(coalesce(array_to_string(x, chr(10)), '')) AS digest FROM (SELECT doc_id, {x} AS x FROM documents)"
+
+
+@registered(_listed_sql(f"list_filter(list_transform(regexp_split_to_array({_block('text')}, '\\n\\s*\\n+'), lambda p: trim(p, E' \\n\\t')), lambda p: p <> '')"))
+def split_paragraphs(spark, sf_dir):
+    return _listed(T.paragraphs)(spark, sf_dir)
+
+
+@registered(_listed_sql(_sentences("text")))
+def split_sentences_chunk(spark, sf_dir):
+    return _listed(T.sentences)(spark, sf_dir)
+
+
+@registered(_listed_sql(_ground("text")))
+def split_sentences_ground(spark, sf_dir):
+    return _listed(T.ground_sentences)(spark, sf_dir)
+
+
+@registered(f"""SELECT doc_id, left(CASE WHEN length(f) < 80 AND len(s) >= 2 THEN trim(f || ' ' || s[2]) ELSE f END, 320) AS anchor_text
+FROM (SELECT doc_id, s, coalesce(s[1], {_squeeze('text')}) AS f FROM (SELECT doc_id, text, {_sentences('text')} AS s FROM documents))""")
+def anchor_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.anchor(F.col("text")).alias("anchor_text"))
+
+
+@registered(f"""SELECT doc_id, lower(printf('%08x', h)) || lower(printf('%x', length(text))) AS content_hash FROM (
+  SELECT doc_id, text, list_reduce(list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT), lambda a, b: (xor(a, b) * {0x01000193}) & 4294967295, {0x811C9DC5}::BIGINT) AS h FROM documents)""")
+def content_hash(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@registered(f"SELECT page_id, md5({_squeeze("regexp_replace(html, '<[^>]+>', ' ', 'g')")}) AS digest FROM pages")
+def html_strip_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_tags(F.col("html"))).alias("digest"))
+
+
+@registered()
+def chunk_index(spark, sf_dir):
+    """All chunks of all documents; tests hold the packing against a plain model."""
+    return chunking.chunk_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@registered()
+def index_diagnostics(spark, sf_dir):
+    """Chunks of each kind, tokens and sections of each document."""
+    chunks = chunk_index(spark, sf_dir)
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias(f"n_{kind}")
+    return chunks.groupBy("doc_id").agg(
+        *map(count, ("parent", "child", "abstract")), F.sum("token_estimate").alias("tokens"), F.avg((F.col("section") == chunking.BODY).cast("double")).alias("body_share"),
+        F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", T.section_base(F.col("section")).alias("base")))), lambda s: s["base"])).alias("sections"),
+    )
+
+
+@registered(f"""SELECT doc_id, greatest(1, ceil(length(t) / 4))::BIGINT AS tokens, greatest(1, ceil(length(t) / 4)) <= 14000 AS stuff
+FROM (SELECT doc_id, {_block('text')} AS t FROM documents)""")
+def parent_tokens_stuff(spark, sf_dir):
+    """Tokens of each document and whether it fits a prompt whole."""
+    return retrieval.stuffed(chunk_index(spark, sf_dir), retrieval.RetrievalConfig().stuff_token_limit)
+
+
+_TOKS = f"toks AS (SELECT doc_id, {_tokens('text')} AS ts FROM documents)"
+_STATS = "stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks)"
+_DF = "df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM toks) GROUP BY term)"
+_RANKED = f"""WITH {_TOKS}, {_STATS}, {_DF},
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
+post AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM toks) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+raw AS (SELECT item_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (greatest(len, 1) / avgdl)))) AS score
+  FROM post JOIN df USING (term) JOIN q USING (term), stats GROUP BY ALL),
+ranked AS (SELECT item_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM raw)
+"""
+
+
+@registered(f"WITH {_TOKS}, {_DF} SELECT term, df FROM df")
+def bm25_df(spark, sf_dir):
+    return scoring.document_frequency(scoring.unit_tokens(read(spark, sf_dir, "documents"), ["doc_id"]))
+
+
+@registered(f"WITH {_TOKS}, {_STATS} SELECT n, round(avgdl, 6) AS avgdl FROM stats")
+def bm25_stats(spark, sf_dir):
+    return scoring.corpus_stats(scoring.unit_tokens(read(spark, sf_dir, "documents"), ["doc_id"])).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _benchmark_scores(spark, sf_dir, first_only=False):
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    if first_only:
+        asked = asked.join(asked.agg(F.min("query_id").alias("query_id")), "query_id", "left_semi")
+    return scoring.bm25(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], asked)
+
+
+@registered(_RANKED + f"SELECT doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= {TOP} AND item_id = (SELECT min(item_id) FROM benchmark)")
+def bm25_rank(spark, sf_dir):
+    """The TOP documents for the first benchmark passage."""
+    return scoring.top_k(_benchmark_scores(spark, sf_dir, True), ["query_id"], ["doc_id"], TOP).select("doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@registered(_RANKED + f"SELECT item_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= {TOP}")
+def bm25_multi_query(spark, sf_dir):
+    """The TOP documents for every benchmark passage."""
+    return scoring.top_k(_benchmark_scores(spark, sf_dir), ["query_id"], ["doc_id"], TOP).select(F.col("query_id").alias("item_id"), "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@registered(_RANKED + """SELECT item_id, doc_id, round((score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1e-9 ELSE max(score) OVER w - min(score) OVER w END, 6) AS score
+FROM raw WINDOW w AS (PARTITION BY item_id)""")
+def minmax_scores(spark, sf_dir):
+    """Every document that shares a term with a passage, scores scaled to 0..1 by passage."""
+    rows = _benchmark_scores(spark, sf_dir)
+    return rows.select(F.col("query_id").alias("item_id"), "doc_id", F.round(scoring.min_max(F.col("score"), W.partitionBy("query_id")), 6).alias("score"))
+
+
+@registered(f"""SELECT query, match, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, match) AS rank FROM (
+  SELECT q.vec_id AS query, e.vec_id AS match, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= {TOP}""")
+def cosine_topk(spark, sf_dir):
+    """The TOP nearest vectors of each whose number is divisible by 100, among all."""
+    rows = read(spark, sf_dir, "embeddings")
+    return vectors.nearest(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", TOP)
+
+
+def _chat_queries(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").filter("role = 'user'")
+    return said.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("conv_id").alias("doc_id"), F.col("text").alias("query"), F.lit("").alias("selection"), F.lit("").alias("bias"))
+
+
+@registered()
+def retrieve_evidence(spark, sf_dir):
+    """Evidence in the document of a conversation for each question asked in it, by ranking (no document is taken whole)."""
+    return retrieval.retrieve(chunk_index(spark, sf_dir), _chat_queries(spark, sf_dir), retrieval.RetrievalConfig(stuff_token_limit=0))
+
+
+@registered()
+def retrieve_context(spark, sf_dir):
+    """The same with short documents taken whole, as numbered passages."""
+    return retrieval.context_block(retrieval.retrieve(chunk_index(spark, sf_dir), _chat_queries(spark, sf_dir)))
+
+
+@registered()
+def sentence_corpus(spark, sf_dir):
+    return grounding.sentence_corpus(chunk_index(spark, sf_dir))
+
+
+def _claims(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    return said.select("conv_id", "turn", F.posexplode(grounding.claims(F.col("text"))).alias("claim_no", "claim"))
+
+
+def _claims_sql() -> str:
+    plain = "regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\[([^\\]]+)\\]\\([^)]*\\)', '\\1', 'g')"
+    plain = f"regexp_replace(regexp_replace({plain}, '\\[E?[0-9]+\\]', ' ', 'gi'), '\\[§[^\\]]+\\]', ' ', 'g')"
+    plain = f"trim(regexp_replace(regexp_replace({plain}, '[ \\t\\r\\f\\v]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), E' \\n\\t')"
+    bare = f"list_filter(list_transform(regexp_split_to_array(p, '\\n+'), lambda l: {_squeeze("regexp_replace(regexp_replace(l, '^\\s*[-*•·]\\s+', ''), '^\\s*[0-9]+[.)]\\s+', '')")}), lambda l: l <> '')"
+    return f"""WITH a AS (SELECT conv_id, turn, {plain} AS p FROM conversations WHERE role = 'assistant'),
+b AS (SELECT *, flatten(list_transform({bare}, lambda l: CASE WHEN length(l) <= 220 THEN [l] ELSE {_ground('l')} END)) AS s FROM a WHERE p <> ''),
+c AS (SELECT *, CASE WHEN len(s) <= 1 AND length(p) > 80 THEN s || list_filter({_ground('p')}, lambda x: NOT list_contains(s, x)) ELSE s END AS spans FROM b),
+d AS (SELECT conv_id, turn, unnest(spans) AS c, generate_subscripts(spans, 1) AS i FROM c),
+e AS (SELECT * FROM d WHERE length(c) >= 12 AND NOT (regexp_matches(c, '(?i)^(what|how|why|who|when|where|which)\\b') AND ends_with(c, '?'))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn, lower({_squeeze('c')}) ORDER BY i) = 1)
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1)::INT AS claim_no,
+  CASE WHEN length(c) > 240 THEN trim(left(c, 239)) || '…' ELSE c END AS claim FROM e"""
+
+
+@registered(_claims_sql())
+def claim_spans(spark, sf_dir):
+    """The claims of every answer."""
+    return _claims(spark, sf_dir)
+
+
+_PAIRS = f"""pairs AS (SELECT a.conv_id, a.turn, {_tokens('a.text')} AS ct, {_tokens('u.text')} AS st
+  FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'),
+c AS (SELECT conv_id, turn, unnest(ct) AS t, generate_subscripts(ct, 1) AS i FROM pairs),
+s AS (SELECT conv_id, turn, unnest(st) AS t, generate_subscripts(st, 1) AS j FROM pairs),
+runs AS (SELECT conv_id, turn, max(n) AS run FROM (SELECT conv_id, turn, d, g, count(*) AS n FROM (
+  SELECT conv_id, turn, i - j AS d, i - row_number() OVER (PARTITION BY conv_id, turn, i - j ORDER BY i) AS g FROM c JOIN s USING (conv_id, turn, t)) GROUP BY ALL) GROUP BY ALL),
+parts AS (SELECT conv_id, turn,
+  CASE WHEN len(ct) < 2 OR len(list_distinct(st)) < 2 THEN 0 ELSE len(list_filter(ct, lambda x: list_contains(st, x))) / len(ct) END AS p,
+  CASE WHEN len(list_distinct(ct)) < 2 OR len(list_distinct(st)) < 2 THEN 0 ELSE len(list_intersect(ct, st)) / len(list_distinct(ct || st)) END AS j,
+  CASE WHEN len(ct) < 2 OR len(st) < 2 THEN 0 ELSE least(1, coalesce(run, 0) / greatest(2, least(len(ct), 8))) END AS r
+  FROM pairs LEFT JOIN runs USING (conv_id, turn))"""
+
+
+@registered(f"""WITH {_PAIRS} SELECT conv_id, turn, round(p, 6) AS precision, round(j, 6) AS jaccard, round(r, 6) AS run,
+  round(CASE WHEN p < 0.28 AND r < 0.35 THEN 0 ELSE least(1, p * 0.5 + j * 0.25 + r * 0.25) END, 6) AS score FROM parts""")
+def ground_scores(spark, sf_dir):
+    """How far each answer is supported by the turn before it."""
+    turns = read(spark, sf_dir, "conversations")
+    a = turns.filter("role = 'assistant'").select("conv_id", "turn", T.tokens(F.col("text")).alias("ct"))
+    u = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), T.tokens(F.col("text")).alias("st"))
+    c, s = F.col("ct"), F.col("st")
+    parts = a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", grounding.precision(c, s).alias("p"), grounding.jaccard(c, s).alias("j"), grounding.run_share(c, s).alias("r"))
+    score = grounding.combined(F.col("p"), F.col("j"), F.col("r"))
+    return parts.select("conv_id", "turn", F.round("p", 6).alias("precision"), F.round("j", 6).alias("jaccard"), F.round("r", 6).alias("run"), F.round(score, 6).alias("score"))
+
+
+@registered()
+def ground_links(spark, sf_dir):
+    """The links of every answer into the document of its conversation."""
+    claims = _claims(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn", "claim_no").alias("claim_id"), F.col("conv_id").alias("doc_id"), "turn", "claim_no", "claim")
+    corpus = sentence_corpus(spark, sf_dir).select("doc_id", "pos", "text", "section", "page_start")
+    best = grounding.best_sentences(claims, corpus, ["doc_id"])
+    return grounding.links(best, ["doc_id", "turn"]).select("doc_id", "turn", "rank", "claim_no", "claim", "pos", "text", "section", "score")
+
+
+@registered()
+def candidate_select(spark, sf_dir):
+    """The passages of each document that are worth marking, within the budget."""
+    return highlight.select_passages(chunking.units_of(chunk_index(spark, sf_dir)))
+
+
+@registered(f"""SELECT item_id, doc_id FROM (SELECT item_id, lower({_squeeze('text')}) AS q FROM benchmark) b JOIN (SELECT doc_id, lower({_squeeze('text')}) AS h FROM documents) d
+ON contains(h, q) WHERE length(q) >= 24""")
+def quote_verify(spark, sf_dir):
+    """Which documents hold which benchmark passages."""
+    quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    found = highlight.verify_quotes(quotes, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+    return found.select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"))
+
+
+@registered("""SELECT conv_id, turn, md5('<div data-kind="chat"><pre>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</pre></div>') AS digest, true AS same FROM conversations""")
+def note_roundtrip(spark, sf_dir):
+    """Every turn as a note's body, and whether it reads back as it was."""
+    body = notes.encode_note(F.lit("chat"), F.col("text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(body).alias("digest"), (notes.decode_note(body)["payload"] == F.col("text")).alias("same"))
+
+
+@registered("""SELECT conv_id, count(*) AS n, max(turn) AS last_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 60 GROUP BY conv_id""")
+def chat_last_turns(spark, sf_dir):
+    kept = notes.clean_chat(read(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return kept.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"))
+
+
+@registered("SELECT conv_id, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' AND trim(text) <> '' GROUP BY conv_id")
+def chat_last_answer(spark, sf_dir):
+    return notes.last_answer(read(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@registered("""SELECT user_id, event_type, event_id, first_position FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS first_position,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
+def sticky_dedupe(spark, sf_dir):
+    """The latest event of each user and type, as stickies are kept by id."""
+    return notes.latest(read(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "first_position")
+
+
+@registered("SELECT conv_id, trim(string_agg(text || ' ', '' ORDER BY turn)) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def sse_fold(spark, sf_dir):
+    """Answers sent as lines of deltas, and folded back."""
+    delta = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("text", F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))
+    lines = read(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("data: "), delta).alias("line"))
+    return events.fold_chat(lines, "conv_id", "turn", "line")
+
+
+@registered(f"""SELECT user_id, count(*) AS n, min(ts) AS start, arg_max(event_id, ts) AS event_id FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL {GAP_MINUTES} MINUTE THEN 0 ELSE 1 END AS new FROM events))
+GROUP BY user_id, s""")
+def debounce_sessions(spark, sf_dir):
+    """Events of a user less than half an hour apart, as one update with the last one's number."""
+    return events.debounce(read(spark, sf_dir, "events"), "user_id", "ts", f"{GAP_MINUTES} minutes", "event_id").select("user_id", "n", "start", "event_id")
+
+
+@registered("""SELECT event_type, count(*) AS n, count(*) FILTER (WHERE epoch(ts) + value * 60 - (SELECT epoch(max(ts)) FROM events) + 86400 > 120) AS usable FROM events GROUP BY event_type""")
+def ttl_cache(spark, sf_dir):
+    """Entries that expire a number of minutes after their event: how many can still be used a day before the last."""
+    rows = read(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    now = rows.agg(F.max("at") - 86400).scalar()
+    expires = F.col("at") + F.col("value") * 60
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(events.usable(expires, now)).alias("usable"))
+
+
+@registered()
+def build_index_table(spark, sf_dir):
+    """The index of all documents as it is stored, by content hash."""
+    docs = build_documents(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return build_index(docs).select("doc_id", "content_hash", "seq", "id", "kind", "section", "token_estimate", "chunk_policy")
