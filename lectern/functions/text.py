@@ -72,7 +72,10 @@ def normalize_block(text: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """Whether a line looks like a section heading: a named section, a numbered or roman title, or a short line of capitals."""
-    t = trim(whole(line))
+    return F.transform(F.array(trim(whole(line))), _is_heading)[0]
+
+
+def _is_heading(t: Column) -> Column:
     title = r"[A-Z][\w'’\-/,:+ ]{1,60}\z"
     number = r"^[0-9]+(?:\.[0-9]+){0,3}\.?\s+"
     named = t.rlike(rf"(?i)^(?:(?:[0-9]+(?:\.[0-9]+){{0,3}}|[IVXLC]+)\.?\s+)?(?:{'|'.join(SECTION_NAMES)}){WORD_END}")

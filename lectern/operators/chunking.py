@@ -106,12 +106,15 @@ def chunk(found: DataFrame, parent_tokens: int = PARENT_TOKENS, child_tokens: in
     parents = parents.withColumn("inside", F.slice("paras", F.col("p.low") + 1, F.col("p.high") - F.col("p.low") + 1)).drop("paras")
 
     def children(para, i):
-        sents = T.sentences(para)
-        whole = F.array(F.struct(F.lit(0).alias("low"), (F.size(sents) - 1).alias("high")))
-        small = T.estimate_tokens(para) <= child_tokens
-        spans = F.when(F.size(sents) == 0, F.expr(f"cast(array() as {PACK})")).when(small, whole).otherwise(pack(F.transform(sents, T.estimate_tokens), child_tokens))
-        body = lambda s: F.when(small, para).otherwise(F.array_join(F.slice(sents, s["low"] + 1, s["high"] - s["low"] + 1), " "))
-        return F.transform(spans, lambda s: F.struct(i.alias("para"), s["low"].alias("low"), s["high"].alias("high"), body(s).alias("text")))
+        """The children of a paragraph; its sentences are split once."""
+        def of(sents):
+            whole = F.array(F.struct(F.lit(0).alias("low"), (F.size(sents) - 1).alias("high")))
+            small = T.estimate_tokens(para) <= child_tokens
+            spans = F.when(F.size(sents) == 0, F.expr(f"cast(array() as {PACK})")).when(small, whole).otherwise(pack(F.transform(sents, T.estimate_tokens), child_tokens))
+            body = lambda s: F.when(small, para).otherwise(F.array_join(F.slice(sents, s["low"] + 1, s["high"] - s["low"] + 1), " "))
+            return F.transform(spans, lambda s: F.struct(i.alias("para"), s["low"].alias("low"), s["high"].alias("high"), body(s).alias("text")))
+
+        return F.flatten(F.transform(F.array(T.sentences(para)), of))
 
     low = F.col("p.low")
     parent_text = F.trim(F.array_join("inside", "\n\n"))

@@ -59,7 +59,11 @@ def prior(asked: Column, selection: Column, section: Column, text: Column) -> Co
     out = F.lit(0.0)
     for words, sections, gain in PRIORS:
         out = out + F.when(asked.rlike(words) & F.lower(section).rlike(sections), gain).otherwise(0.0)
-    raw = T.squeeze(selection)
+    return out + F.transform(F.array(T.squeeze(selection)), lambda raw: _selection_gain(raw, text))[0]
+
+
+def _selection_gain(raw: Column, text: Column) -> Column:
+    """What a selection (white space squeezed) adds: one of its windows is in the text, or some of its longer words are."""
     n = F.length(raw)
     windows = F.array(
         F.substring(raw, 1, 80), F.substring(raw, 1, 40), F.when(n > 40, F.substring(raw, 41, 60)).otherwise(""), F.when(n > 20, F.right(raw, F.lit(40))).otherwise("")
@@ -68,7 +72,7 @@ def prior(asked: Column, selection: Column, section: Column, text: Column) -> Co
     words = F.slice(F.filter(F.split(F.lower(raw), " "), lambda w: F.length(w) > 4), 1, 12)
     shared = F.size(F.filter(words, lambda w: F.contains(F.lower(text), w)))
     soft = F.when(shared >= 2, SELECTION_WORD * F.least(shared, F.lit(5))).otherwise(0.0)
-    return out + F.when(n < 8, 0.0).when(hit, SELECTION_HIT).otherwise(soft)
+    return F.when(n < 8, 0.0).when(hit, SELECTION_HIT).otherwise(soft)
 
 
 def score_units(chunks: DataFrame, queries: DataFrame, query_vectors: bool = False) -> DataFrame:

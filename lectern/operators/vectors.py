@@ -18,7 +18,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     """(query, key, rank, score): the k rows most alike to each query, itself left out; ties by key.
 
     Each batch of rows keeps the k best of each query, so what is shuffled is k rows a query and batch, not all pairs.
-    Null and zero vectors have cosine 0. Scores are rounded before they are ranked.
+    Null and zero vectors have cosine 0; vectors are taken to be of one width (shorter ones as if filled with zeros). Scores are rounded before they are ranked.
     """
     count = queries.count()
     blocks = -(-count // BLOCK)
@@ -32,15 +32,18 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def _unit(vectors: list) -> np.ndarray:
-    width = max((len(v) for v in vectors if v is not None), default=1)
-    m = np.array([np.zeros(width) if v is None else np.asarray(v, float) for v in vectors]).reshape(len(vectors), width)
+def _unit(vectors: list, width: int) -> np.ndarray:
+    m = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        if v is not None:
+            m[i, : min(width, len(v))] = v[:width]
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
 def _matcher(ids: list, vectors: list, k: int, digits: int):
-    mine = _unit(vectors) if ids else None
+    width = max((len(v) for v in vectors if v is not None), default=1)
+    mine = _unit(vectors, width) if ids else None
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -49,7 +52,7 @@ def _matcher(ids: list, vectors: list, k: int, digits: int):
             keys = batch.iloc[:, 0].to_numpy()
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
-            scores = np.round(mine @ _unit([batch.iloc[i, 1] for i in order]).T, digits)
+            scores = np.round(mine @ _unit([batch.iloc[i, 1] for i in order], width).T, digits)
             scores[np.array(ids)[:, None] == keys[None, :]] = -np.inf
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             out = pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "match": keys[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import chunking, grounding, highlight, notes, retrieval, scoring, vectors
-from lectern.sources.tables import build_documents, build_index, read
+from lectern.sources.tables import build_documents, build_index, read, stored
 from lectern.streaming import events
 
 TOP = 12
@@ -239,18 +239,19 @@ def _chat_queries(spark, sf_dir):
 @registered()
 def retrieve_evidence(spark, sf_dir):
     """Evidence in the document of a conversation for each question asked in it, by ranking (no document is taken whole)."""
-    return retrieval.retrieve(chunk_index(spark, sf_dir), _chat_queries(spark, sf_dir), retrieval.RetrievalConfig(stuff_token_limit=0))
+    return retrieval.retrieve(stored(chunk_index(spark, sf_dir)), _chat_queries(spark, sf_dir), retrieval.RetrievalConfig(stuff_token_limit=0))
 
 
 @registered()
 def retrieve_context(spark, sf_dir):
     """The same with short documents taken whole, as numbered passages."""
-    return retrieval.context_block(retrieval.retrieve(chunk_index(spark, sf_dir), _chat_queries(spark, sf_dir)))
+    return retrieval.context_block(retrieval.retrieve(stored(chunk_index(spark, sf_dir)), _chat_queries(spark, sf_dir)))
 
 
 @registered()
 def sentence_corpus(spark, sf_dir):
-    return grounding.sentence_corpus(chunk_index(spark, sf_dir))
+    """The sentences that answers are held against."""
+    return grounding.sentence_corpus(stored(chunk_index(spark, sf_dir)))
 
 
 def _claims(spark, sf_dir):
@@ -309,7 +310,7 @@ def ground_scores(spark, sf_dir):
 def ground_links(spark, sf_dir):
     """The links of every answer into the document of its conversation."""
     claims = _claims(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn", "claim_no").alias("claim_id"), F.col("conv_id").alias("doc_id"), "turn", "claim_no", "claim")
-    corpus = sentence_corpus(spark, sf_dir).select("doc_id", "pos", "text", "section", "page_start")
+    corpus = stored(sentence_corpus(spark, sf_dir).select("doc_id", "pos", "text", "section", "page_start"))
     best = grounding.best_sentences(claims, corpus, ["doc_id"])
     return grounding.links(best, ["doc_id", "turn"]).select("doc_id", "turn", "rank", "claim_no", "claim", "pos", "text", "section", "score")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the folder that driver and executors share (spark.checkpoint.dir), and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def build_documents(raw: DataFrame) -> DataFrame:
     """(doc_id, text, source, content_hash) from raw(doc_id, text, pages, source): the text, or its pages joined; documents without either go (see rejected)."""
     return _built(raw).filter(F.col("text") != "").withColumn("content_hash", T.content_hash(F.col("text")))
