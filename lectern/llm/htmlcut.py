@@ -36,6 +36,8 @@ SILENT = frozenset("script style noscript template head title svg math canvas ob
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr picture source".split())
+#: Silent elements that may stand inside a line of text: they end no block.
+PHRASING = frozenset("script style noscript template svg math canvas object embed iframe audio video map button select textarea input label datalist".split())
 BOILER_TAGS = frozenset("nav footer aside header menu".split())
 CONTENT_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -47,9 +49,9 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 
-FEATURES = ("bias", "boiler_tag", "boiler_word", "content_tag", "content_word", "heading", "link_share", "long", "ends", "words")
+FEATURES = ("bias", "boiler_tag", "boiler_word", "content_tag", "content_word", "heading", "link_share", "long", "ends", "words", "outside")
 #: The weights the fit starts from.
-PRIOR = np.array([-0.2, -7.0, -6.0, 3.0, 1.0, 0.5, -2.5, 0.8, 0.5, 0.3])
+PRIOR = np.array([0.6, -8.0, -7.0, 3.0, 1.0, 0.5, -3.5, 0.8, 0.5, 0.3, -3.0])
 #: Precision of the prior: about this many labelled blocks weigh as much as it.
 STIFF = 25.0
 
@@ -79,7 +81,7 @@ class _Element:
         self.content_tag = fresh or inherit("content_tag")
         self.content_word = bool(words and not CONTENT_WORDS.isdisjoint(words)) or inherit("content_word")
         self.silent = tag in SILENT or inherit("silent")
-        self.block = self if tag not in INLINE else up.block if up else self
+        self.block = self if tag not in INLINE and tag not in PHRASING else up.block if up else self
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -114,7 +116,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag == "br":
             parts.append(" ")
         elif m[1]:
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in PHRASING:
                 close()
             up = here
             while up is not root and up.tag != tag:
@@ -126,7 +128,7 @@ def blocks(page: str | None) -> list[Block]:
                 links -= here.tag == "a"
                 here = here.up
         else:
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in PHRASING:
                 close()
             if tag in VOID or m[3].endswith("/") and tag in SILENT:
                 continue
@@ -149,13 +151,13 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    rows = []
+    rows, marked = [], any(b.path.content_tag for b in found)
     for b in found:
         e = b.path
         # a heading in an article's own header is the article's
         boiler = e.boiler_tag and not (b.heading and e.content_tag and _nearest(e) == "header")
         words = b.text.count(" ") + 1
-        rows.append((1, boiler, e.boiler_word, e.content_tag, e.content_word, b.heading, b.linked, min(1.0, len(b.text) / 200), b.text[-1] in _ENDS, min(1.0, words / 40)))
+        rows.append((1, boiler, e.boiler_word, e.content_tag, e.content_word, b.heading, b.linked, min(1.0, len(b.text) / 200), b.text[-1] in _ENDS, min(1.0, words / 40), marked and not e.content_tag))
     return np.array(rows, float).reshape(-1, len(FEATURES))
 
 
