@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +48,10 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
 
 
+def _strings(found: Iterable[bytes]) -> pd.Series:
+    return pd.Series([w.decode("utf-8", "replace") for w in found], dtype=object)
+
+
 def group(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "replace")[-ENDING:].encode()) % GROUPS
 
@@ -77,7 +81,7 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
             n = Counter()
             for t in batch["text"]:
                 n.update(words(t))
-            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in n], "n": list(n.values())})
+            yield pd.DataFrame({"word": _strings(n), "n": pd.Series(list(n.values()), dtype="int64")})
 
     return texts.select(F.col(text).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -228,7 +232,7 @@ def score_texts(docs: DataFrame, key: str, text: str, model: Model, counts: Data
         for t in shard["text"]:
             wanted.update(words(t))
         wanted -= frequent
-        return pd.DataFrame({"shard": shard["shard"].iloc[0], "word": [w.decode("utf-8", "replace") for w in wanted]})
+        return pd.DataFrame({"shard": shard["shard"].iloc[0], "word": _strings(wanted)})
 
     answers = dealt.applyInPandas(ask, "shard int, word string").join(counts, "word").groupBy("shard")
     kind = docs.schema[key].dataType.simpleString()

@@ -89,7 +89,7 @@ def _predictor(model: Model):
                 best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
                 rest = [s for i, s in enumerate(sizes) if i != best] or _sizes(data, [plain])
                 out.append((model.names[best], max(0.0, 1 - sizes[best] / min(rest))))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+            yield pd.DataFrame({"lang_pred": pd.Series([x for x, _ in out], dtype=object), "score": pd.Series([x for _, x in out], dtype=float)})
 
     return predict
 
