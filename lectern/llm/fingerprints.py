@@ -39,7 +39,7 @@ PARAGRAPH_END = r"[\r\n]+"
 SENTENCE_END = r"[\r\n]+|(?<=[.!?])[ \t]+"
 
 #: Rows of a range of ids, ranges at most and interpolation points, for finding each document's next one.
-RANGE_ROWS, MAX_RANGES, POINTS = 2000, 1_000_000, 1000
+RANGE_ROWS, MAX_RANGES, POINTS = 500, 1_000_000, 1000
 
 
 def _long(x: int) -> Column:
@@ -58,22 +58,24 @@ def fingerprint(text: Column) -> Column:
     hashed = lambda parts, seed: F.transform(parts, lambda p: F.xxhash64(F.lit(seed), p))
 
     def lanes(parts: Column) -> Column:
-        exact = [_exact_lane(parts["paragraphs"], j) for j in range(EXACT)]
-        counts = [F.size(parts["paragraphs"]).cast("long"), F.size(parts["h0"]).cast("long")]
-        graded = [_graded_word(parts[f"h{j}"], k) for j in range(HASHES) for k in range(WORDS)]
-        return F.array(*exact, *counts, *graded)
+        exact = F.transform(F.sequence(F.lit(0), F.lit(EXACT - 1)), lambda j: _exact_lane(parts["paragraphs"], j))
+        counts = F.array(F.size(parts["paragraphs"]).cast("long"), F.size(parts["h0"]).cast("long"))
+        hashes = F.array(*[parts[f"h{j}"] for j in range(HASHES)])
+        graded = F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: _graded_word(h, k))))
+        return F.concat(exact, counts, graded)
 
     return _let(pieces(SENTENCE_END), lambda s: _let(
         F.struct(pieces(PARAGRAPH_END).alias("paragraphs"), *[hashed(s, 100 + j).alias(f"h{j}") for j in range(HASHES)]), lanes
     ))
 
 
-def _exact_lane(paragraphs: Column, j: int) -> Column:
-    return F.aggregate(paragraphs, _long(0), lambda a, p: (a + F.xxhash64(F.lit(j), p).bitwiseAND(_long(EXACT_MASK))).bitwiseAND(_long(EXACT_MASK)))
+def _exact_lane(paragraphs: Column, j: Column) -> Column:
+    return F.aggregate(paragraphs, _long(0), lambda a, p: (a + F.xxhash64(j, p).bitwiseAND(_long(EXACT_MASK))).bitwiseAND(_long(EXACT_MASK)))
 
 
-def _graded_word(hashes: Column, k: int) -> Column:
-    return F.aggregate(hashes, _long(0), lambda a, h: (a + F.shiftrightunsigned(h, k).bitwiseAND(_long(ONES))).bitwiseAND(_long(LANES)))
+def _graded_word(hashes: Column, k: Column) -> Column:
+    bits = lambda h: F.call_function("shiftrightunsigned", h, k).bitwiseAND(_long(ONES))
+    return F.aggregate(hashes, _long(0), lambda a, h: (a + bits(h)).bitwiseAND(_long(LANES)))
 
 
 _PLAIN = EXACT + 2
@@ -113,16 +115,17 @@ def to_string(fp: Column) -> Column:
 
 
 def with_next(docs: DataFrame, key: str, carried: str) -> DataFrame:
-    """docs with ``next``: the value of ``carried`` in the next row by key, after the last row the first's.
+    """docs with ``next``, ``guest`` and ``range``: the value of ``carried`` in the next row by key, after the last row the first's.
 
     Null keys come first and ties are in the order of ``carried``. Rows are shuffled once, into ranges of keys; the
-    first rows of a range are dealt to the range before as well, so every range finds its last row's next by itself.
+    first rows of a range are dealt to the range before as well, as guests, so every range finds its last row's next by
+    itself. Drop the guests in the end.
     """
     least = -(2**63)
     order = F.coalesce(F.col(key), _long(least))
     n, low = docs.agg(F.count("*"), F.min(order)).first()
     if not n:
-        return docs.withColumn("next", F.lit(None).cast(docs.schema[carried].dataType))
+        return docs.withColumns({"next": F.lit(None).cast(docs.schema[carried].dataType), "guest": F.lit(False), "range": F.lit(0).cast("long")})
     ranges = min(MAX_RANGES, n // RANGE_ROWS + 1)
     points = min(POINTS, ranges)
     bounds = docs.agg(F.percentile_approx(key, [i / points for i in range(points + 1)], 10_000)).first()[0] or [low]
