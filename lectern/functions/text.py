@@ -21,8 +21,9 @@ SECTION_NAMES = (
 )
 HEADING_LIMIT, SENTENCE_LIKE = 80, 40
 
-#: Abbreviations whose full stops end no sentence: pattern, any case.
-ABBREVIATIONS = (("e.g.", True), ("i.e.", True), ("Fig.", False), ("Eq.", False), ("Sec.", False), ("et al.", True))
+# Abbreviations whose last full stop ends no sentence, in any case and as written.
+ABBREVIATIONS, ABBREVIATIONS_AS_WRITTEN = (r"e\.g", r"i\.e", "et al"), ("Fig", "Eq", "Sec")
+SENTENCE_END = r"""(?<=[.!?])\s+(?=[\[A-Z0-9(“"])"""
 DOT = "\ue000"
 ANCHOR_SHORT, ANCHOR_LIMIT = 80, 320
 GROUND_MINIMUM = 12
@@ -93,19 +94,16 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(normalize_block(text), r"\n\s*\n+"), trim), lambda p: p != "")
 
 
+def _sentence_parts(text: Column, limit: int) -> Column:
+    """The text split where sentences end, into ``limit`` parts at most (-1: all); the last part is the rest."""
+    abbreviation = rf"{WORD_START}((?i:{'|'.join(ABBREVIATIONS)})|{'|'.join(ABBREVIATIONS_AS_WRITTEN)})\."
+    parts = F.split(F.regexp_replace(squeeze(text), abbreviation, f"$1{DOT}"), SENTENCE_END, limit)
+    return F.filter(F.transform(parts, lambda s: F.trim(F.translate(s, DOT, "."))), lambda s: s != "")
+
+
 def sentences(text: Column) -> Column:
     """Sentences of academic prose: ended by . ! or ? before white space and a capital, a digit, an opening bracket or a quote."""
-    t = squeeze(text)
-    for name, any_case in ABBREVIATIONS:
-        pattern = WORD_START + name.replace(".", r"\.")
-        plain = name.replace(".", DOT)
-        if any_case:  # keep the letters as they are written
-            groups = "".join(rf"({part})\." for part in name.split(".") if part)
-            t = F.regexp_replace(t, f"(?i){WORD_START}{groups}", "".join(f"${i + 1}{DOT}" for i in range(name.count("."))))
-        else:
-            t = F.regexp_replace(t, pattern, plain)
-    parts = F.split(t, r"""(?<=[.!?])\s+(?=[\[A-Z0-9(“"])""")
-    return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit(DOT), F.lit(".")))), lambda s: s != "")
+    return _sentence_parts(text, -1)
 
 
 def ground_sentences(text: Column) -> Column:
@@ -122,7 +120,7 @@ def anchor(text: Column) -> Column:
         short = (F.length(first) < ANCHOR_SHORT) & (F.size(found) >= 2)
         return F.left(F.when(short, F.trim(F.concat_ws(" ", first, F.get(found, 1)))).otherwise(first), F.lit(ANCHOR_LIMIT))
 
-    return F.transform(F.array(sentences(text)), of)[0]
+    return F.transform(F.array(_sentence_parts(text, 3)), of)[0]
 
 
 def content_hash(text: Column) -> Column:
