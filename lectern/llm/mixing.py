@@ -180,7 +180,9 @@ def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     held = held.join(packed.filter("size > 0").select("source_index", "start", "__key", "__nth"), ["source_index", "start"])
     held = held.groupBy("__key").agg(F.collect_list(F.struct("__nth", "pass", "parts")).alias("__held"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    parts = F.flatten(F.transform("__pass.parts", lambda p: F.slice(words, p["low"].cast("int") + 1, p["words"].cast("int"))))
+    # the words are found once for all parts of a pass
+    cut_to = lambda w: F.flatten(F.transform("__pass.parts", lambda p: F.slice(w, p["low"].cast("int") + 1, p["words"].cast("int"))))
+    parts = F.transform(F.array(words), cut_to)[0]
     out = (
         keyed.withColumn("__nth", number)
         .join(held, "__key")
