@@ -196,9 +196,14 @@ def hexadecimal(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each class: that with the least key; of equal rows with that key, one."""
+    return keep_least(docs, key, near_duplicates(docs, key, text, shingle))
+
+
+def keep_least(docs: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+    """docs with one row of each class of classes(key, component)."""
     # the same string is the key of the join and of the window, so texts are shuffled once
     name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null"))
-    found = near_duplicates(docs, key, text, shingle).filter(F.col(key).eqNullSafe(F.col("component"))).select(name.alias("__key")).distinct()
+    found = classes.filter(F.col(key).eqNullSafe(F.col("component"))).select(name.alias("__key")).distinct()
     order = [F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")]
     kept = docs.withColumn("__key", name).join(found, "__key").withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy(*order)))
     return kept.filter("__n = 1").select(*docs.columns)
