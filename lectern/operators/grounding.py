@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import scoring
+from lectern.operators.links import link_phrase
 
 LEAST_PRECISION, LEAST_RUN, LEAST_SCORE = 0.28, 0.35, 0.42
 CLAIM_LINE, CLAIM_MINIMUM, CLAIM_MAXIMUM, CLAIM_SPLIT = 220, 12, 240, 80
 SENTENCE_MINIMUM, SENTENCE_MAXIMUM, SENTENCE_KEY, FEW_SENTENCES = 28, 420, 160, 8
 PREFILTER, PREFILTER_ABOVE, MAX_LINKS = 20, 12, 6
+#: Shorter phrases are no links.
+LINK_PHRASE = 4
 
 
 def _clip(text: Column, limit: int) -> Column:
@@ -98,7 +101,7 @@ def sentence_corpus(chunks: DataFrame) -> DataFrame:
 
 
 def best_sentences(claims_: DataFrame, sentences: DataFrame, scope: list[str]) -> DataFrame:
-    """(claim keys, pos, score): for each claim(claim_id, claim, scope) the best sentence(pos, text, scope) of LEAST_SCORE up; the earliest of equals.
+    """(claim keys, pos, score, phrase): for each claim(claim_id, claim, scope) the best sentence(pos, text, scope) of LEAST_SCORE up that shares a link phrase; the earliest of equals.
 
     Only sentences that share a token are scored. Of more than PREFILTER_ABOVE sentences in a scope, the PREFILTER best by
     BM25 are scored.
@@ -114,13 +117,15 @@ def best_sentences(claims_: DataFrame, sentences: DataFrame, scope: list[str]) -
     pairs = near.select(F.col("query_id").alias("claim_id"), *scope, "pos").join(claims_, ["claim_id", *scope]).join(sentences, [*scope, "pos"])
     toks = pairs.withColumns({"c": T.tokens(F.col("claim")), "s": T.tokens(F.col("text"))})
     scored = toks.withColumn("score", F.round(combined(precision(F.col("c"), F.col("s")), jaccard(F.col("c"), F.col("s")), run_share(F.col("c"), F.col("s"))), 9)).filter(F.col("score") >= LEAST_SCORE)
+    # only sentences with a phrase that stands in the claim can be the best
+    scored = scored.withColumn("phrase", link_phrase(F.col("claim"), F.col("text"))).filter("phrase is not null")
     best = W.partitionBy("claim_id").orderBy(F.desc("score"), "pos")
     return scored.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n", "c", "s")
 
 
 def links(matched: DataFrame, answer: list[str]) -> DataFrame:
-    """The answer's links: the first claim of each sentence, MAX_LINKS by claim order, ranked by score."""
+    """The answer's links: the first claim of each sentence, none by a phrase under LINK_PHRASE characters, MAX_LINKS by claim order, ranked by score."""
     key = F.left(T.normalize_match(F.col("text")), F.lit(120))
-    first = matched.withColumn("__key", key).withColumn("__n", F.row_number().over(W.partitionBy(*answer, "__key").orderBy("claim_no"))).filter("__n = 1")
+    first = matched.filter(T.utf16_length(F.col("phrase")) >= LINK_PHRASE).withColumn("__key", key).withColumn("__n", F.row_number().over(W.partitionBy(*answer, "__key").orderBy("claim_no"))).filter("__n = 1")
     few = first.withColumn("__n", F.row_number().over(W.partitionBy(*answer).orderBy("claim_no"))).filter(F.col("__n") <= MAX_LINKS)
     return few.withColumn("rank", F.row_number().over(W.partitionBy(*answer).orderBy(F.desc("score"), "claim_no"))).drop("__n", "__key")

@@ -312,7 +312,7 @@ def ground_links(spark, sf_dir):
     claims = _claims(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn", "claim_no").alias("claim_id"), F.col("conv_id").alias("doc_id"), "turn", "claim_no", "claim")
     corpus = stored(sentence_corpus(spark, sf_dir).select("doc_id", "pos", "text", "section", "page_start"))
     best = grounding.best_sentences(claims, corpus, ["doc_id"])
-    return grounding.links(best, ["doc_id", "turn"]).select("doc_id", "turn", "rank", "claim_no", "claim", "pos", "text", "section", "score")
+    return grounding.links(best, ["doc_id", "turn"]).select("doc_id", "turn", "rank", "claim_no", "claim", "phrase", "pos", "text", "section", "score")
 
 
 @registered()

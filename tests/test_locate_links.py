@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lectern.operators import links, locate
+from lectern.operators import grounding, links, locate
 
 ITEM = "doc_id long, page int, item_idx int, str string, transform array<double>, width double, height double"
 
@@ -31,3 +31,14 @@ def test_phrases_and_links(spark):
     answers = spark.createDataFrame([(1, "the controller works"), (2, "nothing")], "id long, answer string")
     put = links.apply_links(answers, spark.createDataFrame([(1, 1, "controller", "#p")], "id long, rank int, phrase string, target string"), ["id"])
     assert {r["linked"] for r in put.collect()} == {'the <a href="#p">controller</a> works', "nothing"}
+
+
+def test_grounded_links_need_a_phrase(spark):
+    # the highest score shares short tokens only, so the second-best sentence is the claim's
+    rows = [("a", 1, 1, 0, "we use it or do so by an ox"), ("b", 1, 1, 1, "ab cd")]
+    claims = spark.createDataFrame([*rows, ("c", 1, 1, 2, "controller error is low")], "claim_id string, doc_id long, turn long, claim_no long, claim string")
+    sentences = spark.createDataFrame([(1, 1, "ox an by so do or it use we"), (1, 2, "error of the controller is low"), (1, 3, "we go and use it or do so by an elk")], "doc_id long, pos long, text string")
+    best = {r["claim_id"]: (r["pos"], r["phrase"]) for r in grounding.best_sentences(claims, sentences, ["doc_id"]).collect()}
+    assert best == {"a": (3, "use it or do so by an"), "c": (2, "controller error")} or best == {"a": (3, "use it or do so by an"), "c": (2, "is low")}
+    matched = spark.createDataFrame([(1, 1, n, f"sentence {n}", 0.5, "abc" if n < 6 else f"phrase {n}") for n in range(8)], "doc_id long, turn long, claim_no long, text string, score double, phrase string")
+    assert sorted(r["claim_no"] for r in grounding.links(matched, ["doc_id", "turn"]).collect()) == [6, 7]
