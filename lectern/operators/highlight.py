@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,16 +70,56 @@ def cap_items(items: DataFrame, by: list[str], order: str, per_category: int = P
     return few.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(place, order)))
 
 
+#: Characters that are hashed for the keys of quotes without inner tokens, and the odd multiplier.
+GRAM, TIMES = 8, 0x9E3779B97F4A7C15
+
+
+def _window_keys(text: str, width: int) -> np.ndarray:
+    """For each run of width characters, in order, the least hash of its GRAM characters on end: equal runs have equal keys."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n, gram = len(codes) - width + 1, min(GRAM, width)
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h = np.zeros(len(codes) - gram + 1, np.uint64)
+    for i in range(gram):
+        h = (h + codes[i : i + len(h)] + np.uint64(1)) * np.uint64(TIMES)
+        h ^= h >> np.uint64(29)
+    low = h[:n]
+    for i in range(1, width - gram + 1):
+        low = np.minimum(low, h[i : i + n])
+    return low.view(np.int64)
+
+
+def _keys(text: Column, width: int, first: bool) -> Column:
+    """The distinct keys of a text's runs of width characters, or that of the first one alone."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else _window_keys(t[:width], width) if first else np.unique(_window_keys(t, width)) for t in texts], dtype=object)
+
+    return of(text)
+
+
 def verify_quotes(quotes: DataFrame, texts: DataFrame, minimum: int = QUOTE_MINIMUM) -> DataFrame:
     """(quote_id, text_id): the texts(text_id, text) that hold a quote(quote_id, quote), both lower-cased with white space squeezed.
 
     Quote and text first meet by the longest of the quote's inner tokens, which any text that holds the quote has as a
-    token, then the quote is looked for; so texts are not paired with all quotes. Quotes without inner tokens, or shorter
-    than the minimum, are not verified.
+    token, then the quote is looked for; so texts are not paired with all quotes. Quotes without inner tokens (of other
+    scripts, or of one or two long words) meet texts by the key of their first minimum characters instead. Quotes shorter than the
+    minimum are not verified.
     """
     wanted = quotes.withColumn("needle", T.normalize_match(F.col("quote"))).filter(F.length("needle") >= minimum)
     inner = F.filter(T.tokens(F.col("needle")), lambda t, i: (i > 0) & (i < F.size(T.tokens(F.col("needle"))) - 1))
-    keyed = wanted.withColumn("key", F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]).filter("key is not null").select("quote_id", "needle", "key")
+    every = wanted.withColumn("key", F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]).select("quote_id", "needle", "key")
+    keyed = every.filter("key is not null")
     have = texts.select("text_id", T.normalize_match(F.col("text")).alias("hay"))
     met = have.select("text_id", "hay", F.explode(F.array_distinct(T.tokens(F.col("hay")))).alias("key")).join(keyed.select("key").distinct(), "key", "left_semi")
-    return met.join(keyed, "key").filter(F.contains("hay", "needle")).select("quote_id", "text_id")
+    found = met.join(keyed, "key").filter(F.contains("hay", "needle")).select("quote_id", "text_id")
+    bare = every.filter("key is null")
+    if bare.isEmpty():
+        return found
+    width = max(1, minimum)
+    bare = bare.select("quote_id", "needle", F.explode(_keys(F.col("needle"), width, True)).alias("run"))
+    runs = have.select("text_id", F.explode(_keys(F.col("hay"), width, False)).alias("run")).join(bare.select("run").distinct(), "run", "left_semi").distinct()
+    near = runs.join(bare, "run").select(F.col("text_id").alias("near_id"), "quote_id", "needle")
+    return found.union(have.join(near, F.col("text_id").eqNullSafe(F.col("near_id"))).filter(F.contains("hay", "needle")).select("quote_id", "text_id"))
