@@ -6,11 +6,11 @@ the text (``add``, ``subtract``). It has three parts:
 
 - ``EXACT`` lanes modulo 2^62, hashed from each paragraph as a whole: equality;
 - two counts modulo 2^62: paragraphs and sentences;
-- ``GRADED`` lanes modulo 2^14, to which each sentence of a paragraph adds a random sign (kept as
+- ``GRADED`` lanes modulo 2^30, to which each sentence of a paragraph adds a random sign (kept as
   0 or 1; the count of sentences gives the sign back): likeness. The mean square of the difference of
   two such vectors estimates how many sentences the texts don't share.
 
-Four graded lanes are packed in a long with a guard bit each, so a sum is one addition. All of it
+Two graded lanes are packed in a long with a guard bit each, so a sum is one addition. All of it
 is DataFrame functions; fingerprinting alone needs no shuffle.
 """
 
@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from lectern.llm.common import table
 
 EXACT = 8
-#: 64-bit hashes of a sentence that give the signs; each fills WORDS longs of four lanes.
-HASHES, WORDS = 4, 15
-GRADED = HASHES * WORDS * 4
+#: 64-bit hashes of a sentence that give the signs; each fills WORDS longs of two lanes.
+HASHES, WORDS, PACKED = 4, 30, 2
+GRADED = HASHES * WORDS * PACKED
 EXACT_MASK = 2**62 - 1
-#: Four lanes of 14 bits, 15 bits apart.
-LANE_BITS, LANE_STEP = 14, 15
-ONES = sum(1 << LANE_STEP * i for i in range(4))
+#: Two lanes of 30 bits, 31 bits apart.
+LANE_BITS, LANE_STEP = 30, 31
+ONES = sum(1 << LANE_STEP * i for i in range(PACKED))
 LANES = ONES * (2**LANE_BITS - 1)
 GUARDS = ONES << LANE_BITS
 
@@ -95,17 +95,17 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def signs(fp: Column) -> Column:
-    """The graded lanes as sums of signs, array<long>; right for up to 2^13 sentences more of one sign than of the other."""
+    """The graded lanes as sums of signs, array<long>; right for up to 2^29 sentences more of one sign than of the other."""
     lane = lambda w, i: F.shiftright(w, LANE_STEP * i).bitwiseAND(_long(2**LANE_BITS - 1))
     span, half = 2 ** (LANE_BITS + 1), 2**LANE_BITS
     words = F.slice(fp, _PLAIN + 1, HASHES * WORDS)
     centred = lambda c: F.pmod(2 * c - fp[EXACT + 1] + _long(half), _long(span)) - _long(half)
-    return F.flatten(F.transform(words, lambda w: F.array(*[centred(lane(w, i)) for i in range(4)])))
+    return F.flatten(F.transform(words, lambda w: F.array(*[centred(lane(w, i)) for i in range(PACKED)])))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two arrays of signs(): sentences in both as a share of those in either, by multiplicity; two empty ones are alike."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), _long(0), lambda s, v: s + v).cast("double")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     shared, either = dot(a, b), lambda s: dot(a, a) + dot(b, b) - s
     return F.when(a == b, 1.0).otherwise(_let(shared, lambda s: F.when(either(s) <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s / either(s))))))
 
