@@ -40,14 +40,31 @@ def uniform(key: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir: must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+#: A key is hot from this share of all rows on; so there are never more than as many hot keys.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
+    """The inner join of rows with counted, which has one row a key and ``__n``, the number of rows with it; total rows in all.
+
+    Hot keys, at most HOT_SHARE of them, are broadcast; their rows aren't shuffled to one task.
+    """
+    hot = F.col("__n") * HOT_SHARE > total
+    few, many = counted.filter(hot).drop("__n"), counted.filter(~hot).drop("__n")
+    cold = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(cold.join(many, key))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: its lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"

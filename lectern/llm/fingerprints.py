@@ -8,7 +8,7 @@ the text (``add``, ``subtract``). It has three parts:
 - two counts modulo 2^62: paragraphs and sentences;
 - ``GRADED`` lanes modulo 2^30, to which each sentence of a paragraph adds a random sign (kept as
   0 or 1; the count of sentences gives the sign back): likeness. The mean square of the difference of
-  two such vectors estimates how many sentences the texts don't share.
+  two such vectors estimates how many sentences the texts don't share. A sentence of LONG_SENTENCE characters or more counts by its words.
 
 Two graded lanes are packed in a long with a guard bit each, so a sum is one addition. All of it
 is DataFrame functions; fingerprinting alone needs no shuffle.
@@ -36,7 +36,10 @@ LANES = ONES * (2**LANE_BITS - 1)
 GUARDS = ONES << LANE_BITS
 
 PARAGRAPH_END = r"[\r\n]+"
-SENTENCE_END = r"[\r\n]+|(?<=[.!?])[ \t]+"
+SENTENCE_END = r"[\r\n]+|(?<=[.!?])[ \t]+|(?<=[。！？])"
+#: Characters from which a sentence is cut into its words, and those into pieces of WORD_CHARS.
+LONG_SENTENCE, WORD_CHARS = 600, 32
+PIECE = rf"[^ \t]{{1,{WORD_CHARS}}}+[ \t]*+|[ \t]++"
 
 #: Rows of a range of ids, ranges at most and interpolation points, for finding each document's next one.
 RANGE_ROWS, MAX_RANGES, POINTS = 500, 1_000_000, 1000
@@ -64,7 +67,10 @@ def fingerprint(text: Column) -> Column:
         graded = F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: _graded_word(h, k))))
         return F.concat(exact, counts, graded)
 
-    return _let(pieces(SENTENCE_END), lambda s: _let(
+    # text without sentence ends, or a sentence that goes on and on, is compared by its words
+    short = lambda s: F.when(F.length(s) < LONG_SENTENCE, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(PIECE), F.lit(0)))
+    sentences = _let(pieces(SENTENCE_END), lambda s: F.when(F.exists(s, lambda x: F.length(x) >= LONG_SENTENCE), F.flatten(F.transform(s, short))).otherwise(s))
+    return _let(sentences, lambda s: _let(
         F.struct(pieces(PARAGRAPH_END).alias("paragraphs"), *[hashed(s, 100 + j).alias(f"h{j}") for j in range(HASHES)]), lanes
     ))
 
@@ -132,8 +138,8 @@ def with_next(docs: DataFrame, key: str, carried: str) -> DataFrame:
     bounds = sorted({low, *bounds})
     fine = -(-ranges // points)
     at = F.size(F.filter(F.array(*map(_long, bounds)), lambda b: b <= order)) - 1
-    start, end = F.array(*map(_long, bounds))[at], F.array(*map(_long, [*bounds[1:], bounds[-1] + 1]))[at]
-    inside = F.least(F.lit(fine - 1), F.floor((order.cast("double") - start) * fine / (end.cast("double") - start)).cast("int"))
+    start, end = F.array(*map(_long, bounds))[at], F.array(*map(_long, [*bounds[1:], min(bounds[-1], 2**63 - 2) + 1]))[at]
+    inside = F.least(F.lit(fine - 1), F.floor((order.cast("double") - start) * fine / F.greatest(F.lit(1.0), end.cast("double") - start)).cast("int"))
     ranged = docs.withColumn("__range", (at * fine + inside).cast("long"))
     heads = ranged.groupBy("__range").agg(F.min(order).alias("__head"))
     by_range = W.orderBy("__range")

@@ -7,8 +7,8 @@ grow as the blocks are closer in the document tree. The minimum cut of this grap
 maximum flow, separates content from boilerplate; blocks whose own evidence outweighs all their
 edges are settled first, which leaves the cut as it is.
 
-The classifier is fitted on a bounded sample of pages whose semantic elements label some blocks, from
-the weights in PRIOR on. Scripts, styles, forms and other elements without text to read are never
+The classifier is fitted on a bounded sample of whole pages, from the weights in PRIOR on: texts that pages repeat
+and semantic elements label some of their blocks. Scripts, styles, forms and other elements without text to read are never
 blocks. Every page is one row of a map; nothing is shuffled.
 """
 
@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+import zlib
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import cut, table
 
-#: Pages the classifier is fitted on, and blocks of a page, at most.
+#: Pages the classifier is fitted on at most, and pages of them on which a boilerplate text stands.
 SAMPLE_PAGES = 2000
-SAMPLE_BLOCKS = 200
+REPEATED = 3
 ADJACENT, SIBLING = 0.5, 1.0
 
 # HTML elements by their role, and words of class, id and role attributes.
@@ -55,7 +56,10 @@ PRIOR = np.array([0.6, -8.0, -7.0, 3.0, 1.0, 0.5, -3.5, 0.8, 0.5, 0.3, -3.0])
 #: Precision of the prior: about this many labelled blocks weigh as much as it.
 STIFF = 25.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: What a tag holds up to its end; quotes count after an equals sign only.
+_ATTRIBUTES = re.compile(r"""((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>=]|=)*+)>""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _ENDS = frozenset(".!?:;…。！？\"'”»)")
@@ -69,7 +73,7 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("tag", "up", "depth", "boiler_tag", "boiler_word", "content_tag", "content_word", "silent", "block")
+    __slots__ = ("tag", "up", "depth", "boiler_tag", "boiler_word", "content_tag", "content_word", "silent", "form", "nearest", "block")
 
     def __init__(self, tag: str, attributes: str, up: _Element | None):
         words = {w.lower() for m in _NAMES.findall(attributes) for w in _PART.findall(" ".join(m))} if attributes else ()
@@ -80,15 +84,62 @@ class _Element:
         self.boiler_word = bool(words and tag not in ("html", "body") and not BOILER_WORDS.isdisjoint(words)) or inherit("boiler_word")
         self.content_tag = fresh or inherit("content_tag")
         self.content_word = bool(words and not CONTENT_WORDS.isdisjoint(words)) or inherit("content_word")
-        self.silent = tag in SILENT or inherit("silent")
+        self.silent = tag in SILENT and tag != "form" or inherit("silent")
+        self.form = tag == "form" or not fresh and inherit("form")
+        self.nearest = tag if fresh or tag in BOILER_TAGS else up.nearest if up else ""
         self.block = self if tag not in INLINE and tag not in PHRASING else up.block if up else self
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag, text or attributes) of a page in order, kind being "text", "open" or "close"; comments and declarations are left out.
+
+    Linear in the page. What follows a script or another raw element is read up to its end tag. A tag that isn't closed up to
+    the end of the page by rights ends at the next >, quoted or not, and so do those after it; without one, its < is text.
+    """
+    at, loose = 0, False
+    while at < len(source):
+        if source[at] != "<":
+            end = source.find("<", at)
+            end = end if end >= 0 else len(source)
+            yield "text", "", source[at:end]
+            at = end
+        elif source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(source)
+        elif m := _TAG.match(source, at):
+            held = None if loose else _ATTRIBUTES.match(source, m.end())
+            if held:
+                attributes, at = held[1], held.end()
+            else:
+                loose, end = True, source.find(">", m.end())
+                if end < 0:
+                    yield "text", "", source[at:]
+                    return
+                attributes, at = source[m.end() : end], end + 1
+            tag = m[2].lower()
+            yield "close" if m[1] else "open", tag, attributes
+            if tag in RAW and not m[1]:
+                at = _RAW_END[tag].search(source, at).start()
+        elif source[at + 1 : at + 2] in ("!", "?", "/"):
+            end = source.find(">", at)
+            at = end + 1 if end >= 0 else len(source)
+        else:
+            yield "text", "", "<"
+            at += 1
+
+
+#: Items that an opening element ends, beside paragraphs.
+SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in its order; markup that isn't well formed is read as browsers do, more or less."""
+    """The text blocks of a page in its order; markup that isn't well formed is read as browsers do, more or less.
+
+    Blocks of forms are left out, but for an article in one and for a form that holds all the page has beside boilerplate.
+    """
     found: list[Block] = []
     root = here = _Element("html", "", None)
-    parts: list[str] = []
+    open_, parts = Counter(), []
     linked = links = 0
     heading = False
 
@@ -101,53 +152,48 @@ def blocks(page: str | None) -> list[Block]:
             parts.clear()
         linked, heading = 0, False
 
-    source, at = page or "", 0
-    while m := _TOKEN.match(source, at):
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                if not here.silent:
-                    parts.append(piece)
-                    linked += len(piece) if links else 0
-                    heading = heading or here.block.tag in HEADINGS
+    def leave(upto: _Element):
+        nonlocal here, links
+        while here is not upto:
+            links -= here.tag == "a"
+            open_[here.tag] -= 1
+            here = here.up
+
+    for kind, tag, rest in tokens(page or ""):
+        if kind == "text":
+            if not here.silent:
+                parts.append(rest)
+                linked += len(rest) if links else 0
+                heading = heading or here.block.tag in HEADINGS
             continue
         if tag == "br":
             parts.append(" ")
-        elif m[1]:
-            if tag not in INLINE and tag not in PHRASING:
-                close()
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.up
-            if up is not root:
-                while here is not up:
-                    links -= here.tag == "a"
-                    here = here.up
-                links -= here.tag == "a"
-                here = here.up
-        else:
-            if tag not in INLINE and tag not in PHRASING:
-                close()
-            if tag in VOID or m[3].endswith("/") and tag in SILENT:
-                continue
-            if tag in CLOSES_PARAGRAPH or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
+            continue
+        if tag not in INLINE and tag not in PHRASING:
+            close()
+        if kind == "close":
+            if open_[tag]:
+                up = here
+                while up.tag != tag:
+                    up = up.up
+                leave(up.up)
+            continue
+        if tag in VOID or rest.endswith("/") and tag in SILENT:
+            continue
+        if tag in CLOSES_PARAGRAPH or tag in SAME or tag == "option":
+            same = SAME.get(tag, ("p",))
+            if any(open_[t] for t in same):
                 up = here
-                while up is not root and (up.tag in INLINE or up.tag in ("p", *same)) and up.tag not in same:
+                while up is not root and (up.tag in INLINE or up.tag == "p") and up.tag not in same:
                     up = up.up
                 if up is not root and up.tag in same:
-                    while here is not up.up:
-                        links -= here.tag == "a"
-                        here = here.up
-            here = _Element(tag, m[3], here)
-            links += tag == "a"
-            if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I).search(source, at)
-                at = end.start()
+                    leave(up.up)
+        here = _Element(tag, rest, here)
+        open_[tag] += 1
+        links += tag == "a"
     close()
-    return found
+    free = [b for b in found if not b.path.form]
+    return free if any(not (b.path.boiler_tag or b.path.boiler_word) for b in free) else found
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -155,18 +201,12 @@ def features(found: list[Block]) -> np.ndarray:
     for b in found:
         e = b.path
         # a heading in an article's own header is the article's
-        boiler = e.boiler_tag and not (b.heading and e.content_tag and _nearest(e) == "header")
+        boiler = e.boiler_tag and not (b.heading and e.content_tag and e.nearest == "header")
         words = b.text.count(" ") + 1
-        rows.append((1, boiler, e.boiler_word, e.content_tag, e.content_word, b.heading, b.linked, min(1.0, len(b.text) / 200), b.text[-1] in _ENDS, min(1.0, words / 40), marked and not e.content_tag))
+        rows.append((1, boiler, e.boiler_word, e.content_tag, e.content_word, b.heading, round(b.linked, 2), min(1.0, len(b.text) / 200), b.text[-1] in _ENDS, min(1.0, words / 40), marked and not e.content_tag))
     return np.array(rows, float).reshape(-1, len(FEATURES))
 
 
-def _nearest(e: _Element) -> str:
-    while e is not None and e.tag not in BOILER_TAGS and e.tag not in CONTENT_TAGS:
-        e = e.up
-    return e.tag if e else ""
-
-
 def _distance(a: _Element, b: _Element) -> int:
     n = 0
     while a is not b:
@@ -216,7 +256,7 @@ def minimum_cut(evidence: list[float], links: list[tuple[int, int, float]]) -> l
 
 
 def _max_flow(nodes: list[int], pull: list[float], near: list[dict[int, float]]) -> list[bool]:
-    """Augment along shortest paths until none is left; True for the nodes that the source still reaches."""
+    """Maximum flow by levels: all shortest paths are filled before longer ones; True for the nodes that the source still reaches."""
     source, sink = -1, -2
     room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes} | {source: {}, sink: {}}
     for i in nodes:
@@ -225,24 +265,35 @@ def _max_flow(nodes: list[int], pull: list[float], near: list[dict[int, float]])
         else:
             room[i][sink], room[sink][i] = -pull[i], 0.0
     while True:
-        came = {source: source}
+        level = {source: 0}
         queue = deque([source])
-        while queue and sink not in came:
+        while queue:
             i = queue.popleft()
             for j, r in room[i].items():
-                if r > 1e-9 and j not in came:
-                    came[j] = i
+                if r > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink not in came:
-            return [i in came for i in nodes]
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(room[i][j] for i, j in path)
-        for i, j in path:
-            room[i][j] -= flow
-            room[j][i] += flow
+        if sink not in level:
+            return [i in level for i in nodes]
+        onward = {i: [j for j in room[i] if level.get(j, -1) == level[i] + 1] for i in level}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                steps = list(zip(path, path[1:]))
+                flow = min(room[a][b] for a, b in steps)
+                for a, b in steps:
+                    room[a][b] -= flow
+                    room[b][a] += flow
+                path = path[: next(n for n, (a, b) in enumerate(steps) if room[a][b] <= 1e-9) + 1]
+            elif not onward[i]:
+                path.pop()
+                if path:
+                    onward[path[-1]].pop()
+            elif room[i][onward[i][-1]] > 1e-9:
+                path.append(onward[i][-1])
+            else:
+                onward[i].pop()
 
 
 def main_text(page: str | None, weights: np.ndarray) -> str:
@@ -253,38 +304,62 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     return " ".join(b.text for b, s in zip(found, side, strict=True) if s)
 
 
-def _labelled(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Features and label of the blocks that semantic elements or attribute words label."""
+def _sampled_blocks(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(page, block, x): a hash of each block's text and its features."""
     for batch in pages:
         rows = []
-        for page in batch["html"]:
-            x = features(blocks(page)[:SAMPLE_BLOCKS])
-            boiler = (x[:, 1] > 0) | (x[:, 2] > 0)
-            content = (x[:, 3] > 0) & ~boiler
-            rows += [(r.tolist(), float(c)) for r, c, b in zip(x, content, boiler, strict=True) if c or b]
-        yield pd.DataFrame(rows, columns=["x", "y"])
+        for n, page in zip(batch["page"], batch["html"], strict=True):
+            found = blocks(page)
+            rows += [(n, zlib.crc32(b.text.encode("utf-8", "replace")) << 31 | len(b.text), x.tolist()) for b, x in zip(found, features(found), strict=True)]
+        yield pd.DataFrame(rows, columns=["page", "block", "x"])
+
+
+def sample(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(page long, html): SAMPLE_PAGES pages at most, those with the least hash of the key and the html; repeated rows are one."""
+    draw = F.xxhash64(F.lit("html"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(html), F.lit("")))
+    picks = pages.select(draw.alias("page")).distinct().orderBy("page").limit(SAMPLE_PAGES)
+    return pages.select(draw.alias("page"), F.col(html).alias("html")).join(F.broadcast(picks), "page").groupBy("page").agg(F.first("html").alias("html"))
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html") -> np.ndarray:
-    """Weights fitted on at most SAMPLE_PAGES pages, those with the least hash of the key, from PRIOR on."""
-    draw = F.xxhash64(F.lit("html"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    picks = pages.select(draw.alias("draw")).orderBy("draw").limit(SAMPLE_PAGES).distinct()
-    sample = pages.select(F.col(html).alias("html"), draw.alias("draw")).join(F.broadcast(picks), "draw").select("html")
-    rows = sample.mapInPandas(_labelled, "x array<double>, y double").groupBy("x", "y").count().collect()
+    """Weights fitted on the whole blocks of sampled pages, from PRIOR on.
+
+    A block is labelled content if it is in an element for content and nothing says boilerplate; it is labelled boilerplate if its
+    elements say so, or if it is in no element for content and its text stands on REPEATED or more pages of the sample, which the
+    classifier can't see. Text that whole copies of a page repeat is in elements for content and stays content.
+    """
+    found = cut(sample(pages, key, html).mapInPandas(_sampled_blocks, "page long, block long, x array<double>"))
+    seen = found.groupBy("block").agg(F.count_distinct("page").alias("pages"))
+    said = lambda name: F.col("x")[FEATURES.index(name)] > 0
+    boiler = said("boiler_tag") | said("boiler_word") | ((F.col("pages") >= REPEATED) & ~said("content_tag"))
+    content = said("content_tag")
+    labelled = found.join(seen, "block").withColumn("y", F.when(boiler, 0.0).when(content, 1.0)).dropna(subset=["y"])
+    # long and words are shares of whole numbers: a bounded number of distinct rows
+    rows = labelled.groupBy("x", "y").count().collect()
     w = PRIOR.copy()
     if not rows:
         return w
     x, y, n = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), np.array([r["count"] for r in rows], float)
     n *= min(1.0, 1000 / n.sum())
-    for _ in range(25):  # Newton steps
+    loss = lambda v: float((n * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v))).sum() + STIFF / 2 * ((v - PRIOR) ** 2).sum())
+    for _ in range(25):  # Newton steps, halved until they lead down
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (n * (y - p)) - STIFF * (w - PRIOR)
-        w = w + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + STIFF * np.eye(len(w)), slope)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + STIFF * np.eye(len(w)), slope)
+        for half in 0.5 ** np.arange(20):
+            if loss(w + half * step) < loss(w):
+                w = w + half * step
+                break
+        else:
+            break
     return w
 
 
 def extract(pages: DataFrame, html: str, weights: np.ndarray) -> DataFrame:
-    """pages with ``main_text``, the content blocks joined by a space; empty for null or empty html and pages without content."""
+    """pages with ``main_text``, the content blocks joined by a space; empty for null or empty html and pages without content.
+
+    A row for each row of pages; repeated rows have equal texts, an empty table gives none. A column main_text is replaced.
+    """
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

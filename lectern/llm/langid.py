@@ -12,20 +12,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.common import table
 
 #: Labelled texts of a language in the sample at most: one from each cell of a hash of the key.
 CELLS = 512
-#: Characters of a sampled text and bytes of a dictionary at most.
-SAMPLE_CHARS = 4000
+#: Bytes of a dictionary at most: the most frequent words of the sampled texts, which are read whole.
 DICT_BYTES = 20_000
 BLOCK_BYTES = 4096
 REJECT_BELOW = 0.001
@@ -49,22 +49,26 @@ def train(labelled: DataFrame, key: str, text: str, lang: str) -> Model:
     draw = F.xxhash64(F.lit("langid"), F.coalesce(F.col(key).cast("string"), F.lit("")))
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("name"), F.col(text).alias("content"), draw.alias("draw")).withColumn("cell", F.pmod("draw", F.lit(CELLS)).cast("int"))
     picks = rows.groupBy("name", "cell").agg(F.min("draw").alias("draw"))
-    sample = rows.join(F.broadcast(picks), ["name", "cell", "draw"]).groupBy("name", "cell", "draw").agg(F.min(F.substring("content", 1, SAMPLE_CHARS)).alias("content"))
-    found: dict[str, list[tuple[int, str]]] = {}
-    for r in sample.collect():
-        found.setdefault(r["name"], []).append((r["draw"], r["content"]))
+    # repeated rows of one key are one; equal draws differ in the content
+    sample = rows.join(F.broadcast(picks), ["name", "cell", "draw"]).groupBy("name", "cell", "draw").agg(F.min("content").alias("content"))
+    counted = sample.select("name", "content").mapInPandas(_word_counts, "name string, word string, n long").groupBy("name", "word").agg(F.sum("n").alias("n"))
+    # the most frequent words, as many as a dictionary holds
+    size = F.sum(F.octet_length("word") + 1).over(W.partitionBy("name").orderBy(F.desc("n"), F.desc("word")).rowsBetween(W.unboundedPreceding, 0))
+    found: dict[str, list[str]] = {}
+    for r in counted.withColumn("upto", size).filter(F.col("upto") < DICT_BYTES).orderBy("name", "n", "word").select("name", "word").collect():
+        found.setdefault(r["name"], []).append(r["word"])
     names = sorted(found)
-    return Model(tuple(names), tuple(_content(t for _, t in found[n]) for n in names))
+    return Model(tuple(names), tuple(f" {' '.join(found[n])} ".encode("utf-8", "replace") for n in names))
 
 
-def _plain(text: str) -> str:
-    return f" {_NO_LETTERS.sub(' ', text.lower()).strip()} "
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        n = Counter((name, w) for name, t in zip(batch["name"], batch["content"], strict=True) for w in _plain(t).split())
+        yield pd.DataFrame([(name, w.encode("utf-8", "replace").decode(), c) for (name, w), c in n.items()], columns=["name", "word", "n"])
 
 
-def _content(texts: Iterable[str]) -> bytes:
-    counts = Counter(w for t in texts for w in _plain(t).split())
-    rarest_first = sorted(counts, key=lambda w: (counts[w], w))
-    return f" {' '.join(rarest_first)} ".encode()[-DICT_BYTES:]
+def _plain(text: str) -> str:
+    return f" {_NO_LETTERS.sub(' ', text.lower()).strip()} "
 
 
 def _sizes(data: bytes, compressors: list) -> list[int]:

@@ -1,10 +1,10 @@
 """Mixing sources to target weights (operator 6).
 
 The words of a source, its documents one after another in a pseudorandom order, are packed
-into blocks of a fixed length. The mix is written as output shards of a fixed number of
-slots, one block each. For every shard the number of slots of each source is a multinomial
-draw by inverse distribution function, with stratified uniforms (one for each slot's stratum)
-so that the counts stay within one of their expectation. The slots of a source are numbered
+into blocks of a fixed length: ``BLOCK_WORDS``, or less for a source of under ``LEAST_BLOCKS`` such
+blocks, so that a small source can come near its target too. A source fills as many slots as its
+target takes in blocks; every slot draws its output shard, so the counts of the sources in a shard are
+multinomial draws by the target weights, given the totals that the targets fix. The slots of a source are numbered
 over all shards; a slot is mapped to a block by a pseudorandom permutation of the source's
 block indexes, a new one for each pass over the source, and slots and blocks are joined by
 index. No pass repeats a block, and a source is passed over at most ``MAX_PASSES`` times, so no
@@ -21,9 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import hash60, table, uniform, word_count
+from lectern.llm.common import hash60, table, word_count
 
 BLOCK_WORDS = 256
+#: Blocks of a source from which they have full length.
+LEAST_BLOCKS = 128
+#: Slots of an output shard, on average.
 SLOTS_PER_SHARD = 65536
 #: Parts into which a source is split for packing.
 BUCKETS = 1024
@@ -32,14 +35,14 @@ WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words.
 SHARE = 1.5
 MAX_PASSES = 2
-#: Output shards that one task lays out at a time.
-SPAN = 4096
+#: Slots that one task lays out at a time.
+SPAN = 65536
 #: Primes for the multiplier of a permutation of block indexes.
 PRIMES = (2147483629, 2147483587, 2147483579, 2147483563)
 
 
 def targets(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """(source, source_index, source_size, weight, target): one row for each source, from docs(source, size).
+    """(source, source_index, source_size, weight, target, block_words, blocks): one row for each source, from docs(source, size).
 
     Sources are in the order of their code points, null last. A target stops at MAX_PASSES times the
     source's size; what it leaves is shared by the others by weight until none is above.
@@ -59,56 +62,44 @@ def targets(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward))
         .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(every)["level"])
         .withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))))
-        .select("source", "source_index", "source_size", "weight", "target")
+        .withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long"))
+        .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
+        .select("source", "source_index", "source_size", "weight", "target", "block_words", "blocks")
     )
 
 
 def draw(sources: DataFrame, seed: str = "mix") -> DataFrame:
-    """(source_index, shard, slots, first): the slots of each source in each output shard; first numbers them over the shards."""
-    upto = W.orderBy("source_index").rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    quota = (
-        sources.withColumn("mix", F.sum("target").over(every))
-        .withColumn("last", F.max(F.when(F.col("target") > 0, F.col("source_index"))).over(every))
-        .withColumn("high", F.when(F.col("source_index") >= F.col("last"), F.lit(1.0)).otherwise(F.sum("target").over(upto) / F.col("mix")))
-        .withColumn("low", F.coalesce(F.lag("high").over(W.orderBy("source_index")), F.lit(0.0)))
-        .withColumn("all_slots", F.round(F.col("mix") / BLOCK_WORDS).cast("long"))
-        .filter((F.col("high") > F.col("low")) & (F.col("all_slots") > 0))
+    """(source_index, blocks, number, shard): the slots of each source, numbered, and the output shard that each draws.
+
+    Whole passes over the source hold whole blocks only, so the slots are those of the whole passes in the target and as many
+    blocks as the rest of it takes, to the nearest.
+    """
+    passes = F.floor(F.col("target") / F.col("source_size"))
+    part = F.round((F.col("target") - passes * F.col("source_size")) / F.col("block_words"))
+    counted = sources.filter("source_size > 0").withColumn("slots", F.least(passes * F.col("blocks") + part, F.col("blocks") * MAX_PASSES).cast("long"))
+    shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(W.partitionBy()) / SLOTS_PER_SHARD)).cast("long")
+    spans = (
+        counted.withColumn("shards", shards)
+        .filter("slots > 0")
+        .withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SPAN).cast("long"))))
+        .repartition("source_index", "span")  # else all slots of a source come from one task
     )
-    shards = F.ceil(F.col("all_slots") / SLOTS_PER_SHARD).cast("long")
-    spread = (
-        quota.withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((shards - 1) / SPAN).cast("long"))))
-        .repartition("source_index", "span")
-        .withColumn("shard", F.explode(F.sequence(F.col("span") * SPAN, F.least(shards, (F.col("span") + 1) * SPAN) - 1)))
-        .withColumn("in_shard", F.least(F.lit(SLOTS_PER_SHARD), F.col("all_slots") - F.col("shard") * SLOTS_PER_SHARD))
+    upto = F.least(F.col("slots"), (F.col("span") + 1) * SPAN) - 1
+    return (
+        spans.withColumn("number", F.explode(F.sequence(F.col("span") * SPAN, upto)))
+        .withColumn("shard", hash60(F.concat_ws("|", F.lit(seed), F.lit("shard"), "source_index", "number")) % F.col("shards"))
+        .select("source_index", "blocks", "number", "shard")
     )
 
-    def below(share: Column) -> Column:
-        """Slots of the shard whose uniform, one in each stratum, is below share."""
-        whole = F.floor(F.col("in_shard") * share)
-        u = uniform(F.concat_ws("|", F.lit(seed), "shard", whole))
-        return whole + F.when(u < F.col("in_shard") * share - whole, 1).otherwise(0)
 
-    running = W.partitionBy("source_index").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        spread.withColumn("slots", (below(F.col("high")) - below(F.col("low"))).cast("long"))
-        .withColumn("first", F.coalesce(F.sum("slots").over(running), F.lit(0)).cast("long"))
-        .select("source_index", "source_size", "shard", "slots", "first")
-    )
+def counts(sources: DataFrame, seed: str = "mix") -> DataFrame:
+    """(shard, source_index, slots): how many slots of each output shard each source has drawn."""
+    return draw(sources, seed).groupBy("shard", "source_index").agg(F.count("*").alias("slots"))
 
 
 def slots(drawn: DataFrame, seed: str = "mix") -> DataFrame:
     """(source_index, shard, pass, block): a row for each slot of the mix, mapped to a block of its source."""
-    number = F.col("first") + F.col("i")
-    spread = (
-        drawn.filter("slots > 0")
-        .repartition("source_index", "shard")  # else all slots of a source come from one task
-        .withColumn("blocks", F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long"))
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
-        .filter(number < F.col("blocks") * MAX_PASSES)
-        .withColumn("pass", F.floor(number / F.col("blocks")).cast("int"))
-        .withColumn("place", number % F.col("blocks"))
-    )
+    spread = drawn.withColumn("pass", F.floor(F.col("number") / F.col("blocks")).cast("int")).withColumn("place", F.col("number") % F.col("blocks"))
     draws = hash60(F.concat_ws("|", F.lit(seed), "source_index", "pass"))
     primes = F.array(*[F.lit(p).cast("long") for p in PRIMES])
     # a prime that doesn't divide the number of blocks makes place -> prime * place + shift a permutation
@@ -140,12 +131,13 @@ def pack(docs: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
 
 def pieces(packed: DataFrame) -> DataFrame:
     """(source_index, block, start, low, words): the part of each document (known by its start) in each block; low counts from the document's first word."""
-    first, last = F.floor(F.col("start") / BLOCK_WORDS).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS).cast("long")
-    low = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
-    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
+    size = F.col("block_words")
+    first, last = F.floor(F.col("start") / size).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / size).cast("long")
+    low = F.greatest(F.col("start"), F.col("block") * size)
+    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size)
     return (
         packed.filter("size > 0")
-        .select("source_index", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+        .select("source_index", "start", "size", "block_words", F.explode(F.sequence(first, last)).alias("block"))
         .select("source_index", "block", "start", (low - F.col("start")).alias("low"), (high - low).alias("words"))
     )
 
@@ -204,9 +196,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     h = lambda x: f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
-    u = lambda x: f"(('0x' || substr(md5({x}), 1, 13))::BIGINT / {float(2**52)!r}::DOUBLE)"
     b, m = BLOCK_WORDS, MAX_PASSES
-    low = f"(floor(in_shard * {{0}})::BIGINT + CASE WHEN {u(chr(39) + 'mix|' + chr(39) + ' || shard || ' + chr(39) + '|' + chr(39) + ' || floor(in_shard * {0})::BIGINT')} < in_shard * {{0}} - floor(in_shard * {{0}}) THEN 1 ELSE 0 END)"
     return f"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -220,35 +210,26 @@ WITH docs AS (
 ), s3 AS (
   SELECT *, (SELECT arg_min(level, cap / weight) FROM s2 WHERE level * weight <= cap) AS lv FROM s2
 ), s4 AS (
-  SELECT source, i, source_size, least(cap::DOUBLE, coalesce(lv * weight, cap::DOUBLE)) AS target FROM s3
-), q0 AS (
-  SELECT *, sum(target) OVER () AS mix, max(CASE WHEN target > 0 THEN i END) OVER () AS last,
-    sum(target) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM s4
-), q1 AS (
-  SELECT *, CASE WHEN i >= last THEN 1.0::DOUBLE ELSE upto / mix END AS high, round(mix / {b})::BIGINT AS all_slots FROM q0
-), q2 AS (
-  SELECT *, coalesce(lag(high) OVER (ORDER BY i), 0.0) AS low FROM q1
+  SELECT *, ceil(source_size / block_words)::BIGINT AS blocks FROM (
+    SELECT source, i, source_size, least(cap::DOUBLE, coalesce(lv * weight, cap::DOUBLE)) AS target,
+      greatest(1, least({b}, source_size // {LEAST_BLOCKS}))::BIGINT AS block_words FROM s3)
 ), d0 AS (
-  SELECT i, source_size, high, low, shard, least({SLOTS_PER_SHARD}, all_slots - shard * {SLOTS_PER_SHARD}) AS in_shard
-  FROM (SELECT *, unnest(range(ceil(all_slots / {SLOTS_PER_SHARD})::BIGINT)) AS shard FROM q2 WHERE high > low AND all_slots > 0)
-), d1 AS (
-  SELECT i, source_size, shard, ({low.format('high')} - {low.format('low')}) AS n FROM d0
-), d2 AS (
-  SELECT *, coalesce(sum(n) OVER (PARTITION BY i ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM d1
+  SELECT i, blocks, least(floor(target / source_size) * blocks + round((target - floor(target / source_size) * source_size) / block_words), blocks * {m})::BIGINT AS n
+  FROM s4 WHERE source_size > 0
 ), j0 AS (
-  SELECT i, ceil(source_size / {b})::BIGINT AS blocks, first + k AS number FROM (SELECT *, unnest(range(n)) AS k FROM d2)
+  SELECT i, blocks, unnest(range(n)) AS number FROM d0
 ), j1 AS (
-  SELECT i, blocks, number // blocks AS pass, number % blocks AS place FROM j0 WHERE number < blocks * {m}
+  SELECT i, blocks, number // blocks AS pass, number % blocks AS place FROM j0
 ), j2 AS (
   SELECT i, ((list_filter(list_slice([{", ".join(map(str, PRIMES))}], pass + 1, {len(PRIMES)}) || [{", ".join(map(str, PRIMES))}], lambda p: blocks % p <> 0)[1]::HUGEINT * place
     + {h("'mix|' || i || '|' || pass")} % blocks) % blocks)::BIGINT AS block FROM j1
 ), p0 AS (
-  SELECT doc_id, size, s4.i, source_size, target, {h("'pack|' || coalesce(doc_id::VARCHAR, '')")} AS draw FROM docs JOIN s4 ON docs.source IS NOT DISTINCT FROM s4.source
+  SELECT doc_id, size, s4.i, source_size, target, block_words, {h("'pack|' || coalesce(doc_id::VARCHAR, '')")} AS draw FROM docs JOIN s4 ON docs.source IS NOT DISTINCT FROM s4.source
 ), p1 AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY i ORDER BY draw % {BUCKETS}, draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, row_number() OVER () AS r FROM p0
 ), p2 AS (
-  SELECT r, i, start, size, unnest(range(start // {b}, (start + size - 1) // {b} + 1)) AS block FROM p1 WHERE size > 0
+  SELECT r, i, start, size, block_words AS bw, unnest(range(start // block_words, (start + size - 1) // block_words + 1)) AS block FROM p1 WHERE size > 0
 ), taken AS (
-  SELECT r, sum(least(start + size, (p2.block + 1) * {b}) - greatest(start, p2.block * {b}))::BIGINT AS words FROM p2 JOIN j2 USING (i, block) GROUP BY r
+  SELECT r, sum(least(start + size, (p2.block + 1) * bw) - greatest(start, p2.block * bw))::BIGINT AS words FROM p2 JOIN j2 USING (i, block) GROUP BY r
 )
 SELECT doc_id, size, source_size, target, coalesce(words, 0)::BIGINT AS taken FROM p1 LEFT JOIN taken USING (r)"""

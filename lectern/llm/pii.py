@@ -35,12 +35,13 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Patterns of the looser candidates.
+#: Patterns of the looser candidates. Repeated groups are possessive: others are matched by recursion, once for each
+#: repeat, and a long text would overflow the stack.
 LOOSE = {
-    "email": rf"(?i)(?<![{LOCAL}])[{LOCAL}]+(?:\x20?[(\[{{]at[)\]}}]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[(\[{{]dot[)\]}}]|\x20dot\x20)\x20?[A-Za-z0-9-]+)+|\x20at\x20[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)+)",
+    "email": rf"(?i)(?<![{LOCAL}])[{LOCAL}]++(?:\x20?[(\[{{]at[)\]}}]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[{{]dot[)\]}}]|\x20dot\x20)\x20?[A-Za-z0-9-]++)++|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++)",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": BASE["card"],
-    "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?<![0-9+(.-])00[1-9][0-9]*(?:[\x20().-]+[0-9]+)+",
+    "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?<![0-9+(.-])00[1-9][0-9]*+(?:[\x20().-]++[0-9]++)++",
 }
 #: What a text must contain for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
@@ -56,7 +57,7 @@ AGAINST = "version|release|isbn|issn|doi|order|invoice|serial|sku|page|section|f
 DOMAINS = "com|org|net|edu|gov|info|io|biz|eu|de|fr|es|uk|it|nl|ch|at|be|pl|ru|jp|cn|in|br|us|ca|au|se|no|dk|fi|pt|ie|mx|ar"
 CARD_PREFIX = "3[0-9]|4|5[1-5]|2[2-7]|6"
 
-SPAN = "struct<kind:string,start:long,end:long,value:string>"
+SPAN = "struct<kind:string,start:long,end:long,value:string,before:string,after:string>"
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -66,21 +67,42 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
 def find(text: Column, regex: str, kind: str) -> Column:
     """All matches as array<SPAN>, leftmost and non-overlapping, in code points with the end exclusive.
 
-    The texts between the matches and the matches themselves give the places by their lengths.
+    The texts between the matches and the matches themselves give the places by their lengths, and what stands before and
+    after each; the text isn't read again for a match. The running sum of n lengths is taken in about sqrt(n) groups, as an
+    array that grows by one is copied at each step.
     """
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found"))
 
     def step(state, pair):
         begin = state["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["hit"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["hit"].alias("value"))
+        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["hit"].alias("value"), pair["before"].alias("before"), pair["after"].alias("after"))
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
 
+    def grouped(pairs):
+        size = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(pairs) / size).cast("int") - 1), lambda g: F.slice(pairs, g * size + 1, size))
+
+    def spans(groups):
+        zero = F.lit(0).cast("long")
+        length = lambda group: F.aggregate(group, zero, lambda n, p: n + F.length(p["gap"]) + F.length(p["hit"]))
+        offset = lambda lengths, g: F.aggregate(F.slice(lengths, 1, g), zero, lambda n, x: n + x)
+        inside = lambda group, at: F.aggregate(group, F.struct(at.alias("at"), empty.alias("found")), step, lambda s: s["found"])
+        return _let(F.transform(groups, length), lambda lengths: F.flatten(F.transform(groups, lambda group, g: inside(group, offset(lengths, g)))))
+
+    def paired(hits, gaps):
+        tail = lambda c: F.right(c, F.lit(CONTEXT_CHARS))
+        tails = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(tail(g).alias("gap"), F.concat(tail(g), tail(h)).alias("both")))
+        # no match is shorter than five characters
+        most = CONTEXT_CHARS // 5
+        near = lambda t, i: F.array_join(F.transform(F.slice(t, F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most))), lambda x: x["both"]), "")
+        after = lambda i: F.left(F.concat(gaps[i + 1], F.coalesce(F.get(hits, i + 1), F.lit(""))), F.lit(1))
+        return _let(tails, lambda t: F.transform(hits, lambda h, i: F.struct(
+            gaps[i].alias("gap"), h.alias("hit"), tail(F.concat(near(t, i), t[i]["gap"])).alias("before"), after(i).alias("after")
+        )))
+
     def placed(hits):
-        gaps = F.slice(F.split(text, regex, -1), 1, F.size(hits))
-        pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return F.when(F.size(hits) == 0, empty).otherwise(F.aggregate(pairs, start, step, lambda s: s["found"]))
+        return F.when(F.size(hits) == 0, empty).otherwise(_let(F.split(text, regex, -1), lambda gaps: _let(paired(hits, gaps), lambda p: _let(grouped(p), spans))))
 
     return _let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), placed)
 
@@ -119,8 +141,9 @@ def loose_spans(text: Column, base: Column) -> Column:
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     found = F.concat(*[F.when(whole.rlike(guard[k]), find(whole, LOOSE[k], k)).otherwise(none) for k in KINDS])
     apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    sized = lambda s: (s["kind"] != "card") | F.length(_digits(s["value"])).between(13, 19)
-    return F.filter(found, lambda s: apart(s) & sized(s))
+    # a valid card is a base span, and shorter or longer numbers are none
+    card = lambda s: (s["kind"] != "card") | F.length(_digits(s["value"])).between(13, 19) & ~_valid("card", s["value"])
+    return F.filter(F.filter(found, card), apart)
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -134,12 +157,11 @@ def _by_kind(kind: Column, values: dict[str, Column]) -> Column:
     return out
 
 
-def votes(text: Column, span: Column, base: Column) -> Column:
+def votes(span: Column, base: Column) -> Column:
     """The labelers' votes on a span, array<int> in the order of LABELERS: 1 for, -1 against, 0 none."""
     kind, value = span["kind"], span["value"]
     n = F.length(_digits(value))
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), span["start"] - CONTEXT_CHARS + 1).cast("int"), F.least(F.lit(CONTEXT_CHARS).cast("long"), span["start"]).cast("int")))
-    previous, following = F.when(span["start"] > 0, F.substring(text, span["start"].cast("int"), F.lit(1))).otherwise(""), F.substring(text, (span["end"] + 1).cast("int"), F.lit(1))
+    before, previous, following = F.lower(span["before"]), F.right(span["before"], F.lit(1)), span["after"]
     word = lambda words: before.rlike(rf"(?<![a-z0-9])(?:{words})(?![a-z0-9])")
     check = _by_kind(kind, {
         "email": _vote(F.lower(value).rlike(rf"(?:\.|dot[)\]}}]?)\x20?(?:{DOMAINS})$"), F.lit(False)),
@@ -176,9 +198,8 @@ def shapes(span: Column) -> Column:
 
 def candidates(docs: DataFrame, text: str) -> DataFrame:
     """docs with ``spans``: base spans and candidates with flag base, votes and features."""
-    t = F.coalesce(F.col(text), F.lit(""))
     marked = lambda spans, base: F.transform(spans, lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), votes(t, s, F.lit(base)).alias("votes"), shapes(s).alias("shapes")
+        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), votes(s, F.lit(base)).alias("votes"), shapes(s).alias("shapes")
     ))
     found = docs.withColumn("__base", base_spans(F.col(text)))
     found = found.withColumn("__loose", loose_spans(F.col(text), F.col("__base")))

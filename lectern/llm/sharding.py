@@ -69,10 +69,10 @@ def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, table
     """df with the columns ``slot`` and ``shard``.
 
     Equal keys meet in one shard; a null key counts as the empty string. Columns of df named slot or
-    shard are replaced. An empty df gives an empty result; repeated rows each keep their place.
+    shard are replaced, the key too if it is one of them. An empty df gives an empty result; repeated rows each keep their place.
     """
     slot = (hash60(F.coalesce(F.col(key).cast("string"), F.lit(""))) % F.lit(table_size)).cast("int")
-    placed = df.drop("slot", "shard").withColumn("slot", slot)
+    placed = df.withColumn("__slot", slot).drop("slot", "shard").withColumnRenamed("__slot", "slot")
     return placed.join(F.broadcast(lookup_table(df.sparkSession, shards, table_size)), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
 
 

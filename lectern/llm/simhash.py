@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, table
+from lectern.llm.common import cut, join_counted, table
 from lectern.llm.components import components
 
 SHINGLE = 3
@@ -156,16 +156,25 @@ def _three_apart(code: np.ndarray, fps: np.ndarray) -> np.ndarray:
 
 def _linker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links of the buckets of a partition sorted by key; a bucket that goes on in the next batch waits for it."""
-    rest_k, rest_f = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def close() -> pd.DataFrame:
+        keys, fps = (np.concatenate([w[i] for w in waiting] or [np.empty(0, np.uint64)]) for i in (0, 1))
+        links = _bucket_links(keys, fps).view(np.int64)
+        waiting.clear()
+        return pd.DataFrame({"u": links[:, 0], "v": links[:, 1]})
+
     for batch in batches:
-        keys = np.concatenate([rest_k, batch["key"].to_numpy().view(np.uint64)])
-        fps = np.concatenate([rest_f, batch["fp"].to_numpy().view(np.uint64)])
-        whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        rest_k, rest_f = keys[whole:], fps[whole:]
-        links = _bucket_links(keys[:whole], fps[:whole]).view(np.int64)
-        yield pd.DataFrame({"u": links[:, 0], "v": links[:, 1]})
-    links = _bucket_links(rest_k, rest_f).view(np.int64)
-    yield pd.DataFrame({"u": links[:, 0], "v": links[:, 1]})
+        keys, fps = batch["key"].to_numpy().view(np.uint64), batch["fp"].to_numpy().view(np.uint64)
+        if not len(keys):
+            continue
+        whole = int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[-1]))
+        if whole or waiting and waiting[0][0][-1] != keys[0]:  # else one bucket, which may go on for many batches
+            if whole:
+                waiting.append((keys[:whole], fps[:whole]))
+            yield close()
+        waiting.append((keys[whole:], fps[whole:]))
+    yield close()
 
 
 def link(fps: DataFrame) -> DataFrame:
@@ -183,11 +192,12 @@ def near_duplicates(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE
     Copies are one fingerprint from the start, so a group of copies costs as much as a single text.
     """
     marked = cut(docs.select(F.col(key).alias("key"), fingerprints(F.col(text), shingle).alias("fp")))
-    distinct = marked.groupBy("fp").agg(F.min("key").alias("least"))
+    distinct = cut(marked.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("__n")))
+    total = distinct.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     labels = components(link(distinct)).select(F.col("node").alias("fp"), "component")
-    named = cut(distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label")))
+    named = cut(distinct.join(labels, "fp", "left").select("fp", "least", "__n", F.coalesce("component", "fp").alias("label")))
     classes = named.groupBy("label").agg(F.min("least").alias("component"))
-    return marked.join(named.select("fp", "label").join(classes, "label").select("fp", "component"), "fp").select(F.col("key").alias(key), "fp", "component")
+    return join_counted(marked, named.join(classes, "label").select("fp", "__n", "component"), "fp", total).select(F.col("key").alias(key), "fp", "component")
 
 
 def hexadecimal(fp: Column) -> Column:
