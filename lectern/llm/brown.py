@@ -1,38 +1,46 @@
 """Language-model scoring by Brown class-based bigrams (operator 8).
 
-log P(text) is the sum over its tokens of log P(class | class before) + log P(word | class). Exchange
-clustering assigns classes: units are moved, one after another, to the class that raises the
-likelihood of the unit bigrams most, until a pass moves none. The ``FREQUENT`` most frequent words are units of
-their own; all other words, seen or not, move in ``GROUPS`` units by a hash of their ending, so that
-each has a class while the bigram counts, (FREQUENT + GROUPS + 1)^2 at most, stay the model's size.
-Counts of words and bigrams are over all training texts.
-
-A word's count is needed where the word is scored, but neither the vocabulary nor a row for each token
-is shuffled to it: documents are dealt into shards of about ``SHARD_CHARS``, a shard asks once for each of its
-distinct words, and the answers meet the shard's texts.
+log P(text) is the sum over its tokens of log P(class | class of the word before) + log P(word | class).
+Exchange clustering assigns the classes, in two steps:
+
+- The ``FREQUENT`` most frequent words and ``GROUPS`` groups of all others, by a hash of their ending, are units. They are
+  moved one after another to the class that raises the likelihood of the unit bigrams most, until none moves. That matrix
+  has (FREQUENT + GROUPS + 1)^2 cells at any input size.
+- Every word seen ``LEAST`` times or more then moves by itself, by the classes of the words before its own places: each
+  round holds the counts of the last one, half of the words may move in it, and the rounds end when the likelihood
+  rises by less than ``TOLERANCE``. The words lie in a table, so this vocabulary grows with the corpus; only class counts come to the
+  driver. Rarer and unseen words stay with their group.
+
+Texts are read and numbered once, in shards of about ``SHARD_CHARS`` that are written with their words. A word's
+contexts are summed in its shard first, then over shards; its count and class go back to the shards that hold it.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, table
+from lectern.llm.common import cut, forget, table
 
 CLASSES = 64
 FREQUENT = 1000
 GROUPS = 256
 #: The last code points of a word, by which rarer words are grouped.
 ENDING = 3
-PASSES = 10
-SHARD_CHARS = 16_000_000
+#: Occurrences from which a word has a class of its own choice.
+LEAST = 3
+#: Share by which the log-likelihood has to rise for another round.
+TOLERANCE = 1e-4
+SHARD_CHARS = 8_000_000
+#: A shard names a word for the frequent ones if it is one in so many of its tokens at least.
+ONE_IN = 50_000
 #: Counts that smoothing adds to each transition and each word of a class.
 ADD_TRANSITION, ADD_WORD = 0.1, 0.5
 
@@ -41,6 +49,7 @@ END = FREQUENT + GROUPS
 UNITS = END + 1
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_CONTEXT = np.dtype([("unit", "<u2"), ("n", "<u4")])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -48,23 +57,22 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
 
 
-def _strings(found: Iterable[bytes]) -> pd.Series:
-    return pd.Series([w.decode("utf-8", "replace") for w in found], dtype=object)
-
-
 def group(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "replace")[-ENDING:].encode()) % GROUPS
 
 
 @dataclass
 class Model:
-    """frequent: word -> (unit, count). class_of: of each unit. transition: log10 P(class | class before). denominator: of each class' words."""
+    """frequent: word -> (unit, count, class). context: class of each unit as the word before. transition: log10 P(class | class before).
+
+    denominator: of each class' words. With it goes a table of all other words, (word, n, class).
+    """
 
     tokens: int
     distinct: int
     ends: int
-    frequent: dict[bytes, tuple[int, int]]
-    class_of: np.ndarray
+    frequent: dict[bytes, tuple[int, int, int]]
+    context: np.ndarray
     transition: np.ndarray
     denominator: np.ndarray
 
@@ -73,58 +81,142 @@ class Model:
         return known[0] if known else FREQUENT + group(word)
 
 
-def word_counts(texts: DataFrame, text: str) -> DataFrame:
-    """(word, n): counted in each batch first, then summed by word."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n = Counter()
-            for t in batch["text"]:
-                n.update(words(t))
-            yield pd.DataFrame({"word": _strings(n), "n": pd.Series(list(n.values()), dtype="int64")})
+def number_texts(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame:
+    """The texts in shards, a row each: keys, which texts are for training, their lengths, the numbers of their words and the words."""
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"shard long, keys array<{kind}>, training array<boolean>, lengths array<long>, ids binary, words binary, n_training binary"
 
-    return texts.select(F.col(text).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, made = TaskContext.get().partitionId(), 0
+        ids, keys, training, numbers, chars = {}, [], [], [], 0
 
+        def shard() -> pd.DataFrame:
+            all_ = np.concatenate(numbers)
+            seen = np.concatenate([np.empty(0, np.int32), *(x for x, t in zip(numbers, training, strict=True) if t)])
+            row = (task << 32 | made, keys, training, [len(x) for x in numbers], all_.tobytes(), b" ".join(ids), np.bincount(seen, minlength=len(ids)).astype(np.int64).tobytes())
+            return pd.DataFrame([row], columns=[c.split(" ")[0] for c in schema.split(", ")])
 
-def unit_bigrams(texts: DataFrame, text: str, frequent: dict[bytes, tuple[int, int]]) -> np.ndarray:
-    """Counts of neighbouring units; each text begins after an end and ends with one."""
-    units = {w: u for w, (u, _) in frequent.items()}
+        for batch in batches:
+            for k, t, use in zip(batch["key"], batch["text"], batch["training"], strict=True):
+                found = words(t)
+                for w in dict.fromkeys(found):
+                    ids.setdefault(w, len(ids))
+                keys.append(None if pd.isna(k) else k), training.append(bool(use)), numbers.append(np.fromiter(map(ids.__getitem__, found), np.int32, len(found)))
+                chars += len(t or "")
+                if chars >= SHARD_CHARS:
+                    yield shard()
+                    made += 1
+                    ids, keys, training, numbers, chars = {}, [], [], [], 0
+        if keys:
+            yield shard()
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training")).mapInPandas(number, schema)
+
+
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(shard, words, counts of the words in training texts, numbers of each text's words, which are for training)."""
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            ids = np.frombuffer(r.ids, np.int32)
+            yield r.shard, r.words.split(), np.frombuffer(r.n_training, np.int64), np.split(ids, np.cumsum(r.lengths)[:-1]), r.training
+
+
+def frequent_words(shards: DataFrame) -> list[bytes]:
+    """The FREQUENT words that their shards name with the greatest counts in all."""
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, found, n, _, _ in _shards(batches):
+            at = np.flatnonzero((n > 0) & (n * ONE_IN >= n.sum()))
+            yield pd.DataFrame({"word": pd.Series([found[i].decode("utf-8", "replace") for i in at], dtype=object), "n": n[at]})
+
+    rows = shards.mapInPandas(named, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    return [r["word"].encode() for r in rows]
+
+
+def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
+    """(word, n, contexts): how often each training word stands after each unit, as bytes of _CONTEXT. The empty word is a text's end."""
+    units = {w: u for u, w in enumerate(frequent)}
+
+    def in_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, found, n, texts, training in _shards(batches):
+            unit = np.array([units[w] if w in units else FREQUENT + group(w) for w in found] + [END], np.int64)
+            end = np.array([len(found)])
+            ids = np.concatenate([end, *(x for t, use in zip(texts, training, strict=True) if use for x in (t, end))]).astype(np.int64)
+            cells, times = np.unique(ids[1:] * UNITS + unit[ids[:-1]], return_counts=True)
+            yield _rows([*(w.decode("utf-8", "replace") for w in found), ""], cells, times)
+
+    def over_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # sorted by word: what a batch ends with may go on in the next
+        last, rest = None, np.empty(0, _CONTEXT)
+        for batch in batches:
+            if not len(batch):
+                continue
+            names = batch["word"].to_numpy()
+            new = np.concatenate([[True], names[1:] != names[:-1]])
+            place, names = np.cumsum(new) - 1, names[new].tolist()
+            held = np.frombuffer(b"".join(batch["contexts"]), _CONTEXT)
+            owner = np.repeat(place, [len(x) // _CONTEXT.itemsize for x in batch["contexts"]])
+            if last is not None and last != names[0]:
+                names, owner = [last, *names], owner + 1
+            held, owner = np.concatenate([rest, held]), np.concatenate([np.zeros(len(rest), np.int64), owner])
+            cells, back = np.unique(owner * UNITS + held["unit"], return_inverse=True)
+            times = np.bincount(back, held["n"], len(cells)).astype(np.int64)
+            whole = np.searchsorted(cells, (len(names) - 1) * UNITS)
+            yield _rows(names[:-1], cells[:whole], times[:whole])
+            last, rest = names[-1], np.empty(len(cells) - whole, _CONTEXT)
+            rest["unit"], rest["n"] = cells[whole:] % UNITS, times[whole:]
+        if last is not None:
+            yield _rows([last], rest["unit"].astype(np.int64), rest["n"].astype(np.int64))
+
+    schema = "word string, n long, contexts binary"
+    return shards.mapInPandas(in_shard, schema).repartition("word").sortWithinPartitions("word").mapInPandas(over_shards, schema)
+
+
+def _rows(names: list[str], cells: np.ndarray, times: np.ndarray) -> pd.DataFrame:
+    """(word, n, contexts) of the words that occur, from sorted cells, number of the word times UNITS plus unit."""
+    held = np.empty(len(cells), _CONTEXT)
+    held["unit"], held["n"] = cells % UNITS, times
+    owner = cells // UNITS
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(cells) else np.empty(0, np.int64)
+    data, ends = held.tobytes(), [*first[1:].tolist(), len(cells)]
+    return pd.DataFrame({
+        "word": pd.Series([names[i] for i in owner[first]], dtype=object), "n": np.add.reduceat(times, first) if len(first) else np.empty(0, np.int64),
+        "contexts": pd.Series([data[a * _CONTEXT.itemsize : b * _CONTEXT.itemsize] for a, b in zip(first.tolist(), ends)], dtype=object),
+    })
+
+
+def unit_bigrams(found: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of neighbouring units, and distinct words of each unit, from contexts()."""
+    units = {w: u for u, w in enumerate(frequent)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.zeros(UNITS * UNITS, np.int64)
+        cells, kinds = np.zeros(UNITS * UNITS, np.int64), np.zeros(UNITS, np.int64)
         for batch in batches:
-            ids: dict[bytes, int] = {}
-            numbers: list[int] = []
-            for t in batch["text"]:
-                for w in set(found := words(t)).difference(ids):
-                    ids[w] = units[w] if w in units else FREQUENT + group(w)
-                numbers.append(END)
-                numbers.extend(map(ids.__getitem__, found))
-                if len(numbers) > 200_000:
-                    _add(cells, numbers + [END])
-                    numbers = []
-            if numbers:
-                _add(cells, numbers + [END])
-        at = np.flatnonzero(cells)
-        yield pd.DataFrame({"cell": at, "n": cells[at]})
-
-    found = texts.select(F.col(text).alias("text")).mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(UNITS * UNITS)
-    out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(float)
-    return out.reshape(UNITS, UNITS)
-
-
-def _add(cells: np.ndarray, numbers: list[int]) -> None:
-    at = np.array(numbers, np.int64)
-    cells += np.bincount(at[:-1] * UNITS + at[1:], minlength=len(cells))
+            unit = np.array([_unit(w.encode(), units) for w in batch["word"]], np.int64)
+            held = np.frombuffer(b"".join(batch["contexts"]), _CONTEXT)
+            at = held["unit"].astype(np.int64) * UNITS + np.repeat(unit, [len(x) // _CONTEXT.itemsize for x in batch["contexts"]])
+            cells += np.bincount(at, held["n"], len(cells)).astype(np.int64)
+            kinds += np.bincount(unit, minlength=UNITS)
+        at, of = np.flatnonzero(cells), np.flatnonzero(kinds)
+        yield pd.DataFrame({"cell": np.concatenate([at, -1 - of]), "n": np.concatenate([cells[at], kinds[of]])})
+
+    rows = found.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cell, n = rows["cell"].to_numpy(np.int64), rows["n"].to_numpy(float)
+    bigrams, kinds = np.zeros(UNITS * UNITS), np.zeros(UNITS)
+    bigrams[cell[cell >= 0]], kinds[-1 - cell[cell < 0]] = n[cell >= 0], n[cell < 0]
+    return bigrams.reshape(UNITS, UNITS), kinds
+
+
+def _unit(word: bytes, units: dict[bytes, int]) -> int:
+    return END if not word else units[word] if word in units else FREQUENT + group(word)
 
 
 def _xlogx(n: np.ndarray) -> np.ndarray:
     return n * np.log(np.maximum(n, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
-    """The class of each unit, the end in the last class alone; units start in turn by frequency."""
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """The class of each unit, the end in the last class alone; units start in turn by frequency and move until none gains."""
     n = bigrams.sum(0)
     order = [u for u in np.argsort(-n, kind="stable") if u != END]
     class_of = np.full(UNITS, classes)
@@ -133,7 +225,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     member[np.arange(UNITS), class_of] = 1
     m = member.T @ bigrams @ member
     size = m.sum(0)
-    for _ in range(passes):
+    moved = 1
+    while moved:
         moved = 0
         for u in order:
             if not n[u]:
@@ -151,7 +244,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
             rows += _xlogx(d + right + left + self_) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
             gain = rows - 2 * (_xlogx(size + n[u]) - _xlogx(size))
             b = int(np.argmax(gain[:classes]))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + 1e-6:
                 b = a
             moved += b != a
             m[b] += right
@@ -160,89 +253,154 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
             size[b] += n[u]
             member[u, a], member[u, b] = 0, 1
             class_of[u] = b
-        if not moved:
-            break
     return class_of
 
 
-def train(texts: DataFrame, text: str) -> tuple[Model, DataFrame]:
-    """The model of the texts and their word counts (word, n); null texts count as empty."""
-    counts = cut(word_counts(texts, text))
-    ends = texts.count()
-    kinds, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = {r["word"].encode(): (i, r["n"]) for i, r in enumerate(top)}
-    bigrams = unit_bigrams(texts, text, frequent)
-    class_of = exchange(bigrams)
+def choose(own: np.ndarray, starts: np.ndarray, context: np.ndarray, times: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The class that suits each word best while all others stay: own is its class, from starts on are its contexts and their counts."""
+    pairs, total = pairs[:, :CLASSES], pairs[:, :CLASSES].sum(0)
+    n = np.add.reduceat(times, starts)
+    before = pairs[context]
+    gain = np.add.reduceat(_xlogx(before + times[:, None]) - _xlogx(before), starts) - (_xlogx(total + n[:, None]) - _xlogx(total))
+    rows = np.arange(len(own))
+    there = pairs[context, np.repeat(own, np.diff(np.append(starts, len(context))))]
+    gain[rows, own] = np.add.reduceat(_xlogx(there) - _xlogx(there - times), starts) - (_xlogx(total[own]) - _xlogx(total[own] - n))
+    best = gain.argmax(1)
+    return np.where(gain[rows, best] > gain[rows, own] + 1e-6, best, own)
+
+
+def refine(found: DataFrame, frequent: list[bytes], class_of: np.ndarray, bigrams: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, class) of every training word, and the counts of class before and class, by rounds of exchange over single words."""
+    units = {w: u for u, w in enumerate(frequent)}
     member = np.zeros((UNITS, CLASSES + 1))
     member[np.arange(UNITS), class_of] = 1
     pairs = member.T @ bigrams @ member
+    schema = "word string, n long, contexts binary, class int"
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(**{"class": [int(class_of[_unit(w.encode(), units)]) for w in batch["word"]]})
+
+    def moving(turn: int, pairs: np.ndarray):
+        def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for a in range(0, len(batch), 2000):
+                    part = batch.iloc[a : a + 2000]
+                    held = np.frombuffer(b"".join(part["contexts"]), _CONTEXT)
+                    starts = np.concatenate([[0], np.cumsum([len(x) // _CONTEXT.itemsize for x in part["contexts"]])[:-1]]).astype(np.int64)
+                    own = part["class"].to_numpy(np.int64)
+                    best = choose(own, starts, class_of[held["unit"]], held["n"].astype(float), pairs)
+                    now = np.array([zlib.crc32(w.encode()) >> 8 & 1 for w in part["word"]]) == turn % 2
+                    yield part.assign(**{"class": np.where(now, best, own)})
+
+        return move
+
+    def changed(before: DataFrame, after: DataFrame) -> np.ndarray:
+        """The counts by class before and class of the words that may move."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cells = np.zeros((CLASSES + 1) ** 2)
+            for batch in batches:
+                held = np.frombuffer(b"".join(batch["contexts"]), _CONTEXT)
+                to = np.repeat(batch["class"].to_numpy(np.int64), [len(x) // _CONTEXT.itemsize for x in batch["contexts"]])
+                cells += np.bincount(class_of[held["unit"]] * (CLASSES + 1) + to, held["n"], len(cells))
+            at = np.flatnonzero(cells)
+            yield pd.DataFrame({"cell": at, "n": cells[at].astype(np.int64)})
+
+        out = np.zeros((CLASSES + 1) ** 2)
+        rows = after.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
+        return out.reshape(CLASSES + 1, CLASSES + 1)
+
+    likelihood = lambda m: float(_xlogx(m).sum() - _xlogx(m.sum(0)).sum())
+    moves = (F.col("n") >= LEAST) & (F.col("word") != "")
+    now = cut(found.filter(moves).mapInPandas(first, schema))
+    counted, turn, low = changed(None, now), 0, 0
+    while low < 2:  # both halves have had their turn to no gain
+        after = cut(now.mapInPandas(moving(turn, pairs), schema))
+        fresh = changed(now, after)
+        better = pairs - counted + fresh
+        rise = likelihood(better) - likelihood(pairs)
+        low = 0 if rise > TOLERANCE * abs(likelihood(pairs)) else low + 1
+        turn += 1
+        if rise <= 0:  # moves that don't go together
+            forget(after)
+            continue
+        forget(now)
+        now, pairs, counted = after, better, fresh
+    others = found.filter(~moves & (F.col("word") != "")).mapInPandas(first, schema)
+    return now.select("word", "n", "class").unionByName(others.select("word", "n", "class")), pairs
+
+
+def train(shards: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the training texts of number_texts(), and their words as (word, n, class); null texts count as empty."""
+    frequent = frequent_words(shards)
+    found = cut(contexts(shards, frequent))
+    bigrams, kinds = unit_bigrams(found, frequent)
+    class_of = exchange(bigrams)
+    classes, pairs = refine(found, frequent, class_of, bigrams)
+    classes = cut(classes)
+    forget(found)
+    ends = int(bigrams[:, END].sum())
+    distinct = np.zeros(CLASSES + 1)
+    for r in classes.groupBy("class").agg(F.count("*").alias("kinds")).collect():
+        distinct[r["class"]] = r["kinds"]
+    distinct[CLASSES] = ends > 0
+    units = {w: u for u, w in enumerate(frequent)}
+    top = classes.join(F.broadcast(classes.sparkSession.createDataFrame([(w.decode(),) for w in frequent], "word string")), "word").collect()
     transition = np.log10((pairs + ADD_TRANSITION) / (pairs.sum(1, keepdims=True) + ADD_TRANSITION * (CLASSES + 1)))
-    known = np.zeros(UNITS)  # distinct words of each unit
-    for r in counts.groupBy((F.crc32(F.right("word", F.lit(ENDING)).cast("binary")) % GROUPS).alias("g")).count().collect():
-        known[FREQUENT + r["g"]] = r["count"]
-    for w, (u, _) in frequent.items():
-        known[FREQUENT + group(w)] -= 1
-        known[u] = 1
-    denominator = member.T @ bigrams.sum(0) + ADD_WORD * (member.T @ known + 1)
-    return Model(int(tokens) + ends, kinds + (ends > 0), ends, frequent, class_of, transition, denominator), counts
+    denominator = pairs.sum(0) + ADD_WORD * (distinct + 1)
+    known = {r["word"].encode(): (units[r["word"].encode()], r["n"], r["class"]) for r in top}
+    return Model(int(pairs.sum()), int(kinds.sum()), ends, known, class_of, transition, denominator), classes
 
 
 def _scorer(model: Model):
     base_total = model.tokens + model.distinct + 1
-    end_class = model.class_of[END]
 
     def score(shard: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        count = {w.encode(): n for w, n in zip(answers["word"], answers["n"], strict=True)}
-        count.update((w, n) for w, (_, n) in model.frequent.items())
-        ids: dict[bytes, int] = {}
-        texts = shard["text"].tolist()
-        for t in texts:
-            for w in words(t):
-                ids.setdefault(w, len(ids))
-        c = np.array([count.get(w, 0) for w in ids], float)
-        k = model.class_of[np.fromiter((model.unit(w) for w in ids), np.int64, len(ids))]
-        base = np.log10((c + 1) / base_total)
-        emit = np.log10((c + ADD_WORD) / model.denominator[k])
-        end_base = float(np.log10((model.ends + 1) / base_total))
-        out = []
-        for t in texts:
-            at = np.fromiter(map(ids.__getitem__, found := words(t)), np.int64)
-            path = np.concatenate([[end_class], k[at], [end_class]])
-            moves = model.transition[path[:-1], path[1:]].sum()
-            out.append((len(found) + 1, int((c[at] > 0).sum()) + (model.ends > 0), float(base[at].sum()) + end_base, float(emit[at].sum() + moves)))
-        return shard[["row"]].reset_index(drop=True).join(pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"]))
+        keys, out = [], []
+        for r, (_, found, _, texts, _) in zip(shard.itertuples(index=False), _shards(iter([shard])), strict=True):
+            unit = np.array([*map(model.unit, found), END], np.int64)
+            before = model.context[unit]
+            c, k = np.zeros(len(found) + 1), before.copy()
+            for i, w in enumerate(found):
+                if w in model.frequent:
+                    _, c[i], k[i] = model.frequent[w]
+            at = answers["local"].to_numpy(np.int64)
+            c[at], k[at] = answers["n"].to_numpy(float), answers["class"].to_numpy(np.int64)
+            c[-1] = model.ends
+            base = np.log10((c + 1) / base_total)
+            emit = np.log10((c + ADD_WORD) / model.denominator[k])
+            end = np.array([len(found)])
+            for ids in texts:
+                path = np.concatenate([end, ids, end])
+                to = path[1:]
+                out.append((len(to), int((c[to] > 0).sum()), float(base[to].sum()), float(emit[to].sum() + model.transition[before[path[:-1]], k[to]].sum())))
+            keys += list(r.keys)
+        return pd.concat([pd.DataFrame({"row": keys}, dtype=object), pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])], axis=1)
 
     return score
 
 
-def score_texts(docs: DataFrame, key: str, text: str, model: Model, counts: DataFrame) -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score): a row for each row of docs.
+def score_texts(shards: DataFrame, key: str, model: Model, classes: DataFrame) -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score): a row for each text of number_texts().
 
     Null and empty texts are their end alone. base_score is by add-one unigrams, score the class model's log10 probability;
-    10 ** (-score / n_tokens) is the perplexity. Repeated rows score alike; null keys stay null.
+    10 ** (-score / n_tokens) is the perplexity. Repeated rows score alike; null keys stay null; no texts give no rows.
     """
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    shards = int(chars // SHARD_CHARS) + 1
-    dealt = docs.select(F.col(key).alias("row"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.length(text)), F.lit(shards)).cast("int").alias("shard")).groupBy("shard")
-    frequent = frozenset(model.frequent)
-
-    def ask(shard: pd.DataFrame) -> pd.DataFrame:
-        wanted: set[bytes] = set()
-        for t in shard["text"]:
-            wanted.update(words(t))
-        wanted -= frequent
-        return pd.DataFrame({"shard": shard["shard"].iloc[0], "word": _strings(wanted)})
-
-    answers = dealt.applyInPandas(ask, "shard int, word string").join(counts, "word").groupBy("shard")
-    kind = docs.schema[key].dataType.simpleString()
-    scored = dealt.cogroup(answers).applyInPandas(_scorer(model), f"row {kind}, n_tokens long, n_known long, base_score double, score double")
+    asked = shards.select(F.col("shard").alias("at"), F.posexplode(F.split(F.col("words").cast("string"), " ")).alias("local", "word"))
+    rare = F.broadcast(shards.sparkSession.createDataFrame([(w.decode(),) for w in model.frequent], "word string"))
+    answers = asked.join(rare, "word", "left_anti").join(classes, "word").select("at", "local", "n", "class")
+    kind = shards.schema["keys"].dataType.elementType.simpleString()
+    scored = shards.groupBy("shard").cogroup(answers.groupBy("at")).applyInPandas(_scorer(model), f"row {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumnRenamed("row", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    model, counts = train(docs.filter(~held_out), "text")
-    scored = score_texts(docs, "doc_id", "text", model, counts)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    shards = cut(number_texts(docs, "doc_id", "text", ~held_out))
+    model, classes = train(shards)
+    scored = score_texts(shards, "doc_id", model, classes)
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.llm import brown, htmlcut, langid, pii, urlfilter
+from lectern.llm.common import cut
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -97,18 +98,68 @@ def test_brown_base_scores_and_probabilities(spark, tmp_path):
         assert abs(r["base_score"] - sum(math.log10((x + 1) / (n + v + 1)) for x in c)) < 1e-8 and r["score"] < 0
 
 
+def trained(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    shards = cut(brown.number_texts(docs, "doc_id", "text", F.lit(True)))
+    return shards, *brown.train(shards)
+
+
 def test_class_probabilities_sum_to_one(spark):
-    texts = spark.createDataFrame([("a b c a b",), ("b c d e",), (None,)], "text string")
-    model, counts = brown.train(texts, "text")
-    assert np.allclose((10**model.transition).sum(1), 1)
+    _, model, classes = trained(spark, ["a b c a b", "b c d e", None])
+    assert np.allclose((10**model.transition).sum(1), 1) and model.ends == 3 and model.tokens == 12
     total = collections.Counter()
-    for r in counts.collect():
-        k = model.class_of[model.unit(r["word"].encode())]
-        total[k] += (r["n"] + brown.ADD_WORD) / model.denominator[k]
+    for r in classes.collect():
+        total[r["class"]] += (r["n"] + brown.ADD_WORD) / model.denominator[r["class"]]
     for k, p in total.items():
         assert abs(p + brown.ADD_WORD / model.denominator[k] - 1) < 1e-9
 
 
+def test_scores_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(brown, "SHARD_CHARS", 3000)
+    rnd = random.Random(17)
+    texts = [" ".join(rnd.choice(["a b", "c d", "e f"]) + f" w{int(rnd.random() ** 2 * 2500)}" for _ in range(rnd.randint(0, 200))) for _ in range(60)] + [None, "", "Never seen é"]
+    shards, model, classes = trained(spark, texts)
+    class_of, n = {r["word"]: r["class"] for r in classes.collect()}, {r["word"]: r["n"] for r in classes.collect()}
+    count = collections.Counter(w for t in texts for w in (t or "").lower().split())
+    assert n == count and len(count) > brown.FREQUENT + 200
+    before = lambda w: int(model.context[model.unit(w.encode())])
+    pairs = collections.Counter()
+    for t in texts:
+        path = [None, *(t or "").lower().split(), None]
+        pairs.update((brown.CLASSES if a is None else before(a), brown.CLASSES if b is None else class_of[b]) for a, b in zip(path, path[1:]))
+    outof, into = collections.Counter(), collections.Counter()
+    for (a, b), c in pairs.items():
+        outof[a] += c
+        into[b] += c
+    kinds = collections.Counter(class_of.values()) + collections.Counter([brown.CLASSES])
+    found = {r["doc_id"]: r["score"] for r in brown.score_texts(shards, "doc_id", model, classes).collect()}
+    assert len(found) == len(texts)
+    for i, t in enumerate(texts):
+        path = [None, *(t or "").lower().split(), None]
+        score = 0.0
+        for a, b in zip(path, path[1:]):
+            k, c = (brown.CLASSES, len(texts)) if b is None else (class_of[b], count[b])
+            h = brown.CLASSES if a is None else before(a)
+            score += math.log10((pairs[h, k] + brown.ADD_TRANSITION) / (outof[h] + brown.ADD_TRANSITION * (brown.CLASSES + 1)))
+            score += math.log10((c + brown.ADD_WORD) / (into[k] + brown.ADD_WORD * (kinds[k] + 1)))
+        assert abs(found[i] - score) < 1e-8
+
+
+def test_contexts_are_the_same_in_any_shards(spark, monkeypatch):
+    texts = [f"the x{i % 7} of y{i % 5} the end" for i in range(80)]
+    monkeypatch.setattr(brown, "SHARD_CHARS", 50)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = lambda d: sorted((r["word"], r["n"], bytes(r["contexts"])) for r in brown.contexts(cut(brown.number_texts(d, "doc_id", "text", F.lit(True))), [b"the"]).collect())
+    few = one(docs.repartition(3))
+    monkeypatch.setattr(brown, "SHARD_CHARS", 10**6)
+    assert few == one(docs.coalesce(1)) and sum(n for w, n, _ in few if not w) == 80
+
+
+def test_no_texts(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert brown.query(spark, str(tmp_path)).count() == 0
+
+
 def test_exchange_raises_the_likelihood():
     rnd = np.random.default_rng(8)
     bigrams = np.zeros((brown.UNITS, brown.UNITS))
@@ -126,6 +177,22 @@ def test_exchange_raises_the_likelihood():
     assert len({tuple(sorted(np.flatnonzero(found[:40] == k) % 4)) for k in range(4)}) >= 3
 
 
+def test_choice_of_a_class_against_brute_force():
+    rnd = np.random.default_rng(4)
+    n_words, held = 40, []
+    own = rnd.integers(0, 5, n_words)
+    for w in range(n_words):
+        for h in sorted(rnd.choice(6, rnd.integers(1, 5), replace=False)):
+            held.append((w, int(h), int(rnd.integers(1, 9))))
+    count = lambda classes: np.bincount([h * (brown.CLASSES + 1) + classes[w] for w, h, _ in held], [n for *_, n in held], (brown.CLASSES + 1) ** 2).reshape(brown.CLASSES + 1, -1)
+    value = lambda m: float(brown._xlogx(m).sum() - brown._xlogx(m.sum(0)).sum())
+    owner = np.array([w for w, *_ in held])
+    found = brown.choose(own, np.searchsorted(owner, np.arange(n_words)), np.array([h for _, h, _ in held]), np.array([n for *_, n in held], float), count(own))
+    for w in range(n_words):
+        values = [value(count([*own[:w], k, *own[w + 1 :]])) for k in range(brown.CLASSES)]
+        assert values[found[w]] >= max(values) - 1e-6
+
+
 def test_minimum_cut_against_brute_force():
     rnd = random.Random(3)
     for _ in range(200):
