@@ -18,6 +18,7 @@ contexts are summed in its shard first, then over shards; its count and class go
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ ENDING = 3
 LEAST = 3
 #: Share by which the log-likelihood has to rise for another round.
 TOLERANCE = 1e-4
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 16_000_000
 #: A shard names a word for the frequent ones if it is one in so many of its tokens at least.
 ONE_IN = 50_000
 #: Counts that smoothing adds to each transition and each word of a class.
@@ -81,6 +82,13 @@ class Model:
         return known[0] if known else FREQUENT + group(word)
 
 
+def _numbers() -> defaultdict:
+    """A dict that gives every new key the next number."""
+    ids = defaultdict()
+    ids.default_factory = ids.__len__
+    return ids
+
+
 def number_texts(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame:
     """The texts in shards, a row each: keys, which texts are for training, their lengths, the numbers of their words and the words."""
     kind = docs.schema[key].dataType.simpleString()
@@ -88,7 +96,7 @@ def number_texts(docs: DataFrame, key: str, text: str, training: Column) -> Data
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, made = TaskContext.get().partitionId(), 0
-        ids, keys, training, numbers, chars = {}, [], [], [], 0
+        ids, keys, training, numbers, chars = _numbers(), [], [], [], 0
 
         def shard() -> pd.DataFrame:
             all_ = np.concatenate(numbers)
@@ -99,14 +107,12 @@ def number_texts(docs: DataFrame, key: str, text: str, training: Column) -> Data
         for batch in batches:
             for k, t, use in zip(batch["key"], batch["text"], batch["training"], strict=True):
                 found = words(t)
-                for w in dict.fromkeys(found):
-                    ids.setdefault(w, len(ids))
                 keys.append(None if pd.isna(k) else k), training.append(bool(use)), numbers.append(np.fromiter(map(ids.__getitem__, found), np.int32, len(found)))
                 chars += len(t or "")
-                if chars >= SHARD_CHARS:
+                if chars >= SHARD_CHARS or len(ids) >= SHARD_CHARS // 2:
                     yield shard()
                     made += 1
-                    ids, keys, training, numbers, chars = {}, [], [], [], 0
+                    ids, keys, training, numbers, chars = _numbers(), [], [], [], 0
         if keys:
             yield shard()
 
@@ -256,12 +262,24 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return class_of
 
 
-def choose(own: np.ndarray, starts: np.ndarray, context: np.ndarray, times: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+#: Counts of a context up to which gains are looked up.
+SMALL = 64
+
+
+def gains(pairs: np.ndarray) -> np.ndarray:
+    """What 1 to SMALL more tokens add to x log x of each cell, looked up by choose()."""
+    pairs = pairs[:, :CLASSES]
+    return _xlogx(pairs + np.arange(1, SMALL + 1)[:, None, None]) - _xlogx(pairs)
+
+
+def choose(own: np.ndarray, starts: np.ndarray, context: np.ndarray, times: np.ndarray, pairs: np.ndarray, looked_up: np.ndarray) -> np.ndarray:
     """The class that suits each word best while all others stay: own is its class, from starts on are its contexts and their counts."""
     pairs, total = pairs[:, :CLASSES], pairs[:, :CLASSES].sum(0)
     n = np.add.reduceat(times, starts)
-    before = pairs[context]
-    gain = np.add.reduceat(_xlogx(before + times[:, None]) - _xlogx(before), starts) - (_xlogx(total + n[:, None]) - _xlogx(total))
+    added = looked_up[np.minimum(times, SMALL) - 1, context]
+    many = np.flatnonzero(times > SMALL)
+    added[many] = _xlogx(pairs[context[many]] + times[many, None]) - _xlogx(pairs[context[many]])
+    gain = np.add.reduceat(added, starts) - (_xlogx(total + n[:, None]) - _xlogx(total))
     rows = np.arange(len(own))
     there = pairs[context, np.repeat(own, np.diff(np.append(starts, len(context))))]
     gain[rows, own] = np.add.reduceat(_xlogx(there) - _xlogx(there - times), starts) - (_xlogx(total[own]) - _xlogx(total[own] - n))
@@ -275,6 +293,7 @@ def refine(found: DataFrame, frequent: list[bytes], class_of: np.ndarray, bigram
     member = np.zeros((UNITS, CLASSES + 1))
     member[np.arange(UNITS), class_of] = 1
     pairs = member.T @ bigrams @ member
+    # rows without a word hold counts: class is the cell, class before * (CLASSES + 1) + class, of the words of a task
     schema = "word string, n long, contexts binary, class int"
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,43 +302,40 @@ def refine(found: DataFrame, frequent: list[bytes], class_of: np.ndarray, bigram
 
     def moving(turn: int, pairs: np.ndarray):
         def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cells, looked_up = np.zeros((CLASSES + 1) ** 2, np.int64), gains(pairs)
             for batch in batches:
-                for a in range(0, len(batch), 2000):
-                    part = batch.iloc[a : a + 2000]
+                for a in range(0, len(batch), 1000):
+                    part = batch.iloc[a : a + 1000]
                     held = np.frombuffer(b"".join(part["contexts"]), _CONTEXT)
-                    starts = np.concatenate([[0], np.cumsum([len(x) // _CONTEXT.itemsize for x in part["contexts"]])[:-1]]).astype(np.int64)
-                    own = part["class"].to_numpy(np.int64)
-                    best = choose(own, starts, class_of[held["unit"]], held["n"].astype(float), pairs)
-                    now = np.array([zlib.crc32(w.encode()) >> 8 & 1 for w in part["word"]]) == turn % 2
-                    yield part.assign(**{"class": np.where(now, best, own)})
+                    sizes = np.array([len(x) // _CONTEXT.itemsize for x in part["contexts"]])
+                    context, times, own = class_of[held["unit"]], held["n"].astype(np.int64), part["class"].to_numpy(np.int64)
+                    if turn >= 0:
+                        best = choose(own, np.cumsum(sizes) - sizes, context, times, pairs, looked_up)
+                        now = np.array([zlib.crc32(w.encode()) >> 8 & 1 for w in part["word"]]) == turn % 2
+                        own = np.where(now, best, own)
+                        part = part.assign(**{"class": own})
+                    cells += np.bincount(context * (CLASSES + 1) + np.repeat(own, sizes), times, len(cells)).astype(np.int64)
+                    yield part
+            at = np.flatnonzero(cells)
+            yield pd.DataFrame({"word": pd.Series([None] * len(at), dtype=object), "n": cells[at], "contexts": pd.Series([None] * len(at), dtype=object), "class": at})
 
         return move
 
-    def changed(before: DataFrame, after: DataFrame) -> np.ndarray:
+    def counted(after: DataFrame) -> np.ndarray:
         """The counts by class before and class of the words that may move."""
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cells = np.zeros((CLASSES + 1) ** 2)
-            for batch in batches:
-                held = np.frombuffer(b"".join(batch["contexts"]), _CONTEXT)
-                to = np.repeat(batch["class"].to_numpy(np.int64), [len(x) // _CONTEXT.itemsize for x in batch["contexts"]])
-                cells += np.bincount(class_of[held["unit"]] * (CLASSES + 1) + to, held["n"], len(cells))
-            at = np.flatnonzero(cells)
-            yield pd.DataFrame({"cell": at, "n": cells[at].astype(np.int64)})
-
         out = np.zeros((CLASSES + 1) ** 2)
-        rows = after.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-        out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
+        for r in after.filter("word is null").groupBy("class").agg(F.sum("n").alias("n")).collect():
+            out[r["class"]] = r["n"]
         return out.reshape(CLASSES + 1, CLASSES + 1)
 
     likelihood = lambda m: float(_xlogx(m).sum() - _xlogx(m.sum(0)).sum())
     moves = (F.col("n") >= LEAST) & (F.col("word") != "")
-    now = cut(found.filter(moves).mapInPandas(first, schema))
-    counted, turn, low = changed(None, now), 0, 0
+    now = cut(found.filter(moves).mapInPandas(first, schema).mapInPandas(moving(-1, pairs), schema))
+    held, turn, low = counted(now), 0, 0
     while low < 2:  # both halves have had their turn to no gain
-        after = cut(now.mapInPandas(moving(turn, pairs), schema))
-        fresh = changed(now, after)
-        better = pairs - counted + fresh
+        after = cut(now.filter("word is not null").mapInPandas(moving(turn, pairs), schema))
+        fresh = counted(after)
+        better = pairs - held + fresh
         rise = likelihood(better) - likelihood(pairs)
         low = 0 if rise > TOLERANCE * abs(likelihood(pairs)) else low + 1
         turn += 1
@@ -327,9 +343,9 @@ def refine(found: DataFrame, frequent: list[bytes], class_of: np.ndarray, bigram
             forget(after)
             continue
         forget(now)
-        now, pairs, counted = after, better, fresh
+        now, pairs, held = after, better, fresh
     others = found.filter(~moves & (F.col("word") != "")).mapInPandas(first, schema)
-    return now.select("word", "n", "class").unionByName(others.select("word", "n", "class")), pairs
+    return now.filter("word is not null").select("word", "n", "class").unionByName(others.select("word", "n", "class")), pairs
 
 
 def train(shards: DataFrame) -> tuple[Model, DataFrame]:
@@ -366,8 +382,9 @@ def _scorer(model: Model):
             for i, w in enumerate(found):
                 if w in model.frequent:
                     _, c[i], k[i] = model.frequent[w]
-            at = answers["local"].to_numpy(np.int64)
-            c[at], k[at] = answers["n"].to_numpy(float), answers["class"].to_numpy(np.int64)
+            answer = answers["answer"].to_numpy(np.int64)
+            at = answer & 2**24 - 1
+            c[at], k[at] = answer >> 31, answer >> 24 & 127
             c[-1] = model.ends
             base = np.log10((c + 1) / base_total)
             emit = np.log10((c + ADD_WORD) / model.denominator[k])
@@ -389,8 +406,10 @@ def score_texts(shards: DataFrame, key: str, model: Model, classes: DataFrame) -
     10 ** (-score / n_tokens) is the perplexity. Repeated rows score alike; null keys stay null; no texts give no rows.
     """
     asked = shards.select(F.col("shard").alias("at"), F.posexplode(F.split(F.col("words").cast("string"), " ")).alias("local", "word"))
+    # 24 bits for the place among a shard's words, of which there are fewer than characters, 7 for the class, the rest for the count
+    packed = F.shiftleft(F.col("n"), 31).bitwiseOR(F.shiftleft(F.col("class").cast("long"), 24)).bitwiseOR(F.col("local").cast("long"))
     rare = F.broadcast(shards.sparkSession.createDataFrame([(w.decode(),) for w in model.frequent], "word string"))
-    answers = asked.join(rare, "word", "left_anti").join(classes, "word").select("at", "local", "n", "class")
+    answers = asked.join(rare, "word", "left_anti").join(classes, "word").select("at", packed.alias("answer"))
     kind = shards.schema["keys"].dataType.elementType.simpleString()
     scored = shards.groupBy("shard").cogroup(answers.groupBy("at")).applyInPandas(_scorer(model), f"row {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumnRenamed("row", key)

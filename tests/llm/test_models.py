@@ -183,11 +183,11 @@ def test_choice_of_a_class_against_brute_force():
     own = rnd.integers(0, 5, n_words)
     for w in range(n_words):
         for h in sorted(rnd.choice(6, rnd.integers(1, 5), replace=False)):
-            held.append((w, int(h), int(rnd.integers(1, 9))))
+            held.append((w, int(h), int(rnd.integers(1, 90))))
     count = lambda classes: np.bincount([h * (brown.CLASSES + 1) + classes[w] for w, h, _ in held], [n for *_, n in held], (brown.CLASSES + 1) ** 2).reshape(brown.CLASSES + 1, -1)
     value = lambda m: float(brown._xlogx(m).sum() - brown._xlogx(m.sum(0)).sum())
     owner = np.array([w for w, *_ in held])
-    found = brown.choose(own, np.searchsorted(owner, np.arange(n_words)), np.array([h for _, h, _ in held]), np.array([n for *_, n in held], float), count(own))
+    found = brown.choose(own, np.searchsorted(owner, np.arange(n_words)), np.array([h for _, h, _ in held]), np.array([n for *_, n in held]), count(own), brown.gains(count(own)))
     for w in range(n_words):
         values = [value(count([*own[:w], k, *own[w + 1 :]])) for k in range(brown.CLASSES)]
         assert values[found[w]] >= max(values) - 1e-6
