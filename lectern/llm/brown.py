@@ -39,7 +39,9 @@ ENDING = 3
 LEAST = 3
 #: Share by which the log-likelihood has to rise for another round.
 TOLERANCE = 1e-4
-SHARD_CHARS = 16_000_000
+SHARD_CHARS = 8_000_000
+#: Words of a shard that are handed on at a time.
+HANDED = 50_000
 #: A shard names a word for the frequent ones if it is one in so many of its tokens at least.
 ONE_IN = 50_000
 #: Counts that smoothing adds to each transition and each word of a class.
@@ -146,10 +148,18 @@ def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
     def in_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, found, n, texts, training in _shards(batches):
             unit = np.array([units[w] if w in units else FREQUENT + group(w) for w in found] + [END], np.int64)
-            end = np.array([len(found)])
-            ids = np.concatenate([end, *(x for t, use in zip(texts, training, strict=True) if use for x in (t, end))]).astype(np.int64)
-            cells, times = np.unique(ids[1:] * UNITS + unit[ids[:-1]], return_counts=True)
-            yield _rows([*(w.decode("utf-8", "replace") for w in found), ""], cells, times)
+            end = np.array([len(found)], np.int32)
+            ids = np.concatenate([end, *(x for t, use in zip(texts, training, strict=True) if use for x in (t, end))])
+            cells = ids[1:].astype(np.int64)
+            cells *= UNITS
+            cells += unit[ids[:-1]]
+            cells.sort()
+            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
+            times, cells = np.diff(np.append(first, len(cells))), cells[first]
+            found.append(b"")
+            for a in range(0, len(found), HANDED):
+                low, high = np.searchsorted(cells, [a * UNITS, (a + HANDED) * UNITS])
+                yield _rows([w.decode("utf-8", "replace") for w in found[a : a + HANDED]], cells[low:high] - a * UNITS, times[low:high])
 
     def over_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # sorted by word: what a batch ends with may go on in the next
