@@ -311,6 +311,8 @@ def refine(found: DataFrame, frequent: list[bytes], class_of: np.ndarray, bigram
             yield batch.assign(**{"class": [int(class_of[_unit(w.encode(), units)]) for w in batch["word"]]})
 
     def moving(turn: int, pairs: np.ndarray):
+        """A round in which half of the words may move; turn -1 gives each its unit's class."""
+
         def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cells, looked_up = np.zeros((CLASSES + 1) ** 2, np.int64), gains(pairs)
             for batch in batches:
@@ -318,8 +320,12 @@ def refine(found: DataFrame, frequent: list[bytes], class_of: np.ndarray, bigram
                     part = batch.iloc[a : a + 1000]
                     held = np.frombuffer(b"".join(part["contexts"]), _CONTEXT)
                     sizes = np.array([len(x) // _CONTEXT.itemsize for x in part["contexts"]])
-                    context, times, own = class_of[held["unit"]], held["n"].astype(np.int64), part["class"].to_numpy(np.int64)
-                    if turn >= 0:
+                    context, times = class_of[held["unit"]], held["n"].astype(np.int64)
+                    if turn < 0:
+                        own = np.array([class_of[_unit(w.encode(), units)] for w in part["word"]])
+                        part = part.assign(**{"class": own})
+                    else:
+                        own = part["class"].to_numpy(np.int64)
                         best = choose(own, np.cumsum(sizes) - sizes, context, times, pairs, looked_up)
                         now = np.array([zlib.crc32(w.encode()) >> 8 & 1 for w in part["word"]]) == turn % 2
                         own = np.where(now, best, own)
@@ -340,7 +346,7 @@ def refine(found: DataFrame, frequent: list[bytes], class_of: np.ndarray, bigram
 
     likelihood = lambda m: float(_xlogx(m).sum() - _xlogx(m.sum(0)).sum())
     moves = (F.col("n") >= LEAST) & (F.col("word") != "")
-    now = cut(found.filter(moves).mapInPandas(first, schema).mapInPandas(moving(-1, pairs), schema))
+    now = cut(found.filter(moves).mapInPandas(moving(-1, pairs), schema))
     held, turn, low = counted(now), 0, 0
     while low < 2:  # both halves have had their turn to no gain
         after = cut(now.filter("word is not null").mapInPandas(moving(turn, pairs), schema))

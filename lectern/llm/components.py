@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, forget, join_counted
+from lectern.llm.common import cut, forget
 
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
-    """(u, least, __n): the least of u and its neighbours, and their number; aggregated before the shuffle, so a hub costs one row a task."""
-    return links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"), F.count("*").alias("__n"))
+    """(u, least): the least of u and its neighbours; aggregated before the shuffle, so a hub costs one row a task."""
+    return links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
 
 
-def _round(links: DataFrame, total: int) -> DataFrame:
-    """One large-star and one small-star round; total: the number of links, by which hubs are told."""
+def _round(links: DataFrame) -> DataFrame:
+    """One large-star and one small-star round. Joins with a hub are split at run time (they have one row of its kind on the other side)."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # large star: every larger neighbour is linked to the least one
-    large = join_counted(both, _least_neighbour(both), "u", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+    large = both.join(_least_neighbour(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
     # small star: every smaller neighbour and the node itself are linked to the least one
     least = _least_neighbour(large)
-    small = join_counted(large, least, "u", total).select(F.col("v").alias("u"), F.col("least").alias("v")).union(least.select("u", F.col("least").alias("v")))
+    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).union(least.select("u", F.col("least").alias("v")))
     return small.filter("u <> v").distinct()
 
 
@@ -32,12 +32,12 @@ def components(links: DataFrame) -> DataFrame:
     fine; no links give no rows.
     """
     now = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark, total = None, now.count()
+    mark = None
     while True:
-        after = cut(_round(now, total))
+        after = cut(_round(now))
         forget(now)
         now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == mark or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        mark, total = state, state[0]
+        mark = state
