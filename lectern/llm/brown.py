@@ -216,8 +216,13 @@ def unit_bigrams(found: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, n
         at, of = np.flatnonzero(cells), np.flatnonzero(kinds)
         yield pd.DataFrame({"cell": np.concatenate([at, -1 - of]), "n": np.concatenate([cells[at], kinds[of]])})
 
-    rows = found.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cell, n = rows["cell"].to_numpy(np.int64), rows["n"].to_numpy(float)
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"cells": [batch["cell"].to_numpy(np.int64).tobytes()], "times": [batch["n"].to_numpy(np.int64).tobytes()]})
+
+    # UNITS^2 cells and UNITS counts at most
+    rows = found.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).mapInPandas(packed, "cells binary, times binary").collect()
+    cell, n = (np.frombuffer(b"".join(r[c] for r in rows), np.int64) for c in ("cells", "times"))
     bigrams, kinds = np.zeros(UNITS * UNITS), np.zeros(UNITS)
     bigrams[cell[cell >= 0]], kinds[-1 - cell[cell < 0]] = n[cell >= 0], n[cell < 0]
     return bigrams.reshape(UNITS, UNITS), kinds
