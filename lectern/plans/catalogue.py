@@ -236,16 +236,22 @@ def _chat_queries(spark, sf_dir):
     return said.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("conv_id").alias("doc_id"), F.col("text").alias("query"), F.lit("").alias("selection"), F.lit("").alias("bias"))
 
 
+def _talked_about(spark, sf_dir):
+    """The documents that conversations are about: only these are cut into chunks for them."""
+    asked = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    return read(spark, sf_dir, "documents").select("doc_id", "text").join(asked, "doc_id", "left_semi")
+
+
 @registered()
 def retrieve_evidence(spark, sf_dir):
     """Evidence in the document of a conversation for each question asked in it, by ranking (no document is taken whole)."""
-    return retrieval.retrieve(stored(chunk_index(spark, sf_dir)), _chat_queries(spark, sf_dir), retrieval.RetrievalConfig(stuff_token_limit=0))
+    return retrieval.retrieve(stored(chunking.chunk_documents(_talked_about(spark, sf_dir))), _chat_queries(spark, sf_dir), retrieval.RetrievalConfig(stuff_token_limit=0))
 
 
 @registered()
 def retrieve_context(spark, sf_dir):
     """The same with short documents taken whole, as numbered passages."""
-    return retrieval.context_block(retrieval.retrieve(stored(chunk_index(spark, sf_dir)), _chat_queries(spark, sf_dir)))
+    return retrieval.context_block(retrieval.retrieve(stored(chunking.chunk_documents(_talked_about(spark, sf_dir))), _chat_queries(spark, sf_dir)))
 
 
 @registered()
@@ -310,7 +316,7 @@ def ground_scores(spark, sf_dir):
 def ground_links(spark, sf_dir):
     """The links of every answer into the document of its conversation."""
     claims = _claims(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn", "claim_no").alias("claim_id"), F.col("conv_id").alias("doc_id"), "turn", "claim_no", "claim")
-    corpus = stored(sentence_corpus(spark, sf_dir).select("doc_id", "pos", "text", "section", "page_start"))
+    corpus = stored(grounding.sentence_corpus(stored(chunking.chunk_documents(_talked_about(spark, sf_dir)))).select("doc_id", "pos", "text", "section", "page_start"))
     best = grounding.best_sentences(claims, corpus, ["doc_id"])
     return grounding.links(best, ["doc_id", "turn"]).select("doc_id", "turn", "rank", "claim_no", "claim", "phrase", "pos", "text", "section", "score")
 

@@ -19,7 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the folder that driver and executors share (spark.checkpoint.dir), and read again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir: must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     path = f"{folder}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,8 +60,14 @@ def missing(docs: DataFrame, index: DataFrame, model: str = "") -> DataFrame:
 
 
 def build_index(docs: DataFrame, model: str = "") -> DataFrame:
-    """Chunks of docs(doc_id, text, content_hash) with the columns that the index is kept by."""
-    return chunk_documents(docs).join(docs.select("doc_id", "content_hash"), "doc_id").withColumns({"chunk_policy": F.lit(POLICY), "embed_model": F.lit(model)})
+    """Chunks of docs(doc_id, text, content_hash) with the columns that the index is kept by; versions of a document are chunked apart.
+
+    Rows without a doc_id can't be found again and are left out; equal pairs of id and hash count once.
+    """
+    versions = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "content_hash"]).withColumn("__version", F.struct("doc_id", "content_hash"))
+    chunks = chunk_documents(versions.select(F.col("__version").alias("doc_id"), *[c for c in docs.columns if c not in ("doc_id", "content_hash")]))
+    out = chunks.withColumn("content_hash", F.col("doc_id.content_hash")).withColumn("doc_id", F.col("doc_id.doc_id"))
+    return out.select(*chunks.columns, "content_hash").withColumns({"chunk_policy": F.lit(POLICY), "embed_model": F.lit(model)})
 
 
 def ensure_index(spark: SparkSession, docs: DataFrame, path: str, model: str = "") -> DataFrame:

@@ -182,3 +182,11 @@ def test_index_grows_by_what_is_new(spark, tmp_path):
     tables.ensure_index(spark, more, path)
     assert spark.read.parquet(path).filter("doc_id = 1").count() == before
     assert T.SQL_FUNCTIONS["tokenize"] is T.tokens
+
+
+def test_versions_of_a_document_are_indexed_apart(spark):
+    from lectern.sources.tables import build_documents, build_index
+
+    raw = spark.createDataFrame([(1, "First text of it. Alpha."), (1, "Second text of it. Beta."), (1, "Second text of it. Beta."), (None, "No id at all.")], "doc_id long, text string")
+    rows = build_index(build_documents(raw)).filter("kind = 'parent'").collect()
+    assert sorted(r["text"] for r in rows) == ["First text of it. Alpha.", "Second text of it. Beta."] and len({r["content_hash"] for r in rows}) == 2
