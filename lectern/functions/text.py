@@ -141,6 +141,10 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(F.lower(whole(text)), "[^a-z0-9]+", "")
 
 
+# Lengths of previews, of first sentences that stand alone, and of what is left after one.
+PREVIEW, PREVIEW_LEAST, PREVIEW_SHORT, PREVIEW_REST = 320, 40, 80, 10
+
+
 def section_base(section: Column) -> Column:
     """A section's name without the number of its part."""
     return F.regexp_replace(section, rf"{S}*\([0-9]+\){S}*\z", "")
@@ -156,6 +160,28 @@ def locator(section: Column, para: tuple[Column, Column], sent: tuple[Column, Co
     return F.concat_ws(" · ", section_base(section), _span("¶", *para), F.when(one, _span("s", *sent)), _span("p.", *page))
 
 
+def locator_suffix(para: tuple[Column, Column], sent: tuple[Column, Column]) -> Column:
+    """Paragraphs and, of a single one, sentences, each after a space; empty without a paragraph."""
+    one = para[1].isNull() | (para[1] == para[0])
+    spaced = lambda c: F.coalesce(F.concat(F.lit(" "), c), F.lit(""))
+    return F.when(para[0].isNull(), "").otherwise(F.concat(spaced(_span("¶", *para)), F.when(one, spaced(_span("s", *sent))).otherwise("")))
+
+
+def cite_preview(text: Column, most: int = PREVIEW) -> Column:
+    """A text's first sentence, with the second if it is short, for finding it on a page; without a sentence of fitting length, the text's beginning. Null gives the empty string."""
+    first = lambda c: F.regexp_extract(c, r"(?s)^(.+?[.!?])(?: +|\z)", 1)
+
+    def of(t, m):
+        n = F.length(m)
+        rest = F.trim(F.substring(t, n + 1, F.length(t)))
+        both = F.concat(m, F.lit(" "), F.coalesce(F.nullif(first(rest), F.lit("")), rest))
+        short = (n < PREVIEW_SHORT) & (F.length(t) > n + PREVIEW_REST)
+        return F.when(n.between(PREVIEW_LEAST, most), F.when(short, F.trim(F.left(both, F.lit(most)))).otherwise(m)).otherwise(F.left(t, F.lit(most)))
+
+    parts = F.transform(F.array(squeeze(text)), lambda t: F.struct(t.alias("t"), first(t).alias("m")))
+    return F.transform(parts, lambda p: of(p["t"], p["m"]))[0]
+
+
 def cite(section: Column, para: Column, sent: Column, page: Column) -> Column:
     """[§section ¶para s sent p.page], with what there is."""
     return F.concat(F.lit("[§"), F.concat_ws(" ", section, F.concat(F.lit("¶"), para), F.concat(F.lit("s"), sent), F.concat(F.lit("p."), page)), F.lit("]"))

@@ -129,3 +129,14 @@ def links(matched: DataFrame, answer: list[str]) -> DataFrame:
     first = matched.filter(T.utf16_length(F.col("phrase")) >= LINK_PHRASE).withColumn("__key", key).withColumn("__n", F.row_number().over(W.partitionBy(*answer, "__key").orderBy("claim_no"))).filter("__n = 1")
     few = first.withColumn("__n", F.row_number().over(W.partitionBy(*answer).orderBy("claim_no"))).filter(F.col("__n") <= MAX_LINKS)
     return few.withColumn("rank", F.row_number().over(W.partitionBy(*answer).orderBy(F.desc("score"), "claim_no"))).drop("__n", "__key")
+
+
+def ground_answers(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The links of each answer(answer_id, doc_id, answer) into the chunks of its document: a row a link, with claim, phrase, sentence and score.
+
+    Answers without a claim, and those of documents without chunks, have no rows.
+    """
+    spans = answers.select("answer_id", "doc_id", F.posexplode(claims(F.col("answer"))).alias("claim_no", "claim")).withColumn("claim_no", F.col("claim_no") + 1)
+    corpus = sentence_corpus(chunks.join(answers.select("doc_id").distinct(), "doc_id", "left_semi"))
+    best = best_sentences(spans.withColumn("claim_id", F.concat_ws("-", "answer_id", "claim_no")), corpus, ["doc_id"])
+    return links(best, ["answer_id"]).select("answer_id", "doc_id", "rank", "claim_no", "claim", "phrase", "pos", "text", "section", "page_start", "score")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.locate import locate
 
 # Sections by weight; lengths in tokens by factor; limits.
 SECTION_WEIGHTS = (("abstract", 3.0), ("introduction|conclusion", 2.5), ("contribution|novel", 2.2), ("method|approach|experiment", 2.0), ("result|finding", 2.0), ("limitation|discussion", 1.8))
@@ -123,3 +124,39 @@ def verify_quotes(quotes: DataFrame, texts: DataFrame, minimum: int = QUOTE_MINI
     runs = have.select("text_id", F.explode(_keys(F.col("hay"), width, False)).alias("run")).join(bare.select("run").distinct(), "run", "left_semi").distinct()
     near = runs.join(bare, "run").select(F.col("text_id").alias("near_id"), "quote_id", "needle")
     return found.union(have.join(near, F.col("text_id").eqNullSafe(F.col("near_id"))).filter(F.contains("hay", "needle")).select("quote_id", "text_id"))
+
+
+def candidates(selected: DataFrame, units: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, rank, id, section, text, page_start, para_start, sent_start): selected passages as a model is asked about them, texts trimmed."""
+    places = units.select(by, "seq", "id", "page_start", "para_start", "sent_start")
+    return selected.join(places, [by, "seq"]).select(by, "rank", "id", "section", T.trim(F.col("text")).alias("text"), "page_start", "para_start", "sent_start")
+
+
+# How each category is drawn, its colour and label; limits of an annotation's texts.
+CLASSES = {"claim": ("highlight", "#ffd400", "주장·결과"), "method": ("underline", "#2ea8e5", "방법·정의"), "novelty": ("highlight", "#5fb236", "기여·새로움"), "caveat": ("underline", "#ff6666", "한계·가정")}
+ANNOTATION_TEXT, ANNOTATION_COMMENT = 2000, 4000
+
+
+def annotate(items: DataFrame, page_rows: DataFrame, author: str = "lectern", root: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """(applied, skipped): annotations of items(item_id, doc_id, category, quote, reason, page_start) on locate.pages(), and the items without one.
+
+    Pages count from 1, page_index from 0. Items whose quote is on no page, or whose category is none of CLASSES, are
+    skipped. author and root are the names that comments and tags begin with.
+    """
+    known = items.filter(F.col("category").isin(*CLASSES))
+    quotes = known.select(F.col("item_id").alias("quote_id"), "doc_id", "quote", F.col("page_start").alias("hint"))
+    found = locate(quotes, page_rows).select(F.col("quote_id").alias("item_id"), "page", "rects")
+    drawn = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in CLASSES.items() for x in (k, v[i])]), F.col("category"))
+    comment = F.concat(F.lit(f"[{author} · auto · "), F.col("category"), F.lit("] "), drawn(2), F.lit("\n"), F.coalesce("reason", F.lit("")))
+    index = F.col("page") - 1
+    applied = known.join(found, "item_id").select(
+        "item_id", "doc_id", "category", drawn(0).alias("type"), drawn(1).alias("color"), F.left("quote", F.lit(ANNOTATION_TEXT)).alias("text"), F.left(comment, F.lit(ANNOTATION_COMMENT)).alias("comment"),
+        F.col("page").cast("string").alias("page_label"), index.alias("page_index"), F.concat(F.lpad(index.cast("string"), 5, "0"), F.lit("|000000|00000")).alias("sort_index"), "rects",
+        F.array(F.lit(root), F.concat(F.lit(f"{root}/"), F.col("category"))).alias("tags"),
+    )
+    return applied, items.join(found, "item_id", "left_anti")
+
+
+def without_automatic(annotations: DataFrame, root: str = "auto") -> DataFrame:
+    """annotations(tags) but for those that annotate() made under the same root."""
+    return annotations.filter(~F.coalesce(F.array_contains("tags", root), F.lit(False)))

@@ -10,7 +10,7 @@ from lectern.functions import text as T
 
 ROLES = ("user", "assistant", "system")
 CHAT_IMAGE, CHAT_TURNS, STICKY_IMAGE = 80_000, 60, 200_000
-STICKY_WIDTH, STICKY_HEIGHT, STICKY_TOP, STICKY_STEP = 320, 280, 80, 28
+STICKY_WIDTH, STICKY_HEIGHT, STICKY_LEFT, STICKY_TOP, STICKY_STEP = 320, 280, 24, 80, 28
 
 
 def encode_note(kind: Column, payload: Column) -> Column:
@@ -54,6 +54,21 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return joined.select(*columns)
 
 
+def upsert_stickies(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Stickies(id, item_key, x, y, w, h, collapsed, pinned, created_at, ...) of both by id, with old's columns.
+
+    Where old has one, new values that aren't null win, but for created_at and pinned. Others get default places and sizes, each below the ones of
+    its item before it, by time and id. new has one row an id (see latest()) and old's columns.
+    """
+    known = old.select("id").distinct()
+    changed = upsert(old, new.join(known, "id", "left_semi").drop("created_at", "pinned"), ["id"])
+    before = old.groupBy("item_key").agg(F.count("*").alias("__n"))
+    fresh = new.join(known, "id", "left_anti").join(before, "item_key", "left")
+    place = F.coalesce("__n", F.lit(0)) + F.row_number().over(W.partitionBy("item_key").orderBy("created_at", "id")) - 1
+    defaults = {"x": F.lit(STICKY_LEFT), "y": F.lit(STICKY_TOP) + STICKY_STEP * place, "w": F.lit(STICKY_WIDTH), "h": F.lit(STICKY_HEIGHT), "collapsed": F.lit(False), "pinned": F.lit(True)}
+    return changed.unionByName(fresh.withColumns({c: F.coalesce(c, v).cast(old.schema[c].dataType) for c, v in defaults.items()}).select(*old.columns))
+
+
 def clean_stickies(rows: DataFrame) -> DataFrame:
     """Stickies with an id, pinned unless told otherwise, without images that are too long."""
     return rows.filter(F.coalesce("id", F.lit("")) != "").filter(F.coalesce("pinned", F.lit(True))).withColumn("image", F.when(F.length("image") <= STICKY_IMAGE, F.col("image")))

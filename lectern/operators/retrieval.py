@@ -25,6 +25,13 @@ PRIORS = (
 )
 SELECTION_HIT, SELECTION_WORD = 0.22, 0.08
 PASSAGE_CHARS = 1200
+# Tasks that get evidence, and the lines of a prompt's context.
+TASK_MODES = ("chat", "explain", "figure-explain")
+CONTEXT_RULES = """Answer using only the paper text below. Be precise and paper-grounded.
+Do **not** insert bibliography markers like [1], [2], [E1], or §Body locators.
+Do **not** invent markdown cite links. Write plain prose (bullets OK)."""
+CONTEXT_WHOLE, CONTEXT_PASSAGES = "Full paper context:", "Relevant passages from the paper:"
+CONTEXT_END = "If the paper text is insufficient for the question, say what is missing."
 
 
 @dataclass(frozen=True)
@@ -161,3 +168,45 @@ def retrieve(chunks: DataFrame, queries: DataFrame, config: RetrievalConfig = Re
     )
     rag = expand(score_units(chunks, ranked, query_vectors), chunks, config).withColumn("mode", F.lit("rag"))
     return stuff.unionByName(rag)
+
+
+def prompt_context(evidence: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
+    """(query_id, doc_id, context_block): what a prompt says of each query's document, from retrieve() and titles(doc_id, title).
+
+    A document taken whole stands there whole, of others the passages by rank, each with its locator and cut at PASSAGE_CHARS.
+    A document without a title has an empty one; a query without evidence has no row.
+    """
+    c = F.col
+    places = chunks.select("doc_id", "id", T.locator(c("section"), (c("para_start"), c("para_end")), (c("sent_start"), c("sent_end")), (c("page_start"), c("page_end"))).alias("place"))
+    asked = evidence.groupBy("query_id", "doc_id").agg(F.max((c("mode") == "stuff")).alias("whole"))
+    ranked = evidence.filter("mode <> 'stuff'").join(places, ["doc_id", "id"], "left").groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "context_text", "place"))).alias("es"))
+
+    def passage(e, i):
+        body = T.trim(e["context_text"])
+        short = F.when(F.length(body) > PASSAGE_CHARS, F.concat(T.trim(F.left(body, F.lit(PASSAGE_CHARS))), F.lit("…"))).otherwise(body)
+        place = F.when(F.coalesce(e["place"], F.lit("")) != "", F.concat(F.lit(" ("), e["place"], F.lit(")"))).otherwise("")
+        return F.concat(F.lit("### Passage "), (i + 1).cast("string"), place, F.lit("\n"), short, F.lit("\n\n"))
+
+    full = stuff_text(chunks.join(asked.filter("whole").select("doc_id").distinct(), "doc_id", "left_semi"))
+    rows = asked.join(ranked, ["query_id", "doc_id"], "left").join(full, "doc_id", "left").join(titles.select("doc_id", "title"), "doc_id", "left")
+    middle = F.when(c("whole"), F.concat(F.lit(CONTEXT_WHOLE + "\n"), T.trim(c("full_text")), F.lit("\n\n"))).otherwise(F.concat(F.lit(CONTEXT_PASSAGES + "\n\n"), F.array_join(F.transform("es", passage), "")))
+    return rows.select("query_id", "doc_id", F.concat(F.lit("Paper: "), F.coalesce("title", F.lit("")), F.lit(f"\n{CONTEXT_RULES}\n\n"), middle, F.lit(CONTEXT_END)).alias("context_block"))
+
+
+def uses_retrieval(task: Column, query: Column, config: RetrievalConfig = RetrievalConfig()) -> Column:
+    """Whether a query gets evidence: retrieval is on, its task is one of TASK_MODES, and it asks something."""
+    return F.lit(config.enabled) & F.coalesce(task.isin(*TASK_MODES), F.lit(False)) & (T.trim(T.whole(query)) != "")
+
+
+def attach_context(chunks: DataFrame, asked: DataFrame, titles: DataFrame, config: RetrievalConfig = RetrievalConfig(), has_vectors: bool = False) -> DataFrame:
+    """asked(query_id, doc_id, query, selection, bias, task) with used_rag and context_block, for every row.
+
+    Queries that uses_retrieval() keeps out, and those of documents without chunks, have none: used_rag is false and the
+    block empty. The mode is effective_mode()'s; for hybrid both tables carry vectors, as in score_units().
+    """
+    hybrid = effective_mode(config, has_vectors) == "hybrid"
+    let_in = asked.filter(uses_retrieval(F.col("task"), F.col("query"), config)).join(chunks.select("doc_id").distinct(), "doc_id", "left_semi")
+    blocks = prompt_context(retrieve(chunks, let_in, config, hybrid), chunks, titles).withColumnRenamed("query_id", "__q").withColumnRenamed("doc_id", "__d")
+    used = let_in.select(F.col("query_id").alias("__q"), F.col("doc_id").alias("__d"), F.lit(True).alias("used_rag")).distinct().join(blocks, ["__q", "__d"], "left")
+    rows = asked.join(used, (F.col("query_id") == F.col("__q")) & (F.col("doc_id") == F.col("__d")), "left").drop("__q", "__d")
+    return rows.withColumns({"used_rag": F.coalesce("used_rag", F.lit(False)), "context_block": F.coalesce("context_block", F.lit(""))})

@@ -343,6 +343,31 @@ def note_roundtrip(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(body).alias("digest"), (notes.decode_note(body)["payload"] == F.col("text")).alias("same"))
 
 
+_FIRST = "'^(.+?[.!?])(?: +|$)', 1"
+
+
+@registered(f"""WITH s AS (SELECT doc_id, {_squeeze("coalesce(text, '')")} AS t FROM documents), f AS (SELECT *, regexp_extract(t, {_FIRST}) AS m FROM s),
+  r AS (SELECT *, trim(substr(t, length(m) + 1)) AS rest FROM f)
+SELECT doc_id, CASE WHEN length(m) NOT BETWEEN 40 AND 320 THEN left(t, 320) WHEN length(m) < 80 AND length(t) > length(m) + 10
+  THEN trim(left(m || ' ' || coalesce(nullif(regexp_extract(rest, {_FIRST}), ''), rest), 320)) ELSE m END AS preview FROM r""")
+def cite_preview(spark, sf_dir):
+    """What stands for each document where it is cited."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.cite_preview(F.col("text")).alias("preview"))
+
+
+@registered("SELECT doc_id, md5(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '', 'g')) AS letters FROM documents")
+def compact_letters(spark, sf_dir):
+    """Each document's letters and digits, as quotes are looked for on pages."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.compact(F.col("text"))).alias("letters"))
+
+
+@registered(f"""WITH w AS (SELECT doc_id, list_filter(string_split({_squeeze("coalesce(text, '')")}, ' '), lambda x: length(x) > 2) AS w FROM documents)
+SELECT doc_id, array_to_string(list_slice(w, least(4, greatest(0, len(w) - 10)) + 1, least(4, greatest(0, len(w) - 10)) + 10), ' ') AS needle FROM w""")
+def search_needles(spark, sf_dir):
+    """The words by which each document is searched for."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.search_needle(F.col("text")).alias("needle"))
+
+
 @registered("""SELECT conv_id, count(*) AS n, max(turn) AS last_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 60 GROUP BY conv_id""")
 def chat_last_turns(spark, sf_dir):
     kept = notes.clean_chat(read(spark, sf_dir, "conversations"), "conv_id", "turn")
