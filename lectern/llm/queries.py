@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import brown, decontam, fingerprints, htmlcut, langid, mixing, pii, sharding, simhash, urlfilter
+from lectern.llm import brown, chat, decontam, fingerprints, htmlcut, langid, mixing, pii, sharding, simhash, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_brown_scores": brown.query,
         "op9_main_text": htmlcut.query,
         "op10_url_filter": urlfilter.query,
+        "op11_chat_format": chat.query,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.oracle(),
         "op6_mixing": mixing.oracle(),
+        "op11_chat_format": chat.oracle(),
     }
