@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import brown, chat, decontam, fingerprints, htmlcut, langid, mixing, pii, sharding, simhash, urlfilter
+from lectern.llm import brown, chat, decontam, divergence, fingerprints, htmlcut, langid, manifest, mixing, pii, sharding, simhash, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_main_text": htmlcut.query,
         "op10_url_filter": urlfilter.query,
         "op11_chat_format": chat.query,
+        "op12_source_divergence": divergence.query,
+        "op13_merkle_manifest": manifest.query,
     }
 
 
@@ -30,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_sharding": sharding.oracle(),
         "op6_mixing": mixing.oracle(),
         "op11_chat_format": chat.oracle(),
+        "op12_source_divergence": divergence.oracle(),
+        "op13_merkle_manifest": manifest.oracle(),
     }
