@@ -40,6 +40,8 @@ PIECE, HELD = 1 << 20, 300_000
 PAIRS, CHUNK = 1 << 20, 1 << 18
 #: Rows of a table of groups or languages that is broadcast, by its exact count; a row is a few numbers and two names.
 SMALL = 20_000
+#: What a task hands on.
+COUNTED = {"lang": object, "source": object, "term": object, "n": "int64", "docs": "int64"}
 #: Parts of a group's prices, so that no row holds all of them.
 PARTS = 16
 
@@ -61,7 +63,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def out():
         rows = [(*group, term.decode(), n, docs[term]) for group, (words, docs) in held.items() for term, n in words.items()]
         held.clear()
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
+        return pd.DataFrame({c: pd.Series(v, dtype=kind) for (c, kind), v in zip(COUNTED.items(), zip(*rows) if rows else [[]] * len(COUNTED), strict=True)})
 
     for batch in batches:
         size = 0
@@ -184,7 +186,7 @@ def corrections(block: pd.DataFrame) -> pd.DataFrame:
             keys.append(key[order][starts])
             values.append(np.add.reduceat(more[order], starts))
     key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-    return pd.DataFrame({"lang": [block["lang"].iloc[0]] * len(key), "g": names[key // len(names)], "h": names[key % len(names)], "value": np.concatenate(values) if values else key})
+    return pd.DataFrame({"lang": pd.Series([block["lang"].iloc[0]] * len(key), dtype=object), "g": names[key // len(names)], "h": names[key % len(names)], "value": np.concatenate(values) if values else key})
 
 
 def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", top: int = TOP) -> DataFrame:
