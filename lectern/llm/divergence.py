@@ -18,12 +18,14 @@ goes on with at most CHUNK pairs of nodes at a time, whatever the block.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,14 +36,12 @@ LEAST_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 #: Bytes of UTF-8 that make up a term: A-Z, a-z and all that isn't ASCII.
 _TERM, _GAP = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[^A-Za-z\x80-\xff]")
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Bytes of a text that are split at a time, and counts that a task holds before it hands them on.
-PIECE, HELD = 1 << 20, 300_000
+#: Bytes of a text that are split at a time, counts (or terms) that a task holds before it hands them on, and rows that it hands on at a time.
+PIECE, HELD, ROWS = 1 << 20, 1_000_000, 50_000
 #: Pairs of cells in a block, about, and pairs of nodes that a walk expands at a time.
-PAIRS, CHUNK = 1 << 20, 1 << 18
+PAIRS, CHUNK = 1 << 18, 1 << 18
 #: Rows of a table of groups or languages that is broadcast, by its exact count; a row is a few numbers and two names.
 SMALL = 20_000
-#: What a task hands on.
-COUNTED = {"lang": object, "source": object, "term": object, "n": "int64", "docs": "int64"}
 #: Parts of a group's prices, so that no row holds all of them.
 PARTS = 16
 
@@ -56,39 +56,62 @@ def pieces(raw: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Held:
+    """Counts by group and term while a task reads: terms and groups are numbered, and a document adds its distinct terms as one array."""
+
+    def __init__(self):
+        self.terms: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, lang: str, source: str, text: str) -> None:
+        group, number = self.groups.setdefault((lang, source), len(self.groups)), self.terms.__getitem__
+        found = [np.fromiter(map(number, words), np.int64, len(words)) for piece in pieces(text.encode().translate(_LOWER)) if (words := _TERM.findall(piece))]
+        if found:
+            ids, n = np.unique(np.concatenate(found) if len(found) > 1 else found[0], return_counts=True)
+            self.parts.append((ids | group << 40, n, np.ones(len(ids), np.int64)))
+            self.size += len(ids)
+
+    def full(self) -> bool:
+        """Whether it is time to hand on; equal terms and groups are summed before that is said."""
+        if self.size > 2 * HELD:
+            self.sum()
+        return self.size > HELD or len(self.terms) > HELD
+
+    def sum(self) -> None:
+        key, n, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        self.parts = [(key[order][starts], np.add.reduceat(n[order], starts), np.add.reduceat(docs[order], starts))]
+        self.size = len(starts)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        self.sum()
+        key, n, docs = self.parts[0]
+        term = pa.array(self.terms, pa.binary()).cast(pa.string()).take(pa.array(key & (1 << 40) - 1))
+        lang, source = (pa.array(x, pa.string()).take(pa.array(key >> 40)) for x in zip(*self.groups, strict=True))
+        whole = pa.RecordBatch.from_arrays([lang, source, term, pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+        yield from (whole.slice(at, ROWS) for at in range(0, len(key), ROWS))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) to (lang, source, term, n, docs), summed over what a task holds at a time."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def out():
-        rows = [(*group, term.decode(), n, docs[term]) for group, (words, docs) in held.items() for term, n in words.items()]
-        held.clear()
-        return pd.DataFrame({c: pd.Series(v, dtype=kind) for (c, kind), v in zip(COUNTED.items(), zip(*rows) if rows else [[]] * len(COUNTED), strict=True)})
-
+    held = _Held()
     for batch in batches:
-        size = 0
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-            words, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            once: set[bytes] = set()
-            before = len(words)
-            for piece in pieces(text.encode().translate(_LOWER)):
-                found = _TERM.findall(piece)
-                words.update(found)
-                once.update(found)
-            docs.update(once)
-            size += len(words) - before
-            if size > HELD:
-                yield out()
-                size = 0
-        if sum(len(words) for words, _ in held.values()) > HELD:
-            yield out()
-    if held:
-        yield out()
+        for row in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
+            held.add(*(x.as_py() for x in row))
+            if held.full():
+                yield from held.rows()
+                held = _Held()
+    yield from held.rows()
 
 
 def columns(docs: DataFrame) -> DataFrame:
     """A written table (lang, term, id, total, cells array<struct<source, n>>): the kept terms of docs(lang, source, text), with their counts by source."""
-    counts = docs.mapInPandas(_count, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = docs.mapInArrow(_count, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     found = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells"))
     return cut(found.filter(F.col("docs") >= LEAST_DOCS).select("lang", "term", F.monotonically_increasing_id().alias("id"), "total", "cells"))
 
