@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, grounding, highlight, notes, retrieval, scoring, vectors
+from lectern.operators import chunking, embedding, grounding, highlight, notes, retrieval, scoring, vectors
 from lectern.sources.tables import build_documents, build_index, read, stored
 from lectern.streaming import events
 
@@ -231,6 +231,53 @@ def cosine_topk(spark, sf_dir):
     return vectors.nearest(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", TOP)
 
 
+# Hybrid scores of units for questions, both of one scope: asked(query_id, scope, query, qv) and units(scope, seq, text, ev).
+_FUSED = f"""ut AS (SELECT scope, seq, ev, {_tokens('text')} AS ts FROM units), st AS (SELECT scope, count(*) AS n, avg(len(ts)) AS avgdl FROM ut GROUP BY scope),
+qt AS (SELECT query_id, scope, term, count(*) AS qtf FROM (SELECT query_id, scope, unnest({_tokens('query')}) AS term FROM asked) GROUP BY ALL),
+po AS (SELECT scope, seq, len, term, count(*) AS tf FROM (SELECT scope, seq, len(ts) AS len, unnest(ts) AS term FROM ut) GROUP BY ALL),
+tdf AS (SELECT scope, term, count(*) AS df FROM po GROUP BY ALL),
+lex AS (SELECT query_id, scope, seq, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (greatest(len, 1) / CASE WHEN avgdl = 0 THEN 1 ELSE avgdl END)))) AS raw
+  FROM po JOIN tdf USING (scope, term) JOIN st USING (scope) JOIN qt USING (scope, term) GROUP BY ALL),
+pairs AS (SELECT q.query_id, q.scope, u.seq, q.query, coalesce(raw, 0) AS raw, coalesce(list_dot_product(q.qv, u.ev) / nullif(sqrt(list_dot_product(q.qv, q.qv)) * sqrt(list_dot_product(u.ev, u.ev)), 0), 0) AS cos
+  FROM asked q JOIN ut u USING (scope) LEFT JOIN lex l ON l.query_id = q.query_id AND l.scope = q.scope AND l.seq = u.seq),
+scaled AS (SELECT *, max(cos) OVER w AS best, (raw - min(raw) OVER w) / CASE WHEN max(raw) OVER w = min(raw) OVER w THEN 1e-9 ELSE max(raw) OVER w - min(raw) OVER w END AS lexical,
+  (cos - min(cos) OVER w) / CASE WHEN max(cos) OVER w = min(cos) OVER w THEN 1e-9 ELSE max(cos) OVER w - min(cos) OVER w END AS dense FROM pairs WINDOW w AS (PARTITION BY query_id, scope))
+SELECT query_id, scope, seq, round(CASE WHEN best > 0 THEN 0.6 * dense + 0.4 * lexical ELSE lexical END, 6) AS score FROM scaled"""
+_WIDTH = 64
+_HASHED = f"list_transform(range({_WIDTH}), lambda i: len(list_filter(regexp_extract_all(lower(~), '[a-z0-9]+'), lambda t: ('0x' || left(md5(t), 8))::BIGINT % {_WIDTH} = i))::DOUBLE)"
+
+
+def _hybrid(units: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, scope, seq, score) by retrieval's hybrid mode, of units(scope, seq, text, embedding) for asked(query_id, scope, query, query_embedding)."""
+    chunks = units.withColumnRenamed("scope", "doc_id").withColumns({"kind": F.lit("child"), "section": F.lit(chunking.BODY)})
+    queries = asked.withColumnRenamed("scope", "doc_id").withColumns({"selection": F.lit(""), "bias": F.lit("")})
+    found = retrieval.score_units(chunks, queries, True)
+    return found.select("query_id", F.col("doc_id").alias("scope"), "seq", F.round("score", 6).alias("score"))
+
+
+@registered(f"""WITH units AS (SELECT conv_id AS scope, turn AS seq, text, {_HASHED.replace('~', 'text')} AS ev FROM conversations WHERE role = 'assistant'),
+asked AS (SELECT conv_id || '-' || turn AS query_id, conv_id AS scope, text AS query, {_HASHED.replace('~', 'text')} AS qv FROM conversations WHERE role = 'user'), {_FUSED}""")
+def hybrid_turns(spark, sf_dir):
+    """Every answer of a conversation for each question in it, by words and vectors; the vectors are made by the batched embedder."""
+    said, model = read(spark, sf_dir, "conversations"), embedding.HashedWords(_WIDTH)
+    units = embedding.embed(said.filter("role = 'assistant'").select(F.col("conv_id").alias("scope"), F.col("turn").alias("seq"), "text"), "text", model).drop("embedding_cut")
+    asked = said.filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("conv_id").alias("scope"), F.col("text").alias("query"))
+    return _hybrid(units, embedding.embed(asked, "query", model, out="query_embedding").drop("query_embedding_cut"))
+
+
+_FIRST_SENTENCE = f"""left(CASE WHEN length(f) < 80 AND len(s) >= 2 THEN trim(f || ' ' || s[2]) ELSE f END, 320)"""
+
+
+@registered(f"""WITH have AS (SELECT label AS scope, vec_id AS seq, text, embedding::DOUBLE[] AS ev, {_sentences('text')} AS s FROM embeddings JOIN documents ON doc_id = vec_id),
+units AS (SELECT * FROM have), asked AS (SELECT seq::VARCHAR AS query_id, scope, {_FIRST_SENTENCE} AS query, ev AS qv FROM (SELECT *, coalesce(s[1], {_squeeze('text')}) AS f FROM have) WHERE seq % 100 = 0), {_FUSED}""")
+def hybrid_vectors(spark, sf_dir):
+    """Every document with a vector for the beginnings of those whose number is divisible by 100, within a label, by words and the given vectors."""
+    have = read(spark, sf_dir, "embeddings").join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    units = have.select(F.col("label").alias("scope"), F.col("vec_id").alias("seq"), "text", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = units.filter("seq % 100 = 0").select(F.col("seq").cast("string").alias("query_id"), "scope", T.anchor(F.col("text")).alias("query"), F.col("embedding").alias("query_embedding"))
+    return _hybrid(units, asked)
+
+
 def _chat_queries(spark, sf_dir):
     said = read(spark, sf_dir, "conversations").filter("role = 'user'")
     return said.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("conv_id").alias("doc_id"), F.col("text").alias("query"), F.lit("").alias("selection"), F.lit("").alias("bias"))
