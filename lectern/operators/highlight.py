@@ -140,21 +140,21 @@ ANNOTATION_TEXT, ANNOTATION_COMMENT = 2000, 4000
 def annotate(items: DataFrame, page_rows: DataFrame, author: str = "lectern", root: str = "auto") -> tuple[DataFrame, DataFrame]:
     """(applied, skipped): annotations of items(item_id, doc_id, category, quote, reason, page_start) on locate.pages(), and the items without one.
 
-    Pages count from 1, page_index from 0. Items whose quote is on no page, or whose category is none of CLASSES, are
+    Pages count from 1, page_index from 0. Items are told apart by document and id. Items whose quote is on no page, or whose category is none of CLASSES, are
     skipped. author and root are the names that comments and tags begin with.
     """
     known = items.filter(F.col("category").isin(*CLASSES))
     quotes = known.select(F.col("item_id").alias("quote_id"), "doc_id", "quote", F.col("page_start").alias("hint"))
-    found = locate(quotes, page_rows).select(F.col("quote_id").alias("item_id"), "page", "rects")
+    found = locate(quotes, page_rows).select(F.col("quote_id").alias("item_id"), "doc_id", "page", "rects")
     drawn = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in CLASSES.items() for x in (k, v[i])]), F.col("category"))
     comment = F.concat(F.lit(f"[{author} · auto · "), F.col("category"), F.lit("] "), drawn(2), F.lit("\n"), F.coalesce("reason", F.lit("")))
     index = F.col("page") - 1
-    applied = known.join(found, "item_id").select(
+    applied = known.join(found, ["doc_id", "item_id"]).select(
         "item_id", "doc_id", "category", drawn(0).alias("type"), drawn(1).alias("color"), F.left("quote", F.lit(ANNOTATION_TEXT)).alias("text"), F.left(comment, F.lit(ANNOTATION_COMMENT)).alias("comment"),
         F.col("page").cast("string").alias("page_label"), index.alias("page_index"), F.concat(F.lpad(index.cast("string"), 5, "0"), F.lit("|000000|00000")).alias("sort_index"), "rects",
         F.array(F.lit(root), F.concat(F.lit(f"{root}/"), F.col("category"))).alias("tags"),
     )
-    return applied, items.join(found, "item_id", "left_anti")
+    return applied, items.join(found, ["doc_id", "item_id"], "left_anti")
 
 
 def without_automatic(annotations: DataFrame, root: str = "auto") -> DataFrame:

@@ -1,7 +1,8 @@
 """Quotes on pages: which text items a quote covers, and the rectangles around them.
 
 Pages are arrays of text items. A quote is looked for in the page's letters and digits alone, so hyphens and odd
-spaces don't matter; if it isn't there, its beginnings are tried, from 80 characters down to 24. A page is one row, and all of it is native.
+spaces don't matter; if it isn't there, its beginnings are tried, from 80 characters down to 24. Quotes meet the pages that hold their shortest beginning,
+found for all quotes of a document in one reading (see matching.occurrences), and no others; what they cover there is native.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.matching import occurrences
 
 # Sizes of quotes and rectangles.
 QUOTE_MINIMUM, LONGEST_START, SHORTEST_START, STEP = 20, 80, 24, 4
@@ -57,8 +59,11 @@ def merge_rects(rects: Column) -> Column:
 
 
 def pages(items: DataFrame) -> DataFrame:
-    """(doc_id, page, items, letters): a row for each page of items(doc_id, page, item_idx, str, transform, width, height); items without text go."""
-    rows = items.filter(T.whole(F.col("str")) != "").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("item_idx", "str", "transform", "width", "height"))).alias("items"))
+    """(doc_id, page, items, letters): a row for each page of items(doc_id, page, item_idx, str, transform, width, height); items without text go. Each item has its letters' ``end`` on the page."""
+    size = F.length(T.compact(F.col("str")))
+    order = W.partitionBy("doc_id", "page").orderBy("item_idx", "str").rowsBetween(W.unboundedPreceding, 0)
+    ended = items.filter(T.whole(F.col("str")) != "").withColumns({"size": size, "end": F.sum(size).over(order)})
+    rows = ended.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("item_idx", "str", "end", "size", "transform", "width", "height"))).alias("items"))
     return rows.withColumn("letters", F.array_join(F.transform("items", lambda i: T.compact(i["str"])), ""))
 
 
@@ -68,12 +73,10 @@ def locate_on_page(items: Column, letters: Column, quote: Column) -> Column:
 
     def found(n):
         start = F.instr(letters, F.left(q, n)) - 1
-        sizes = F.transform(items, lambda i: F.length(T.compact(i["str"])))
-        ends = F.transform(F.sequence(F.lit(1), F.size(items)), lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda s, x: s + x))
-        first = F.size(F.filter(ends, lambda e: e <= start)) + 1
-        last = F.size(F.filter(ends, lambda e: e < start + n)) + 1
+        first = F.size(F.filter(items, lambda i: i["end"] <= start)) + 1
+        last = F.size(F.filter(items, lambda i: i["end"] < start + n)) + 1
         covered = F.slice(items, first, last - first + 1)
-        thin = (first == last) & (n > SINGLE_ITEM_FROM) & (F.get(sizes, first - 1) < n * SINGLE_ITEM_SHARE)
+        thin = (first == last) & (n > SINGLE_ITEM_FROM) & (F.get(items, first - 1)["size"] < n * SINGLE_ITEM_SHARE)
         rects = merge_rects(F.transform(covered, item_rect))
         return F.when(~thin & (F.size(rects) > 0), F.struct(first.alias("first"), last.alias("last"), rects.alias("rects")))
 
@@ -83,8 +86,15 @@ def locate_on_page(items: Column, letters: Column, quote: Column) -> Column:
 
 
 def locate(quotes: DataFrame, page_rows: DataFrame) -> DataFrame:
-    """(quote_id, doc_id, page, first, last, rects): each quote(quote_id, doc_id, quote, hint) on the first page that has it, its hint's page before all others."""
-    met = quotes.join(page_rows, "doc_id").withColumn("at", locate_on_page(F.col("items"), F.col("letters"), F.col("quote"))).filter("at is not null")
-    order = W.partitionBy("quote_id").orderBy((F.col("page") == F.col("hint")).desc_nulls_last(), "page")
+    """(quote_id, doc_id, page, first, last, rects): each quote(quote_id, doc_id, quote, hint) on the first page that has it, its hint's page before all others.
+
+    Quotes are told apart by document and id. Short, null and empty quotes are on no page; repeated quotes give one row.
+    """
+    q = T.compact(F.col("quote"))
+    asked = quotes.select("quote_id", "doc_id", "quote", "hint", F.when(F.length(q) >= QUOTE_MINIMUM, F.left(q, F.lit(SHORTEST_START))).alias("needle"))
+    pairs = occurrences(asked, page_rows.select("doc_id", "page", F.col("letters").alias("text")))
+    met = asked.join(pairs, ["doc_id", "needle"]).join(page_rows, ["doc_id", "page"])
+    met = met.withColumn("at", locate_on_page(F.col("items"), F.col("letters"), F.col("quote"))).filter("at is not null")
+    order = W.partitionBy("doc_id", "quote_id").orderBy((F.col("page") == F.col("hint")).desc_nulls_last(), "page")
     first = met.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
     return first.select("quote_id", "doc_id", "page", "at.first", "at.last", "at.rects")

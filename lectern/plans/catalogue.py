@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, embedding, grounding, highlight, notes, retrieval, scoring, vectors
+from lectern.operators import chunking, embedding, grounding, highlight, notes, retrieval, scoring, search, vectors
 from lectern.sources.tables import build_documents, build_index, read, stored
 from lectern.streaming import events
 
@@ -383,6 +383,34 @@ def quote_verify(spark, sf_dir):
     return found.select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"))
 
 
+#: Lines of a document that make up a page of it here.
+PAGE_LINES = 8
+_WORDS = f"list_filter(string_split({_squeeze("regexp_replace(s, '[^A-Za-z0-9_\\s.,;:%-]', ' ', 'g')")}, ' '), lambda x: length(x) > 2)"
+
+
+def _pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, page, text): documents as pages of PAGE_LINES lines."""
+    lines = docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("n", "line")).withColumn("page", F.floor(F.col("n") / PAGE_LINES).cast("int") + 1)
+    return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@registered(f"""WITH p AS (SELECT doc_id, n // {PAGE_LINES} + 1 AS page, lower({_squeeze("string_agg(line, chr(10) ORDER BY n)")}) AS t FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) GROUP BY ALL),
+s AS (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1)::INT AS sentence FROM (SELECT doc_id, {_ground('text')} AS x FROM documents)),
+w AS (SELECT doc_id, sentence, {_WORDS} AS w FROM s),
+n AS (SELECT doc_id, sentence, lower(CASE WHEN len(w) < 4 THEN left(array_to_string(w, ' '), 48) ELSE array_to_string(list_slice(w, least(4, greatest(0, len(w) - 10)) + 1, least(4, greatest(0, len(w) - 10)) + 10), ' ') END) AS n FROM w),
+v AS (SELECT *, CASE WHEN length(n) >= 8 THEN list_filter([left(n, 36), left(n, 24), array_to_string(list_slice(string_split(n, ' '), 1, 5), ' ')], lambda x: length(x) >= 8) ELSE [] END AS v FROM n),
+f AS (SELECT doc_id, sentence, min(page) AS page FROM v JOIN p USING (doc_id) WHERE len(list_filter(v, lambda x: contains(t, x))) > 0 GROUP BY ALL)
+SELECT doc_id, sentence, f.page::INT AS page, CASE WHEN f.page IS NULL THEN 'search-miss' ELSE 'search' END AS via FROM v LEFT JOIN f USING (doc_id, sentence)""")
+def sentence_pages(spark, sf_dir):
+    """The page on which each sentence of each document is found first."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    said = docs.select("doc_id", F.posexplode(T.ground_sentences(F.col("text"))).alias("n", "text"))
+    empty = {c: F.lit(None).cast(t) for c, t in (("anchor_text", "string"), ("context_text", "string"), ("page_start", "int"), ("page_end", "int"))}
+    found = search.fill_pages(said.withColumns(empty), _pages(docs))
+    return found.select("doc_id", (F.col("n") + 1).alias("sentence"), F.col("page_start").alias("page"), "via")
+
+
 @registered("""SELECT conv_id, turn, md5('<div data-kind="chat"><pre>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</pre></div>') AS digest, true AS same FROM conversations""")
 def note_roundtrip(spark, sf_dir):
     """Every turn as a note's body, and whether it reads back as it was."""
