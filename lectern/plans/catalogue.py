@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import chunking, embedding, grounding, highlight, notes, retrieval, scoring, search, vectors
 from lectern.sources.tables import build_documents, build_index, read, stored
-from lectern.streaming import events
+from lectern.streaming import events, throttle
 
 TOP = 12
 GAP_MINUTES = 30
@@ -478,6 +478,20 @@ def debounce_sessions(spark, sf_dir):
     return events.debounce(read(spark, sf_dir, "events"), "user_id", "ts", f"{GAP_MINUTES} minutes", "event_id").select("user_id", "n", "start", "event_id")
 
 
+#: Minutes of a span in throttle_spans.
+SPAN_MINUTES = 120
+
+
+@registered(f"""WITH RECURSIVE o AS (SELECT event_type, min(ts) AS opened FROM events GROUP BY ALL
+  UNION ALL SELECT o.event_type, min(e.ts) FROM o JOIN events e ON e.event_type = o.event_type AND e.ts >= o.opened + INTERVAL {SPAN_MINUTES} MINUTE GROUP BY o.event_type)
+SELECT o.event_type, opened, opened + INTERVAL {SPAN_MINUTES} MINUTE AS painted, count(*) AS n, arg_max(event_id, (ts, event_id)) AS event_id
+FROM o JOIN events e ON e.event_type = o.event_type AND e.ts >= opened AND e.ts < opened + INTERVAL {SPAN_MINUTES} MINUTE GROUP BY ALL""")
+def throttle_spans(spark, sf_dir):
+    """Events of a type as calls of a throttle: what each of its spans shows when it ends."""
+    found = throttle.throttle(read(spark, sf_dir, "events"), "event_type", "ts", "event_id", SPAN_MINUTES * 60_000)
+    return found.select(F.col("key").alias("event_type"), F.col("opened").cast("timestamp_ntz").alias("opened"), F.col("painted").cast("timestamp_ntz").alias("painted"), "n", F.col("value").alias("event_id"))
+
+
 @registered("""SELECT event_type, count(*) AS n, count(*) FILTER (WHERE epoch(ts) + value * 60 - (SELECT epoch(max(ts)) FROM events) + 86400 > 120) AS usable FROM events GROUP BY event_type""")
 def ttl_cache(spark, sf_dir):
     """Entries that expire a number of minutes after their event: how many can still be used a day before the last."""

@@ -26,7 +26,17 @@ def stored(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="spark-")
     path = f"{folder}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def build_documents(raw: DataFrame) -> DataFrame:
