@@ -18,9 +18,7 @@ goes on with at most CHUNK pairs of nodes at a time, whatever the block.
 
 from __future__ import annotations
 
-import itertools
-import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +31,10 @@ from pyspark.sql import functions as F
 from lectern.llm.common import LOWER, UPPER, cut, table
 
 LEAST_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
-#: Bytes of UTF-8 that make up a term: A-Z, a-z and all that isn't ASCII.
-_TERM, _GAP = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[^A-Za-z\x80-\xff]")
-_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Bytes of a text that are split at a time, counts (or terms) that a task holds before it hands them on, and rows that it hands on at a time.
-PIECE, HELD, ROWS = 1 << 20, 1_000_000, 50_000
+#: Bytes of UTF-8 that make up a term are A-Z (as a-z), a-z and all that isn't ASCII; others are spaces.
+_PLAIN = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+#: Bytes of text that a task counts at a time, and rows that it hands on at a time.
+SLAB, ROWS = 24 << 20, 50_000
 #: Pairs of cells in a block, about, and pairs of nodes that a walk expands at a time.
 PAIRS, CHUNK = 1 << 18, 1 << 18
 #: Rows of a table of groups or languages that is broadcast, by its exact count; a row is a few numbers and two names.
@@ -46,67 +43,65 @@ SMALL = 20_000
 PARTS = 16
 
 
-def pieces(raw: bytes) -> Iterator[bytes]:
-    """A text in pieces of about PIECE bytes, cut between terms."""
-    at = 0
+def _rows(group: np.ndarray, names: list[tuple[str, str]], term: np.ndarray, terms: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) summed by group and term, from a row for each document and distinct term of it."""
+    key = group * len(terms) + term
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    key = key[order][starts]
+    total, docs = np.add.reduceat(n[order], starts), np.diff(starts, append=len(order))
+    lang, source = (pa.array(x, pa.string()).take(pa.array(key // len(terms))) for x in zip(*names, strict=True))
+    whole = pa.RecordBatch.from_arrays([lang, source, terms.cast(pa.string()).take(pa.array(key % len(terms))), pa.array(total), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+    yield from (whole.slice(at, ROWS) for at in range(0, len(key), ROWS))
+
+
+def _slab(docs: list[tuple[tuple[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    """The counts of some documents, as arrays throughout: bytes that are no term's are spaces."""
+    raw = b" ".join(text for _, text in docs) + b" "
+    letters = np.frombuffer(raw, np.uint8)
+    inside = letters != 32
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters[inside])]).dictionary_encode()
+    doc = np.searchsorted(np.cumsum([len(text) + 1 for _, text in docs]), starts, side="right")
+    key, n = np.unique(doc * len(words.dictionary) + words.indices.to_numpy(), return_counts=True)
+    numbers: dict[tuple[str, str], int] = {}
+    groups = np.array([numbers.setdefault(group, len(numbers)) for group, _ in docs])
+    yield from _rows(groups[key // len(words.dictionary)], list(numbers), key % len(words.dictionary), words.dictionary, n)
+
+
+def _long(group: tuple[str, str], raw: bytes) -> Iterator[pa.RecordBatch]:
+    """The counts of one document by pieces, cut between terms."""
+    counts, at = Counter(), 0
     while at < len(raw):
-        gap = _GAP.search(raw, at + PIECE) if at + PIECE < len(raw) else None
-        end = gap.start() if gap else len(raw)
-        yield raw[at:end]
+        end = raw.find(b" ", at + SLAB)
+        end = len(raw) if end < 0 else end
+        counts.update(raw[at:end].split())
         at = end
-
-
-class _Held:
-    """Counts by group and term while a task reads: terms and groups are numbered, and a document adds its distinct terms as one array."""
-
-    def __init__(self):
-        self.terms: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        self.groups: dict[tuple[str, str], int] = {}
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, lang: str, source: str, text: str) -> None:
-        group, number = self.groups.setdefault((lang, source), len(self.groups)), self.terms.__getitem__
-        found = [np.fromiter(map(number, words), np.int64, len(words)) for piece in pieces(text.encode().translate(_LOWER)) if (words := _TERM.findall(piece))]
-        if found:
-            ids, n = np.unique(np.concatenate(found) if len(found) > 1 else found[0], return_counts=True)
-            self.parts.append((ids | group << 40, n, np.ones(len(ids), np.int64)))
-            self.size += len(ids)
-
-    def full(self) -> bool:
-        """Whether it is time to hand on; equal terms and groups are summed before that is said."""
-        if self.size > 2 * HELD:
-            self.sum()
-        return self.size > HELD or len(self.terms) > HELD
-
-    def sum(self) -> None:
-        key, n, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
-        self.parts = [(key[order][starts], np.add.reduceat(n[order], starts), np.add.reduceat(docs[order], starts))]
-        self.size = len(starts)
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        self.sum()
-        key, n, docs = self.parts[0]
-        term = pa.array(self.terms, pa.binary()).cast(pa.string()).take(pa.array(key & (1 << 40) - 1))
-        lang, source = (pa.array(x, pa.string()).take(pa.array(key >> 40)) for x in zip(*self.groups, strict=True))
-        whole = pa.RecordBatch.from_arrays([lang, source, term, pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
-        yield from (whole.slice(at, ROWS) for at in range(0, len(key), ROWS))
+    if counts:
+        yield from _rows(np.zeros(len(counts), np.int64), [group], np.arange(len(counts)), pa.array(counts, pa.binary()), np.fromiter(counts.values(), np.int64, len(counts)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) to (lang, source, term, n, docs), summed over what a task holds at a time."""
-    held = _Held()
+    """(lang, source, text) to (lang, source, term, n, docs), summed over SLAB bytes of text at a time."""
+    held, size = [], 0
     for batch in batches:
         for row in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
-            held.add(*(x.as_py() for x in row))
-            if held.full():
-                yield from held.rows()
-                held = _Held()
-    yield from held.rows()
+            lang, source, text = (x.as_py() for x in row)
+            raw = text.encode().translate(_PLAIN)
+            if len(raw) > SLAB:
+                yield from _long((lang, source), raw)
+                continue
+            held.append(((lang, source), raw))
+            size += len(raw)
+            if size > SLAB:
+                yield from _slab(held)
+                held, size = [], 0
+    if held:
+        yield from _slab(held)
 
 
 def columns(docs: DataFrame) -> DataFrame:

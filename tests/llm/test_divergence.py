@@ -52,8 +52,8 @@ def found(spark, rows):
 def test_against_the_definition(spark, monkeypatch):
     rows = made(random.Random(4))
     assert found(spark, rows) == plain(rows)
-    # many blocks, short walks, counts handed on early, pieces of a text, joins in place of broadcasts
-    for name, value in (("PAIRS", 50), ("CHUNK", 3), ("HELD", 20), ("PIECE", 64), ("SMALL", 0)):
+    # many blocks, short walks, counts handed on early, texts read in pieces, joins in place of broadcasts
+    for name, value in (("PAIRS", 50), ("CHUNK", 3), ("SLAB", 100), ("ROWS", 7), ("SMALL", 0)):
         monkeypatch.setattr(divergence, name, value)
     assert found(spark, rows) == plain(rows)
 
