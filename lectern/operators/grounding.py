@@ -117,8 +117,8 @@ def best_sentences(claims_: DataFrame, sentences: DataFrame, scope: list[str]) -
     pairs = near.select(F.col("query_id").alias("claim_id"), *scope, "pos").join(claims_, ["claim_id", *scope]).join(sentences, [*scope, "pos"])
     toks = pairs.withColumns({"c": T.tokens(F.col("claim")), "s": T.tokens(F.col("text"))})
     scored = toks.withColumn("score", F.round(combined(precision(F.col("c"), F.col("s")), jaccard(F.col("c"), F.col("s")), run_share(F.col("c"), F.col("s"))), 9)).filter(F.col("score") >= LEAST_SCORE)
-    # only sentences with a phrase that stands in the claim can be the best
-    scored = scored.withColumn("phrase", link_phrase(F.col("claim"), F.col("text"))).filter("phrase is not null")
+    # only sentences with a phrase that stands in the claim can be the best; tokens are at hand, and the function runs once a pair
+    scored = scored.withColumn("phrase", link_phrase(F.col("claim"), F.col("c"), F.col("s"))).filter("phrase is not null")
     best = W.partitionBy("claim_id").orderBy(F.desc("score"), "pos")
     return scored.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n", "c", "s")
 

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import text as T
 
 # How long a phrase must and may be, and how long its tokens.
 PHRASE_MINIMUM, PHRASE_MAXIMUM, SHARED_TOKEN, SHARED_TOKENS, STRONG_TOKEN, LINK_MINIMUM = 6, 80, 4, 5, 7, 3
@@ -64,12 +63,13 @@ def phrase(claim: str, claim_tokens: list[str], sentence_tokens: list[str]) -> s
     return None
 
 
-def link_phrase(claim: Column, sentence: Column) -> Column:
+def link_phrase(claim: Column, claim_tokens: Column, sentence_tokens: Column) -> Column:
+    """The phrase() of each row. It counts as not deterministic, so that a filter on it doesn't make Spark run it twice."""
     @F.pandas_udf("string")
     def pick(c: pd.Series, ct: pd.Series, st: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else phrase(x, list(a), list(b)) for x, a, b in zip(c, ct, st, strict=True)], dtype=object)
 
-    return pick(claim, T.tokens(claim), T.tokens(sentence))
+    return pick.asNondeterministic()(claim, claim_tokens, sentence_tokens)
 
 
 def insert_links(answer: str, links: list[tuple[str, str]]) -> str:

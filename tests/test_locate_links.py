@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import grounding, links, locate
 
 ITEM = "doc_id long, page int, item_idx int, str string, transform array<double>, width double, height double"
@@ -25,7 +26,7 @@ def test_three_rects_make_two_lines(spark):
 
 def test_phrases_and_links(spark):
     rows = spark.createDataFrame([("The Controller reduces tracking-error quickly", "controller reduces tracking error"), ("unrelated words only", "something else entirely")], "claim string, sentence string")
-    assert [r[0] for r in rows.select(links.link_phrase(F.col("claim"), F.col("sentence"))).collect()] == ["Controller reduces tracking-error", None]
+    assert [r[0] for r in rows.select(links.link_phrase(F.col("claim"), T.tokens(F.col("claim")), T.tokens(F.col("sentence")))).collect()] == ["Controller reduces tracking-error", None]
     answer = 'See <a href="x">the controller</a> and the controller reduces & more'
     assert links.insert_links(answer, [("the controller", "#1"), ("reduces &", "#2")]) == 'See <a href="x">the controller</a> and <a href="#1">the controller</a> <a href="#2">reduces &amp;</a> more'
     answers = spark.createDataFrame([(1, "the controller works"), (2, "nothing")], "id long, answer string")
