@@ -1,4 +1,4 @@
-"""Tables, and the index of chunks as a table that grows by what is new."""
+"""Tables, and the chunks of documents with the columns that their index is kept by (see index_store)."""
 
 from __future__ import annotations
 
@@ -78,22 +78,3 @@ def build_index(docs: DataFrame, model: str = "") -> DataFrame:
     chunks = chunk_documents(versions.select(F.col("__version").alias("doc_id"), *[c for c in docs.columns if c not in ("doc_id", "content_hash")]))
     out = chunks.withColumn("content_hash", F.col("doc_id.content_hash")).withColumn("doc_id", F.col("doc_id.doc_id"))
     return out.select(*chunks.columns, "content_hash").withColumns({"chunk_policy": F.lit(POLICY), "embed_model": F.lit(model)})
-
-
-def ensure_index(spark: SparkSession, docs: DataFrame, path: str, model: str = "") -> DataFrame:
-    """The index at path after adding what was missing; what is there is never built again."""
-    try:
-        have = spark.read.parquet(path)
-    except Exception as e:  # nothing was ever written there
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        have = None
-    new = docs.dropDuplicates(["doc_id", "content_hash"]) if have is None else missing(docs, have, model)
-    build_index(new, model).write.mode("append").partitionBy("chunk_policy").parquet(path)
-    return spark.read.parquet(path).join(docs.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_semi")
-
-
-def latest_index(index: DataFrame) -> DataFrame:
-    """For each document the content hash whose file name sorts last."""
-    named = index.select("doc_id", "content_hash").distinct().withColumn("name", index_name(F.col("doc_id"), F.col("content_hash")))
-    return named.groupBy("doc_id").agg(F.max_by("content_hash", "name").alias("content_hash"))

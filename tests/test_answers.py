@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import chunking, cites, tasks
+from lectern.sources.tables import stored
 
 TEXT = "The adaptive controller reduces tracking errors by a third. Nothing else in this text is of any use to anyone. Batteries last twice as long in cold weather than before."
 ASKED = "query_id long, doc_id long, query string, selection string, bias string, task string"
@@ -21,7 +22,7 @@ def spoken(answers):
 
 
 def test_links_and_tray(spark):
-    chunks = chunking.chunk_documents(spark.createDataFrame([(1, TEXT)], "doc_id long, text string")).cache()
+    chunks = stored(chunking.chunk_documents(spark.createDataFrame([(1, TEXT)], "doc_id long, text string")))
     rows = [
         (1, 1, "- The adaptive controller reduces tracking errors by a third [1].\n- Batteries last twice as long in [cold weather](#cite-2) than before [§Body ¶1]."), (2, 1, "The moon is made of green cheese, as all of us know."), (3, 1, "  "), (4, 1, None),
         (5, 9, "The adaptive controller reduces tracking errors [1]."), (6, None, "of no document"),
@@ -40,7 +41,7 @@ def test_links_and_tray(spark):
 
 
 def test_questions_to_answers(spark):
-    chunks = chunking.chunk_documents(spark.createDataFrame([(1, TEXT)], "doc_id long, text string")).cache()
+    chunks = stored(chunking.chunk_documents(spark.createDataFrame([(1, TEXT)], "doc_id long, text string")))
     rows = [(1, 1, "what of errors", "", "", "chat"), (2, 1, "please translate", "", "", "translate"), (3, 7, "no document", "", "", "chat"), (4, 1, "what of errors", None, None, "chat")]
     model = spoken({"errors": "The adaptive controller reduces tracking errors by a third.", "translate": "The adaptive controller reduces tracking errors by a third.", "document": "none"})
     found = {r.query_id: r for r in tasks.answer_questions(chunks, spark.createDataFrame(rows, ASKED), spark.createDataFrame([(1, "One")], "doc_id long, title string"), model).collect()}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import chunking, figures, grounding, highlight, notes, retrieval, scoring, vectors
-from lectern.sources import tables
+from lectern.sources import index_store, tables
 from lectern.streaming import events
 
 
@@ -176,10 +176,10 @@ def test_debounce_as_a_stream(spark, tmp_path):
 def test_index_grows_by_what_is_new(spark, tmp_path):
     path = str(tmp_path / "index")
     docs = tables.build_documents(spark.createDataFrame([(1, "Some text here. And more."), (2, "  ")], "doc_id long, text string"))
-    assert tables.ensure_index(spark, docs, path).select("doc_id").distinct().count() == 1
+    assert index_store.ensure_index(spark, docs, path).select("doc_id").distinct().count() == 1
     before = spark.read.parquet(path).count()
     more = tables.build_documents(spark.createDataFrame([(1, "Some text here. And more."), (3, "Other text.")], "doc_id long, text string"))
-    tables.ensure_index(spark, more, path)
+    index_store.ensure_index(spark, more, path)
     assert spark.read.parquet(path).filter("doc_id = 1").count() == before
     assert T.SQL_FUNCTIONS["tokenize"] is T.tokens
 
