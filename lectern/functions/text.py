@@ -48,11 +48,8 @@ def lines(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Search tokens: lower case, parted between letters and digits; runs of a-z, 0-9 and Hangul of two characters up, or digits."""
-    low = F.lower(whole(text))
-    low = F.regexp_replace(low, "([a-z가-힣])([0-9])", "$1 $2")
-    low = F.regexp_replace(low, "([0-9])([a-z가-힣])", "$1 $2")
-    low = F.regexp_replace(low, r"[^a-z0-9가-힣\s\u00A0\uFEFF\p{Z}]+", " ")
-    return F.filter(F.split(low, rf"{S}+"), lambda t: (F.length(t) > 1) | t.rlike("^[0-9]+$"))
+    found = F.regexp_extract_all(F.lower(whole(text)), F.lit("[a-z가-힣]+|[0-9]+"), F.lit(0))
+    return F.filter(found, lambda t: (F.length(t) > 1) | t.between("0", "9"))
 
 
 def utf16_length(text: Column) -> Column:

@@ -149,20 +149,43 @@ def html_strip_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_tags(F.col("html"))).alias("digest"))
 
 
-@registered()
+def _anchor(c: str) -> str:
+    return f"list_transform([{_sentences(c)}], lambda s: list_transform([coalesce(s[1], {_squeeze(c)})], lambda f: left(CASE WHEN length(f) < 80 AND len(s) >= 2 THEN trim(f || ' ' || s[2]) ELSE f END, 320))[1])[1]"
+
+
+def _size(c: str) -> str:
+    return f"greatest(1, ceil(length({c}) / 4))::BIGINT"
+
+
+# The chunks of documents without headings and blank lines, as the tables have them: a Body of one paragraph, its sentences packed one after another.
+_PACKED = f"""list_reduce(list_prepend(struct_pack(size := 0::BIGINT, total := 0::BIGINT, k := 0, open := false, ks := []::INT[]), list_transform(s, lambda x: struct_pack(size := {_size('x')}, total := 0::BIGINT, k := 0, open := false, ks := []::INT[]))),
+  lambda a, b: struct_pack(size := b.size, total := CASE WHEN a.open AND a.total + b.size <= {chunking.CHILD_TOKENS} THEN a.total + b.size ELSE b.size END,
+    k := CASE WHEN a.open AND a.total + b.size <= {chunking.CHILD_TOKENS} THEN a.k ELSE a.k + 1 END, open := (a.open AND a.total + b.size <= {chunking.CHILD_TOKENS}) OR b.size < {chunking.CHILD_TOKENS},
+    ks := list_append(a.ks, CASE WHEN a.open AND a.total + b.size <= {chunking.CHILD_TOKENS} THEN a.k ELSE a.k + 1 END))).ks"""
+_CHUNKS = f"""paras AS (SELECT doc_id, t, {_sentences('t')} AS s FROM (SELECT doc_id, {_block('text')} AS t FROM documents) WHERE t <> ''),
+packs AS (SELECT doc_id, t, s, CASE WHEN {_size('t')} <= {chunking.CHILD_TOKENS} THEN list_transform(s, lambda x: 1) ELSE {_PACKED} END AS ks FROM paras),
+pieces AS (SELECT doc_id, k, min(i) AS low, max(i) AS high, string_agg(x, ' ' ORDER BY i) AS joined, any_value(t) AS t FROM (SELECT doc_id, t, unnest(s) AS x, unnest(ks) AS k, generate_subscripts(s, 1) AS i FROM packs) GROUP BY doc_id, k),
+rows AS (SELECT doc_id, 1 AS seq, 'parent' AS kind, t AS text, NULL::INT AS sent_start, NULL::INT AS sent_end FROM paras
+  UNION ALL SELECT doc_id, k + 1, 'child', CASE WHEN {_size('t')} <= {chunking.CHILD_TOKENS} THEN t ELSE joined END, low::INT, high::INT FROM pieces),
+chunks AS (SELECT doc_id, seq, doc_id || '-' || seq AS id, CASE WHEN kind = 'child' THEN doc_id || '-1' END AS parent_id, kind, '{chunking.BODY}' AS section, text, NULL::INT AS page_start, NULL::INT AS page_end,
+  1 AS para_start, 1 AS para_end, sent_start, sent_end, {_anchor('text')} AS anchor_text, {_size('text')} AS token_estimate FROM rows)"""
+
+
+@registered(f"WITH {_CHUNKS} SELECT * FROM chunks")
 def chunk_index(spark, sf_dir):
     """All chunks of all documents; tests hold the packing against a plain model."""
     return chunking.chunk_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@registered()
+@registered(f"""WITH {_CHUNKS} SELECT doc_id, count(*) FILTER (WHERE kind = 'parent') AS n_parent, count(*) FILTER (WHERE kind = 'child') AS n_child, 0::BIGINT AS n_abstract, sum(token_estimate)::BIGINT AS tokens,
+  1.0::DOUBLE AS body_share, section AS sections FROM chunks GROUP BY doc_id, section""")
 def index_diagnostics(spark, sf_dir):
     """Chunks of each kind, tokens and sections of each document."""
     chunks = chunk_index(spark, sf_dir)
     count = lambda kind: F.count_if(F.col("kind") == kind).alias(f"n_{kind}")
     return chunks.groupBy("doc_id").agg(
         *map(count, ("parent", "child", "abstract")), F.sum("token_estimate").alias("tokens"), F.avg((F.col("section") == chunking.BODY).cast("double")).alias("body_share"),
-        F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", T.section_base(F.col("section")).alias("base")))), lambda s: s["base"])).alias("sections"),
+        F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", T.section_base(F.col("section")).alias("base")))), lambda s: s["base"])), " | ").alias("sections"),
     )
 
 
@@ -289,19 +312,46 @@ def _talked_about(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", "text").join(asked, "doc_id", "left_semi")
 
 
-@registered()
+# The evidence of each question in the document of its conversation: its best three units, as all are of one parent, and that parent's text; or the parent of a short document.
+_EVIDENCE = f"""{_CHUNKS}, us AS (SELECT doc_id, seq, id, {_tokens('text')} AS ts FROM chunks WHERE kind = 'child'),
+ust AS (SELECT doc_id, count(*) AS n, avg(len(ts)) AS avgdl FROM us GROUP BY doc_id),
+qs AS (SELECT conv_id || '-' || turn AS query_id, conv_id AS doc_id, text FROM conversations WHERE role = 'user'),
+qts AS (SELECT query_id, doc_id, term, count(*) AS qtf FROM (SELECT query_id, doc_id, unnest({_tokens('text')}) AS term FROM qs) GROUP BY ALL),
+ups AS (SELECT doc_id, seq, len, term, count(*) AS tf FROM (SELECT doc_id, seq, len(ts) AS len, unnest(ts) AS term FROM us) GROUP BY ALL),
+uds AS (SELECT doc_id, term, count(*) AS df FROM ups GROUP BY ALL),
+raws AS (SELECT query_id, doc_id, seq, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (greatest(len, 1) / CASE WHEN avgdl = 0 THEN 1 ELSE avgdl END)))) AS raw
+  FROM ups JOIN uds USING (doc_id, term) JOIN ust USING (doc_id) JOIN qts USING (doc_id, term) GROUP BY ALL),
+alls AS (SELECT query_id, doc_id, seq, id, coalesce(raw, 0) AS raw FROM qs JOIN us USING (doc_id) LEFT JOIN raws USING (query_id, doc_id, seq)),
+sc AS (SELECT *, round((raw - min(raw) OVER w) / CASE WHEN max(raw) OVER w = min(raw) OVER w THEN 1e-9 ELSE max(raw) OVER w - min(raw) OVER w END, 9) AS score FROM alls WINDOW w AS (PARTITION BY query_id, doc_id)),
+best AS (SELECT query_id, doc_id, id, score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, seq)::INT AS rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id, doc_id) AS top FROM sc) WHERE score > 0 OR top <= 0),
+rag AS (SELECT query_id, doc_id, rank, b.id, score, p.text AS context_text, section, p.token_estimate FROM best b JOIN (SELECT doc_id, text, section, token_estimate FROM chunks WHERE kind = 'parent') p USING (doc_id) WHERE rank <= 3)"""
+
+
+@registered(f"WITH {_EVIDENCE} SELECT query_id, doc_id, rank, id, score, context_text, section, NULL::INT AS page_index0, 'rag' AS mode FROM rag")
 def retrieve_evidence(spark, sf_dir):
     """Evidence in the document of a conversation for each question asked in it, by ranking (no document is taken whole)."""
     return retrieval.retrieve(stored(chunking.chunk_documents(_talked_about(spark, sf_dir))), _chat_queries(spark, sf_dir), retrieval.RetrievalConfig(stuff_token_limit=0))
 
 
-@registered()
+@registered(f"""WITH {_EVIDENCE}, ev AS (SELECT query_id, doc_id, rank, section, context_text FROM rag WHERE token_estimate > 14000
+  UNION ALL SELECT query_id, doc_id, 1, section, c.text FROM qs JOIN chunks c USING (doc_id) WHERE kind = 'parent' AND token_estimate <= 14000)
+SELECT query_id, doc_id, string_agg('[' || rank || '] ' || section || chr(10) || left(context_text, 1200), chr(10) || chr(10) ORDER BY rank) AS context_block FROM ev GROUP BY query_id, doc_id""")
 def retrieve_context(spark, sf_dir):
     """The same with short documents taken whole, as numbered passages."""
     return retrieval.context_block(retrieval.retrieve(stored(chunking.chunk_documents(_talked_about(spark, sf_dir))), _chat_queries(spark, sf_dir)))
 
 
-@registered()
+_CLIPPED = f"CASE WHEN length(x) > {grounding.SENTENCE_MAXIMUM} THEN trim(left(x, {grounding.SENTENCE_MAXIMUM - 1})) || '…' ELSE x END"
+_CORPUS = f"""{_CHUNKS}, said AS (SELECT doc_id, seq, section, id, kind, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM (
+  SELECT doc_id, seq, section, id, kind, CASE WHEN kind = 'child' THEN list_prepend(anchor_text, {_ground('text')}) ELSE {_ground('text')} END AS xs FROM chunks)),
+longer AS (SELECT doc_id, seq, section, id, kind, i, {_CLIPPED} AS x FROM (SELECT * REPLACE ({_squeeze('x')} AS x) FROM said) WHERE length(x) >= {grounding.SENTENCE_MINIMUM}),
+fine AS (SELECT * FROM longer WHERE kind = 'child' QUALIFY row_number() OVER (PARTITION BY doc_id, left(lower({_squeeze('x')}), {grounding.SENTENCE_KEY}) ORDER BY seq, i) = 1),
+both_tiers AS (SELECT *, 0 AS tier FROM fine UNION ALL SELECT *, 1 FROM longer WHERE kind = 'parent' AND doc_id NOT IN (SELECT doc_id FROM fine GROUP BY doc_id HAVING count(*) >= {grounding.FEW_SENTENCES})),
+corpus AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tier, seq, i)::INT AS pos, x AS text, section, NULL::INT AS page_start, id AS chunk_id FROM (
+  SELECT * FROM both_tiers QUALIFY row_number() OVER (PARTITION BY doc_id, left(lower({_squeeze('x')}), {grounding.SENTENCE_KEY}) ORDER BY tier, seq, i) = 1))"""
+
+
+@registered(f"WITH {_CORPUS} SELECT * FROM corpus")
 def sentence_corpus(spark, sf_dir):
     """The sentences that answers are held against."""
     return grounding.sentence_corpus(stored(chunk_index(spark, sf_dir)))
@@ -368,7 +418,16 @@ def ground_links(spark, sf_dir):
     return grounding.links(best, ["doc_id", "turn"]).select("doc_id", "turn", "rank", "claim_no", "claim", "phrase", "pos", "text", "section", "score")
 
 
-@registered()
+_LIMITS = f"len(a.keys) < {highlight.MAX_PASSAGES} AND a.used + b.size <= {highlight.TOKEN_BUDGET} AND NOT list_contains(a.keys, b.key)"
+
+
+@registered(f"""WITH {_CHUNKS}, cs AS (SELECT *, left(lower(text), {highlight.PASSAGE_KEY}) AS key, CASE WHEN token_estimate < 40 THEN 0.5 WHEN token_estimate < 120 THEN 1.2 WHEN token_estimate < 280 THEN 1.0 ELSE 0.7 END AS score
+  FROM chunks WHERE kind = 'child' AND length(text) >= {highlight.PASSAGE_MINIMUM}),
+folded AS (SELECT doc_id, list_reduce(list_prepend(struct_pack(seq := 0, size := 0::BIGINT, key := '', used := 0::BIGINT, keys := []::VARCHAR[], taken := []::INT[]),
+  list(struct_pack(seq := seq::INT, size := token_estimate, key := key, used := 0::BIGINT, keys := []::VARCHAR[], taken := []::INT[]) ORDER BY score DESC, seq)),
+  lambda a, b: struct_pack(seq := b.seq, size := b.size, key := b.key, used := CASE WHEN {_LIMITS} THEN a.used + b.size ELSE a.used END,
+    keys := CASE WHEN {_LIMITS} THEN list_append(a.keys, b.key) ELSE a.keys END, taken := CASE WHEN {_LIMITS} THEN list_append(a.taken, b.seq) ELSE a.taken END)).taken AS taken FROM cs GROUP BY doc_id)
+SELECT doc_id, rank, seq, section, text, token_estimate FROM (SELECT doc_id, unnest(taken) AS seq, generate_subscripts(taken, 1)::INT AS rank FROM folded) JOIN chunks USING (doc_id, seq)""")
 def candidate_select(spark, sf_dir):
     """The passages of each document that are worth marking, within the budget."""
     return highlight.select_passages(chunking.units_of(chunk_index(spark, sf_dir)))
@@ -501,7 +560,8 @@ def ttl_cache(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(events.usable(expires, now)).alias("usable"))
 
 
-@registered()
+@registered(f"""WITH {_CHUNKS}, hashed AS ({ORACLES['content_hash'].replace('FROM documents', "FROM (SELECT doc_id, trim(text, E' " + chr(92) + "n" + chr(92) + "t" + chr(92) + "r') AS text FROM documents)")})
+SELECT doc_id, content_hash, seq, id, kind, section, token_estimate, '{chunking.POLICY}' AS chunk_policy FROM chunks JOIN hashed USING (doc_id)""")
 def build_index_table(spark, sf_dir):
     """The index of all documents as it is stored, by content hash."""
     docs = build_documents(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))

@@ -76,5 +76,7 @@ def build_index(docs: DataFrame, model: str = "") -> DataFrame:
     """
     versions = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "content_hash"]).withColumn("__version", F.struct("doc_id", "content_hash"))
     chunks = chunk_documents(versions.select(F.col("__version").alias("doc_id"), *[c for c in docs.columns if c not in ("doc_id", "content_hash")]))
-    out = chunks.withColumn("content_hash", F.col("doc_id.content_hash")).withColumn("doc_id", F.col("doc_id.doc_id"))
+    # ids name the document alone, not the version by which it was told apart
+    number = lambda c: F.concat(F.col("doc_id.doc_id").cast("string"), F.lit("-"), F.substring_index(c, "-", -1))
+    out = chunks.withColumns({"id": number("id"), "parent_id": number("parent_id"), "content_hash": F.col("doc_id.content_hash")}).withColumn("doc_id", F.col("doc_id.doc_id"))
     return out.select(*chunks.columns, "content_hash").withColumns({"chunk_policy": F.lit(POLICY), "embed_model": F.lit(model)})
