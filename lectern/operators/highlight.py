@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.locate import locate
+from lectern.operators.matching import occurrences
 
 # Sections by weight; lengths in tokens by factor; limits.
 SECTION_WEIGHTS = (("abstract", 3.0), ("introduction|conclusion", 2.5), ("contribution|novel", 2.2), ("method|approach|experiment", 2.0), ("result|finding", 2.0), ("limitation|discussion", 1.8))
@@ -109,21 +110,33 @@ def verify_quotes(quotes: DataFrame, texts: DataFrame, minimum: int = QUOTE_MINI
     scripts, or of one or two long words) meet texts by the key of their first minimum characters instead. Quotes shorter than the
     minimum are not verified.
     """
-    wanted = quotes.withColumn("needle", T.normalize_match(F.col("quote"))).filter(F.length("needle") >= minimum)
-    inner = F.filter(T.tokens(F.col("needle")), lambda t, i: (i > 0) & (i < F.size(T.tokens(F.col("needle"))) - 1))
+    wanted = quotes.withColumn("needle", T.normalize_match(F.col("quote"))).filter(F.length("needle") >= minimum).withColumn("toks", T.tokens(F.col("needle")))
+    inner = F.when(F.size("toks") > 2, F.slice("toks", 2, F.size("toks") - 2))
     every = wanted.withColumn("key", F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]).select("quote_id", "needle", "key")
-    keyed = every.filter("key is not null")
+    keyed, bare = every.filter("key is not null"), every.filter("key is null")
     have = texts.select("text_id", T.normalize_match(F.col("text")).alias("hay"))
-    met = have.select("text_id", "hay", F.explode(F.array_distinct(T.tokens(F.col("hay")))).alias("key")).join(keyed.select("key").distinct(), "key", "left_semi")
-    found = met.join(keyed, "key").filter(F.contains("hay", "needle")).select("quote_id", "text_id")
-    bare = every.filter("key is null")
-    if bare.isEmpty():
-        return found
+    # keys travel without the texts; a text is joined to the quotes that share a key with it
+    slim = have.select("text_id", F.explode(F.array_distinct(T.tokens(F.col("hay")))).alias("key")).join(keyed.select("key").distinct(), "key", "left_semi")
+    near = slim.join(keyed, "key").select(F.col("text_id").alias("near_id"), "quote_id", "needle")
     width = max(1, minimum)
     bare = bare.select("quote_id", "needle", F.explode(_keys(F.col("needle"), width, True)).alias("run"))
     runs = have.select("text_id", F.explode(_keys(F.col("hay"), width, False)).alias("run")).join(bare.select("run").distinct(), "run", "left_semi").distinct()
-    near = runs.join(bare, "run").select(F.col("text_id").alias("near_id"), "quote_id", "needle")
-    return found.union(have.join(near, F.col("text_id").eqNullSafe(F.col("near_id"))).filter(F.contains("hay", "needle")).select("quote_id", "text_id"))
+    near = near.union(runs.join(bare, "run").select(F.col("text_id").alias("near_id"), "quote_id", "needle")).distinct()
+    return have.join(near, F.col("text_id").eqNullSafe(F.col("near_id"))).filter(F.contains("hay", "needle")).select("quote_id", "text_id")
+
+
+def ground_items(items: DataFrame, selected: DataFrame, by: str = "doc_id", per_category: int = PER_CATEGORY, in_all: int = IN_ALL) -> DataFrame:
+    """(by, n, category, quote, reason, candidate, place): the items(by, n, category, quote, reason) whose quote stands in a candidate(by, rank, text), with the first that has it.
+
+    Quotes and candidates are compared lower-cased with white space squeezed; quotes shorter than QUOTE_MINIMUM, and items of other categories, go. In order of n so
+    many of a category are kept and so many in all; place is by category, then n. Items and candidates without ``by`` don't meet.
+    """
+    c = F.col
+    asked = items.filter(c("category").isin(*CATEGORIES)).withColumn("__needle", T.normalize_match(c("quote"))).filter(F.length("__needle") >= QUOTE_MINIMUM)
+    texts = selected.select(c(by).alias("doc_id"), c("rank").alias("page"), T.normalize_match(c("text")).alias("text"))
+    first = occurrences(asked.select(c(by).alias("doc_id"), c("__needle").alias("needle")), texts).groupBy("doc_id", "needle").agg(F.min("page").alias("candidate"))
+    found = asked.join(first.select(c("doc_id").alias(by), c("needle").alias("__needle"), "candidate"), [by, "__needle"])
+    return cap_items(found, [by], "n", per_category, in_all).select(by, "n", "category", "quote", "reason", "candidate", "place")
 
 
 def candidates(selected: DataFrame, units: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -170,6 +170,13 @@ def retrieve(chunks: DataFrame, queries: DataFrame, config: RetrievalConfig = Re
     return stuff.unionByName(rag)
 
 
+def evidence_or_empty(queries: DataFrame, evidence: DataFrame) -> DataFrame:
+    """evidence with a row of mode ``empty``, rank 0 and nothing else for each query(query_id, doc_id) that has none; repeated queries give one."""
+    none = queries.select("query_id", "doc_id").distinct().join(evidence.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    fixed = {"rank": F.lit(0), "mode": F.lit("empty"), "context_text": F.lit(""), "score": F.lit(0.0)}
+    return evidence.unionByName(none.select("query_id", "doc_id", *[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in evidence.schema if f.name not in ("query_id", "doc_id")]))
+
+
 def prompt_context(evidence: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, doc_id, context_block): what a prompt says of each query's document, from retrieve() and titles(doc_id, title).
 

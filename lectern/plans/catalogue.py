@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, embedding, grounding, highlight, notes, retrieval, scoring, search, vectors
+from lectern.operators import chunking, cites, embedding, grounding, highlight, notes, retrieval, scoring, search, vectors
 from lectern.sources.tables import build_documents, build_index, read, stored
 from lectern.streaming import events, throttle
 
@@ -433,6 +433,58 @@ def candidate_select(spark, sf_dir):
     return highlight.select_passages(chunking.units_of(chunk_index(spark, sf_dir)))
 
 
+@registered(f"""WITH {_CHUNKS}, cs AS (SELECT *, left(lower(text), {highlight.PASSAGE_KEY}) AS key, CASE WHEN token_estimate < 40 THEN 0.5 WHEN token_estimate < 120 THEN 1.2 WHEN token_estimate < 280 THEN 1.0 ELSE 0.7 END AS score
+  FROM chunks WHERE kind = 'child' AND length(text) >= {highlight.PASSAGE_MINIMUM}),
+folded AS (SELECT doc_id, list_reduce(list_prepend(struct_pack(seq := 0, size := 0::BIGINT, key := '', used := 0::BIGINT, keys := []::VARCHAR[], taken := []::INT[]),
+  list(struct_pack(seq := seq::INT, size := token_estimate, key := key, used := 0::BIGINT, keys := []::VARCHAR[], taken := []::INT[]) ORDER BY score DESC, seq)),
+  lambda a, b: struct_pack(seq := b.seq, size := b.size, key := b.key, used := CASE WHEN {_LIMITS} THEN a.used + b.size ELSE a.used END,
+    keys := CASE WHEN {_LIMITS} THEN list_append(a.keys, b.key) ELSE a.keys END, taken := CASE WHEN {_LIMITS} THEN list_append(a.taken, b.seq) ELSE a.taken END)).taken AS taken FROM cs GROUP BY doc_id),
+chosen AS (SELECT doc_id, rank, lower({_squeeze('text')}) AS t FROM (SELECT doc_id, unnest(taken) AS seq, generate_subscripts(taken, 1)::INT AS rank FROM folded) JOIN chunks USING (doc_id, seq)),
+items AS (SELECT doc_id, n, ['claim', 'method', 'novelty', 'caveat'][(n - 1) % 4 + 1] AS category, q FROM (SELECT doc_id, unnest(x) AS q, generate_subscripts(x, 1)::INT AS n FROM (SELECT doc_id, {_ground('text')} AS x FROM documents))),
+met AS (SELECT doc_id, n, category, q, min(rank) AS candidate FROM items JOIN chosen USING (doc_id) WHERE length(lower({_squeeze('q')})) >= 24 AND contains(t, lower({_squeeze('q')})) GROUP BY ALL),
+few AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY doc_id, category ORDER BY n) <= 4), less AS (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) <= 16)
+SELECT doc_id, n, category, q AS quote, candidate, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(['claim', 'method', 'novelty', 'caveat'], category), n)::INT AS place FROM less""")
+def grounded_quotes(spark, sf_dir):
+    """The sentences of each document as quotes of the four categories in turn: those that stand in a selected passage, with the first, within the caps."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    selected = stored(highlight.select_passages(chunking.units_of(chunk_index(spark, sf_dir))))
+    said = docs.select("doc_id", F.posexplode(T.ground_sentences(F.col("text"))).alias("n", "quote"))
+    category = F.element_at(F.array(*map(F.lit, highlight.CATEGORIES)), F.col("n") % len(highlight.CATEGORIES) + 1)
+    items = said.withColumns({"category": category, "n": F.col("n") + 1, "reason": F.lit("")})
+    return highlight.ground_items(items, selected).drop("reason")
+
+
+@registered(f"""WITH {_CHUNKS}, c AS (SELECT *, coalesce(' · s' || sent_start || CASE WHEN sent_end <> sent_start THEN '–' || sent_end ELSE '' END, '') AS s FROM chunks)
+SELECT doc_id, seq, section || ' · ¶1' || s AS locator, ' ¶1' || replace(s, ' · ', ' ') AS suffix FROM c""")
+def chunk_locators(spark, sf_dir):
+    """Where each chunk stands in its document, as it is shown."""
+    c = F.col
+    para, sent, page = (c("para_start"), c("para_end")), (c("sent_start"), c("sent_end")), (c("page_start"), c("page_end"))
+    return chunk_index(spark, sf_dir).select("doc_id", "seq", T.locator(c("section"), para, sent, page).alias("locator"), T.locator_suffix(para, sent).alias("suffix"))
+
+
+@registered(r"""WITH m AS (SELECT doc_id, regexp_replace(text, '([.!?]) ', '\1 [2][E3] [§Body s1] [so it is](#cite-4) ', 'g') AS t FROM documents)
+SELECT doc_id, md5(t) AS marked, md5(regexp_replace(regexp_replace(regexp_replace(t, '\[([^\]]+)\]\(#cite-[^)]*\)', '\1', 'g'), '(?i)\[E?[0-9]+\]', '', 'g'), '\[§[^\]]+\]', '', 'g')) AS bare FROM m""")
+def cites_stripped(spark, sf_dir):
+    """Each document with marks after its sentences, and without them again."""
+    marked = F.regexp_replace("text", r"([.!?]) ", "$1 [2][E3] [§Body s1] [so it is](#cite-4) ")
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(marked).alias("marked"), F.md5(T.strip_cites(marked)).alias("bare"))
+
+
+@registered("""WITH e AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+a AS (SELECT conv_id, (k - 1)::INT AS n, unnest([k::VARCHAR, '[' || k || ']', '[E' || k || ']', '[e' || k || ']', 'E' || k]) AS label, true AS own FROM e
+  UNION ALL SELECT conv_id, (k - 1)::INT, unnest(['[§' || role || ' p.' || (turn + 1) || ']', '§' || role || ' p.' || (turn + 1), '[§' || role || ']', '§' || role]), false FROM e)
+SELECT conv_id, label, coalesce(max(n) FILTER (WHERE own), min(n)) AS n FROM a GROUP BY conv_id, label""")
+def cite_labels(spark, sf_dir):
+    """The labels by which the turns of a conversation, taken as evidence, can be cited, and what each leads to."""
+    c = F.col
+    said = read(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1)
+    empty = {x: F.lit(None).cast("int") for x in ("para_start", "para_end", "sent_start", "sent_end", "page_end", "page_index0")} | {x: F.lit(None).cast("string") for x in ("cite", "anchor_text", "context_text")}
+    rects = F.lit(None).cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    evidence = said.select(c("conv_id").alias("answer_id"), "n", c("role").alias("section"), (c("turn") + 1).cast("int").alias("page_start"), "text").withColumns({**empty, "rects": rects})
+    return cites.cite_labels(cites.cite_links(evidence)).select(c("answer_id").alias("conv_id"), "label", "n")
+
+
 @registered(f"""SELECT item_id, doc_id FROM (SELECT item_id, lower({_squeeze('text')}) AS q FROM benchmark) b JOIN (SELECT doc_id, lower({_squeeze('text')}) AS h FROM documents) d
 ON contains(h, q) WHERE length(q) >= 24""")
 def quote_verify(spark, sf_dir):
