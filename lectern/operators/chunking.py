@@ -19,6 +19,8 @@ POLICY = "section-para-sent-v5"
 BODY = "Body"
 #: A first block of so many characters may hold an abstract of so many.
 RECOVER_FROM, ABSTRACT_LOW, ABSTRACT_HIGH = 200, 100, 2500
+#: Fixed value: an abstract without a heading of its own kind, up to the introduction or a numbered line.
+ABSTRACT = rf"(?i)(?:^|\n)(?:Abstract[\s\S]{{0,40}}?\n)(?:[\s\S]{{{ABSTRACT_LOW},{ABSTRACT_HIGH}}}?)(?=\n(?:1\.?\s+)?Introduction{T.WORD_END}|\n[0-9]+\s+)"
 
 PACK = "array<struct<low:int,high:int>>"
 
@@ -82,16 +84,32 @@ def sections(rows: DataFrame) -> DataFrame:
     return kept.unionByName(body)
 
 
-def recover_abstract(found: DataFrame) -> DataFrame:
-    """Sections of unpaged documents, with an abstract found in the first one's text put before it where no section is named so."""
-    by_doc = W.partitionBy("doc_id")
-    heading, body = r"(?:^|\n)(?:Abstract[\s\S]{0,40}?\n)", rf"(?:[\s\S]{{{ABSTRACT_LOW},{ABSTRACT_HIGH}}}?)"
-    pattern = rf"(?i){heading}{body}(?=\n(?:1\.?\s+)?Introduction{T.WORD_END}|\n[0-9]+\s+)"
-    first = F.row_number().over(by_doc.orderBy("sec")) == 1
-    named = F.max(F.col("name").rlike("(?i)abstract").cast("int")).over(by_doc) == 1
-    marked = found.withColumn("__lost", first & ~named & (F.length("text") > RECOVER_FROM)).withColumn("__abstract", T.trim(F.regexp_extract("text", pattern, 0)))
-    extra = marked.filter(F.col("__lost") & (F.col("__abstract") != "")).select("doc_id", F.lit(-1).cast("long").alias("sec"), F.lit("Abstract").alias("name"), F.col("__abstract").alias("text"), "page_start", "page_end")
-    return found.unionByName(extra)
+def text_sections(docs: DataFrame, text: str = "text") -> DataFrame:
+    """sections() of docs(doc_id, text) without pages: array work on the document's own row, nothing is shuffled.
+
+    Where no section is named so, an abstract found in the first one's text is put before it.
+    """
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    row = lambda sec, name, body: F.struct(sec.cast("long").alias("sec"), name.alias("name"), body.alias("text"))
+
+    def cut(ls, heads):
+        """The lines after each heading, and those before the first one."""
+        starts = F.concat(F.array(F.lit(-1)), heads)
+        end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(ls))
+        body = lambda at, j: T.trim(F.array_join(F.slice(ls, at + 2, end(j) - at - 1), "\n"))
+        every = F.transform(starts, lambda at, j: row(j, F.when(at < 0, BODY).otherwise(T.squeeze(F.get(ls, at))), body(at, j)))
+        return let(F.filter(every, lambda x: x["text"] != ""), lambda kept: F.when(F.size(kept) > 0, recovered(kept)).otherwise(F.array(row(F.lit(0), F.lit(BODY), T.trim(F.array_join(ls, "\n"))))))
+
+    def recovered(kept):
+        first = kept[0]["text"]
+        found = T.trim(F.regexp_extract(first, ABSTRACT, 0))
+        lost = ~F.exists(kept, lambda x: x["name"].rlike("(?i)abstract")) & (F.length(first) > RECOVER_FROM) & (found != "")
+        return F.when(lost, F.concat(F.array(row(F.lit(-1), F.lit("Abstract"), found)), kept)).otherwise(kept)
+
+    heads = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: T.is_heading(F.get(ls, i)))
+    secs = let(T.lines(T.normalize_block(F.col(text))), lambda ls: let(heads(ls), lambda found: cut(ls, found)))
+    none = F.lit(None).cast("int")
+    return docs.select("doc_id", F.explode(secs).alias("s")).select("doc_id", "s.sec", "s.name", "s.text", none.alias("page_start"), none.alias("page_end"))
 
 
 def chunk(found: DataFrame, parent_tokens: int = PARENT_TOKENS, child_tokens: int = CHILD_TOKENS) -> DataFrame:
@@ -142,8 +160,7 @@ def chunk(found: DataFrame, parent_tokens: int = PARENT_TOKENS, child_tokens: in
 
 def chunk_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """Chunks of docs(doc_id, text), or of docs(doc_id, pages). Documents without text have no chunks."""
-    found = sections(document_lines(docs, text))
-    return chunk(found if "pages" in docs.columns else recover_abstract(found))
+    return chunk(sections(document_lines(docs, text)) if "pages" in docs.columns else text_sections(docs, text))
 
 
 def parents_of(chunks: DataFrame) -> DataFrame:

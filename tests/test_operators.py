@@ -190,3 +190,18 @@ def test_versions_of_a_document_are_indexed_apart(spark):
     raw = spark.createDataFrame([(1, "First text of it. Alpha."), (1, "Second text of it. Beta."), (1, "Second text of it. Beta."), (None, "No id at all.")], "doc_id long, text string")
     rows = build_index(build_documents(raw)).filter("kind = 'parent'").collect()
     assert sorted(r["text"] for r in rows) == ["First text of it. Alpha.", "Second text of it. Beta."] and len({r["content_hash"] for r in rows}) == 2
+
+
+def test_sections_in_a_row_are_those_of_lines(spark):
+    import random
+
+    rnd = random.Random(17)
+    pieces = ["Introduction", "2.1 The Method", "RESULTS AND MORE", "some text that is long enough to be prose, and ends.", "", "  ", "short", "References", "IV. Discussion of It", "A line\r"]
+    rows = [(i, "\n".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12)))) for i in range(120)] + [(200, None), (201, ""), (202, "Introduction\nResults")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["doc_id", "name", "text"]
+    plain = chunking.sections(chunking.document_lines(docs)).orderBy("doc_id", "sec").select(*columns).collect()
+    assert chunking.text_sections(docs).orderBy("doc_id", "sec").select(*columns).collect() == plain and len(plain) > 150
+    body = "Abstract of the paper\n" + "It tells a lot of things. " * 12 + "\n1 Some numbered line that is no heading, as it is far too long for one and ends here; or so it is.\n" + "More of it. " * 10
+    found = [(r["sec"], r["name"]) for r in chunking.text_sections(spark.createDataFrame([(1, "x\n" + body)], "doc_id long, text string")).orderBy("sec").collect()]
+    assert found[0] == (-1, "Abstract") or found[0][1] == "Abstract of the paper"
