@@ -20,6 +20,11 @@ SECTION_NAMES = (
     "Results?", "Discussion", "Conclusions?", "Limitations", "Appendix", "References", "Acknowledgments?",
 )
 HEADING_LIMIT, SENTENCE_LIKE = 80, 40
+# How numbers, titles and capitals of headings look, and how many words they have at most.
+NAMED_HEADING = rf"(?i)^(?:(?:[0-9]+(?:\.[0-9]+){{0,3}}|[IVXLC]+)\.?\s+)?(?:{'|'.join(SECTION_NAMES)}){WORD_END}"
+HEADING_NUMBER, ROMAN_NUMBER = r"^[0-9]+(?:\.[0-9]+){0,3}\.?\s+", r"^[IVXLC]{1,6}\.?\s+"
+HEADING_TITLE, CAPITALS = r"[A-Z][\w'’\-/,:+ ]{1,60}\z", r"^[A-Z0-9][A-Z0-9\s\-&/]{2,50}\z"
+NUMBERED_WORDS, CAPITAL_WORDS = 10, 8
 
 # Abbreviations whose last full stop ends no sentence, in any case and as written.
 ABBREVIATIONS, ABBREVIATIONS_AS_WRITTEN = (r"e\.g", r"i\.e", "et al"), ("Fig", "Eq", "Sec")
@@ -74,14 +79,11 @@ def is_heading(line: Column) -> Column:
 
 
 def _is_heading(t: Column) -> Column:
-    title = r"[A-Z][\w'’\-/,:+ ]{1,60}\z"
-    number = r"^[0-9]+(?:\.[0-9]+){0,3}\.?\s+"
-    named = t.rlike(rf"(?i)^(?:(?:[0-9]+(?:\.[0-9]+){{0,3}}|[IVXLC]+)\.?\s+)?(?:{'|'.join(SECTION_NAMES)}){WORD_END}")
-    rest = F.regexp_replace(t, number, "")
+    named, rest = t.rlike(NAMED_HEADING), F.regexp_replace(t, HEADING_NUMBER, "")
     few = lambda c, n: F.size(F.split(c, rf"{S}+")) <= n
-    numbered = t.rlike(number + title) & rest.rlike("[A-Za-z]{2,}") & few(rest, 10)
-    roman = t.rlike(rf"^[IVXLC]{{1,6}}\.?\s+{title}")
-    capitals = t.rlike(r"^[A-Z0-9][A-Z0-9\s\-&/]{2,50}\z") & few(t, 8) & t.rlike("[A-Z]{3,}")
+    numbered = t.rlike(HEADING_NUMBER + HEADING_TITLE) & rest.rlike("[A-Za-z]{2,}") & few(rest, NUMBERED_WORDS)
+    roman = t.rlike(ROMAN_NUMBER + HEADING_TITLE)
+    capitals = t.rlike(CAPITALS) & few(t, CAPITAL_WORDS) & t.rlike("[A-Z]{3,}")
     prose = t.rlike(r"[.!?;:]\z") & (F.length(t) > SENTENCE_LIKE)
     return (t != "") & (F.length(t) < HEADING_LIMIT) & ~prose & (named | numbered | roman | capitals)
 

@@ -18,6 +18,9 @@ LEAST_PRECISION, LEAST_RUN, LEAST_SCORE = 0.28, 0.35, 0.42
 CLAIM_LINE, CLAIM_MINIMUM, CLAIM_MAXIMUM, CLAIM_SPLIT = 220, 12, 240, 80
 SENTENCE_MINIMUM, SENTENCE_MAXIMUM, SENTENCE_KEY, FEW_SENTENCES = 28, 420, 160, 8
 PREFILTER, PREFILTER_ABOVE, MAX_LINKS = 20, 12, 6
+# Markup, links, marks, bullets, numbers and questions, as claims are freed from them.
+MARKUP, MARKDOWN_LINK, NUMBER_MARK, SECTION_MARK = "<[^>]+>", r"\[([^\]]+)\]\([^)]*\)", r"(?i)\[E?[0-9]+\]", r"\[§[^\]]+\]"
+BULLET, NUMBERED, QUESTION = r"^\s*[-*•·]\s+", r"^\s*[0-9]+[.)]\s+", r"(?i)^(?:what|how|why|who|when|where|which)(?![A-Za-z0-9_])"
 #: Shorter phrases are no links.
 LINK_PHRASE = 4
 
@@ -28,18 +31,18 @@ def _clip(text: Column, limit: int) -> Column:
 
 def claims(answer: Column) -> Column:
     """The claims of an answer in their order, array<string>: its lines without markup, marks and bullets, long ones by sentences; no wh-questions, none twice."""
-    plain = F.regexp_replace(T.whole(answer), "<[^>]+>", " ")
-    plain = F.regexp_replace(plain, r"\[([^\]]+)\]\([^)]*\)", "$1")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)\[E?[0-9]+\]", " "), r"\[§[^\]]+\]", " ")
+    plain = F.regexp_replace(T.whole(answer), MARKUP, " ")
+    plain = F.regexp_replace(plain, MARKDOWN_LINK, "$1")
+    plain = F.regexp_replace(F.regexp_replace(plain, NUMBER_MARK, " "), SECTION_MARK, " ")
     plain = T.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\S\n]+", " "), "\n{3,}", "\n\n"))
 
     def of(p):
-        bare = lambda line: T.squeeze(F.regexp_replace(F.regexp_replace(line, r"^\s*[-*•·]\s+", ""), r"^\s*[0-9]+[.)]\s+", ""))
+        bare = lambda line: T.squeeze(F.regexp_replace(F.regexp_replace(line, BULLET, ""), NUMBERED, ""))
         cleaned = F.filter(F.transform(F.split(p, "\n+"), bare), lambda line: line != "")
         spans = F.flatten(F.transform(cleaned, lambda line: F.when(F.length(line) <= CLAIM_LINE, F.array(line)).otherwise(T.ground_sentences(line))))
         single = (F.size(spans) <= 1) & (F.length(p) > CLAIM_SPLIT)
         spans = F.when(single, F.concat(spans, F.array_except(T.ground_sentences(p), spans))).otherwise(spans)
-        asks = lambda s: s.rlike(r"(?i)^(?:what|how|why|who|when|where|which)(?![A-Za-z0-9_])") & s.endswith("?")
+        asks = lambda s: s.rlike(QUESTION) & s.endswith("?")
         kept = F.filter(spans, lambda s: (F.length(s) >= CLAIM_MINIMUM) & ~asks(s))
         return F.transform(_first_by(kept, T.normalize_match), lambda s: _clip(s, CLAIM_MAXIMUM))
 

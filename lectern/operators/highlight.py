@@ -12,8 +12,11 @@ from lectern.functions import text as T
 from lectern.operators.locate import locate
 from lectern.operators.matching import occurrences
 
-# Sections by weight; lengths in tokens by factor; limits.
-SECTION_WEIGHTS = (("abstract", 3.0), ("introduction|conclusion", 2.5), ("contribution|novel", 2.2), ("method|approach|experiment", 2.0), ("result|finding", 2.0), ("limitation|discussion", 1.8))
+# Sections by weight (the greatest that fits counts, and 1 at least, so those below 1 change nothing); lengths in tokens by factor; limits.
+SECTION_WEIGHTS = (
+    ("abstract", 3.0), ("introduction", 2.5), ("conclusion", 2.5), ("contribution|novel", 2.2), ("method|approach|experiment", 2.0), ("result|finding", 2.0), ("limitation|discussion", 1.8),
+    ("related", 0.6), ("reference", 0.2),
+)
 LENGTH_FACTORS = ((40, 0.5), (120, 1.2), (280, 1.0))
 LONG_FACTOR = 0.7
 MAX_PASSAGES, TOKEN_BUDGET, PASSAGE_MINIMUM, PASSAGE_KEY = 28, 6000, 40, 80

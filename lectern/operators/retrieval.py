@@ -24,6 +24,9 @@ PRIORS = (
     ("result|experiment|evaluat|ablation|benchmark|성능|실험|결과", "experiment|result|evaluat|ablation", 0.10),
 )
 SELECTION_HIT, SELECTION_WORD = 0.22, 0.08
+# Windows of a selection (start, length; a negative start counts from the end) with the least length of one that has them, and the least window.
+SELECTION_WINDOWS, LEAST_WINDOW = ((1, 80, 0), (1, 40, 0), (41, 60, 40), (-40, 40, 20)), 8
+SELECTION_WORD_LENGTH, SELECTION_WORDS, SHARED_LEAST, SHARED_MOST = 4, 12, 2, 5
 PASSAGE_CHARS = 1200
 # Tasks that get evidence, and the lines of a prompt's context.
 TASK_MODES = ("chat", "explain", "figure-explain")
@@ -72,14 +75,12 @@ def prior(asked: Column, selection: Column, section: Column, text: Column) -> Co
 def _selection_gain(raw: Column, text: Column) -> Column:
     """What a selection (white space squeezed) adds: one of its windows is in the text, or some of its longer words are."""
     n = F.length(raw)
-    windows = F.array(
-        F.substring(raw, 1, 80), F.substring(raw, 1, 40), F.when(n > 40, F.substring(raw, 41, 60)).otherwise(""), F.when(n > 20, F.right(raw, F.lit(40))).otherwise("")
-    )
-    hit = F.exists(windows, lambda w: (F.length(w) >= 8) & F.contains(text, w))
-    words = F.slice(F.filter(F.split(F.lower(raw), " "), lambda w: F.length(w) > 4), 1, 12)
+    windows = F.array(*[F.when(n > least, F.substring(raw, F.greatest(F.lit(start), -n) if start < 0 else F.lit(start), F.lit(length))).otherwise("") for start, length, least in SELECTION_WINDOWS])
+    hit = F.exists(windows, lambda w: (F.length(w) >= LEAST_WINDOW) & F.contains(text, w))
+    words = F.slice(F.filter(F.split(F.lower(raw), " "), lambda w: F.length(w) > SELECTION_WORD_LENGTH), 1, SELECTION_WORDS)
     shared = F.size(F.filter(words, lambda w: F.contains(F.lower(text), w)))
-    soft = F.when(shared >= 2, SELECTION_WORD * F.least(shared, F.lit(5))).otherwise(0.0)
-    return F.when(n < 8, 0.0).when(hit, SELECTION_HIT).otherwise(soft)
+    soft = F.when(shared >= SHARED_LEAST, SELECTION_WORD * F.least(shared, F.lit(SHARED_MOST))).otherwise(0.0)
+    return F.when(n < LEAST_WINDOW, 0.0).when(hit, SELECTION_HIT).otherwise(soft)
 
 
 def score_units(chunks: DataFrame, queries: DataFrame, query_vectors: bool = False) -> DataFrame:

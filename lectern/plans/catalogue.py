@@ -383,8 +383,8 @@ def claim_spans(spark, sf_dir):
     return _claims(spark, sf_dir)
 
 
-_PAIRS = f"""pairs AS (SELECT a.conv_id, a.turn, {_tokens('a.text')} AS ct, {_tokens('u.text')} AS st
-  FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'),
+_PAIRS = f"""pairs AS (SELECT a.conv_id, a.turn, {_tokens('a.text')} AS ct, {_tokens("coalesce(u.text, '')")} AS st
+  FROM conversations a LEFT JOIN conversations u ON a.conv_id = u.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'),
 c AS (SELECT conv_id, turn, unnest(ct) AS t, generate_subscripts(ct, 1) AS i FROM pairs),
 s AS (SELECT conv_id, turn, unnest(st) AS t, generate_subscripts(st, 1) AS j FROM pairs),
 runs AS (SELECT conv_id, turn, max(n) AS run FROM (SELECT conv_id, turn, d, g, count(*) AS n FROM (
@@ -399,12 +399,12 @@ parts AS (SELECT conv_id, turn,
 @registered(f"""WITH {_PAIRS} SELECT conv_id, turn, round(p, 6) AS precision, round(j, 6) AS jaccard, round(r, 6) AS run,
   round(CASE WHEN p < 0.28 AND r < 0.35 THEN 0 ELSE least(1, p * 0.5 + j * 0.25 + r * 0.25) END, 6) AS score FROM parts""")
 def ground_scores(spark, sf_dir):
-    """How far each answer is supported by the turn before it."""
+    """How far each answer is supported by the turn before it; one without such a turn is not."""
     turns = read(spark, sf_dir, "conversations")
     a = turns.filter("role = 'assistant'").select("conv_id", "turn", T.tokens(F.col("text")).alias("ct"))
     u = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), T.tokens(F.col("text")).alias("st"))
     c, s = F.col("ct"), F.col("st")
-    parts = a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", grounding.precision(c, s).alias("p"), grounding.jaccard(c, s).alias("j"), grounding.run_share(c, s).alias("r"))
+    parts = a.join(u, ["conv_id", "turn"], "left").withColumn("st", F.coalesce("st", F.expr("cast(array() as array<string>)"))).select("conv_id", "turn", grounding.precision(c, s).alias("p"), grounding.jaccard(c, s).alias("j"), grounding.run_share(c, s).alias("r"))
     score = grounding.combined(F.col("p"), F.col("j"), F.col("r"))
     return parts.select("conv_id", "turn", F.round("p", 6).alias("precision"), F.round("j", 6).alias("jaccard"), F.round("r", 6).alias("run"), F.round(score, 6).alias("score"))
 
