@@ -50,3 +50,23 @@ def place_boxes(boxes: DataFrame, pages: DataFrame) -> DataFrame:
     x = lambda v: c("x0") + (c(v) - c("p_left")) / F.greatest(c("p_right") - c("p_left"), F.lit(1.0)) * c("width")
     y = lambda v: c("y0") + (1 - (c(v) - c("p_top")) / F.greatest(c("p_bottom") - c("p_top"), F.lit(1.0))) * c("height")
     return on.select("doc_id", "key", "page_index", F.least(x("left"), x("right")).alias("x1"), F.least(y("top"), y("bottom")).alias("y1"), F.greatest(x("left"), x("right")).alias("x2"), F.greatest(y("top"), y("bottom")).alias("y2"))
+
+
+# Fixed value: the rectangles of a link at most.
+LINK_RECTS = 6
+
+
+def encode_rects(rects: Column) -> Column:
+    """The first rectangles as JSON, four numbers each, rounded to hundredths, halves up; empty for null or none. Numbers that aren't finite are null."""
+    number = lambda x: F.coalesce(F.regexp_replace(F.when(F.abs(x) < 1e15, (F.floor(x * 100 + 0.5) / 100).cast("decimal(20,2)").cast("string")), r"\.?0+$", ""), F.lit("null"))
+    rows = F.transform(F.slice(rects, 1, LINK_RECTS), lambda r: F.concat(F.lit("["), F.array_join(F.transform(F.slice(r, 1, 4), number), ","), F.lit("]")))
+    return F.when(F.size(rects) > 0, F.concat(F.lit("["), F.array_join(rows, ",", "[]"), F.lit("]"))).otherwise("")
+
+
+def parse_rects(raw: Column) -> Column:
+    """Rectangles from JSON: of an array the elements that are arrays of four numbers or more, their first four; null if there are none."""
+    rows = F.from_json(F.when(F.trim(raw).startswith("["), raw), "array<string>")
+    numbers = lambda r: F.from_json(F.when(r.startswith("["), r), "array<string>")
+    whole = F.filter(F.transform(rows, numbers), lambda r: (F.size(r) >= 4) & F.forall(r, lambda x: F.coalesce(x.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), F.lit(False))))
+    found = F.transform(whole, lambda r: F.transform(F.slice(r, 1, 4), lambda x: x.cast("double")))
+    return F.when(F.size(found) > 0, found)

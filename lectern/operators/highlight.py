@@ -173,6 +173,53 @@ def annotate(items: DataFrame, page_rows: DataFrame, author: str = "lectern", ro
     return applied, items.join(found, ["doc_id", "item_id"], "left_anti")
 
 
+def is_automatic(tags: Column, root: str = "auto") -> Column:
+    """Whether tags name an annotation that annotate() made under the root: the root itself or one below it. Null tags don't."""
+    return F.coalesce(F.exists(tags, lambda t: F.coalesce((t == root) | t.startswith(f"{root}/"), F.lit(False))), F.lit(False))
+
+
 def without_automatic(annotations: DataFrame, root: str = "auto") -> DataFrame:
     """annotations(tags) but for those that annotate() made under the same root."""
-    return annotations.filter(~F.coalesce(F.array_contains("tags", root), F.lit(False)))
+    return annotations.filter(~is_automatic(F.col("tags"), root))
+
+
+def without_listed(annotations: DataFrame, keys: DataFrame, root: str = "auto") -> DataFrame:
+    """annotations(doc_id, key, tags) but for the automatic ones among keys(doc_id, key); others with such a key stay."""
+    gone = annotations.filter(is_automatic(F.col("tags"), root)).join(keys.select("doc_id", "key"), ["doc_id", "key"], "left_semi").select("doc_id", "key").distinct()
+    return annotations.join(gone.withColumn("__gone", F.lit(True)), ["doc_id", "key"], "left").filter(F.col("__gone").isNull() | ~is_automatic(F.col("tags"), root)).select(*annotations.columns)
+
+
+# Limits of listed texts, the category and the page of annotations that name none.
+LISTED_QUOTE, LISTED_REASON, LISTED_CATEGORY, LISTED_PAGE = 400, 120, "claim", "?"
+
+
+def list_automatic(annotations: DataFrame, author: str = "lectern", root: str = "auto") -> DataFrame:
+    """(doc_id, key, category, quote, reason, page_label, color, type) of the automatic ones of annotations(doc_id, key, tags, text, comment, page_label).
+
+    The category is that of the first tag which names one, exactly; the reason is the comment without its bracket. Null texts are empty.
+    """
+    drawn = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in CLASSES.items() for x in (k, v[i])]), F.col("category"))
+    named = F.filter("tags", lambda t: t.isin(*[f"{root}/{k}" for k in CLASSES]))
+    category = F.coalesce(F.substring(F.get(named, F.lit(0)), len(root) + 2, max(map(len, CLASSES))), F.lit(LISTED_CATEGORY))
+    reason = F.regexp_replace(T.whole(F.col("comment")), rf"(?i)^\[\Q{author}\E[^\]]*\]\s*", "")
+    rows = annotations.filter(is_automatic(F.col("tags"), root)).withColumn("category", category)
+    label = F.coalesce(F.nullif("page_label", F.lit("")), F.lit(LISTED_PAGE))
+    quote = F.left(T.whole(F.col("text")), F.lit(LISTED_QUOTE))
+    return rows.select("doc_id", "key", "category", quote.alias("quote"), F.left(reason, F.lit(LISTED_REASON)).alias("reason"), label.alias("page_label"), drawn(1).alias("color"), drawn(0).alias("type"))
+
+
+def annotation_place(label: Column, position: Column) -> Column:
+    """struct(page_index, rects) from an annotation's position as JSON; without a page there, the page is the number that its label begins with, less one. Null where neither says."""
+    read = F.from_json(position, "pageIndex int, rects array<array<double>>")
+    number = F.regexp_extract(label, r"^\s*([0-9]+)", 1).try_cast("int")
+    return F.struct(F.coalesce(read["pageIndex"], F.when(number > 0, number - 1)).alias("page_index"), read["rects"].alias("rects"))
+
+
+def candidate_prompts(asked: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, n, prompt): a document's candidates() as one text, in order of rank: a head with number, id and place, then the passage. Missing or empty parts of a place are left out."""
+    part = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    place = F.concat_ws(" ", F.nullif("section", F.lit("")), part("¶", "para_start"), part("s", "sent_start"), part("p.", "page_start"))
+    # select_passages() gives MAX_PASSAGES rows a document at most
+    rows = asked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), place, F.lit("\n"), T.whole(F.col("text"))).alias("t")))).alias("cs"))
+    lines = F.transform("cs", lambda c, i: F.concat(F.lit("### C"), (i + 1).cast("string"), F.lit(" "), c["t"]))
+    return rows.select(by, F.size("cs").cast("long").alias("n"), F.array_join(lines, "\n\n").alias("prompt"))

@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, cites, embedding, grounding, highlight, notes, retrieval, scoring, search, vectors
+from lectern.operators import boxes, chunking, cites, embedding, grounding, highlight, notes, prompts, retrieval, scoring, search, vectors
+from lectern.sources import note_store
 from lectern.sources.tables import build_documents, build_index, read, stored
 from lectern.streaming import events, throttle
 
@@ -522,6 +523,71 @@ def sentence_pages(spark, sf_dir):
     return found.select("doc_id", (F.col("n") + 1).alias("sentence"), F.col("page_start").alias("page"), "via")
 
 
+@registered(f"""WITH sel AS ({ORACLES['candidate_select']}), ch AS ({ORACLES['chunk_index']}),
+c AS (SELECT doc_id, rank, '[' || id || '] ' || concat_ws(' ', ch.section, '¶' || para_start, 's' || sent_start) || chr(10) || trim(ch.text, E' \n\t\r') AS t FROM sel JOIN ch USING (doc_id, seq))
+SELECT doc_id, count(*) AS n, md5(string_agg('### C' || rank || ' ' || t, chr(10) || chr(10) ORDER BY rank)) AS digest FROM c GROUP BY doc_id""")
+def candidate_prompts(spark, sf_dir):
+    """The passages of each document that are worth marking, as a model is asked about them."""
+    chunks = stored(chunk_index(spark, sf_dir))
+    asked = highlight.candidates(highlight.select_passages(chunking.units_of(chunks)), chunks)
+    return highlight.candidate_prompts(asked).select("doc_id", "n", F.md5("prompt").alias("digest"))
+
+
+_PASSAGE_MARKS = " OR ".join(f"contains(before, '{m}')" for m in prompts.PASSAGE_MARKS)
+
+
+@registered(f"""WITH t AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn, md5(concat_ws(chr(10) || chr(10), '{prompts.TITLE}' || conv_id, CASE WHEN before <> '' THEN (CASE WHEN {_PASSAGE_MARKS} THEN 'Paper text:' ELSE 'Nearby context:' END) || chr(10) || before END,
+  CASE WHEN role = 'assistant' AND text <> '' THEN 'Selected text:' || chr(10) || text END, CASE WHEN role <> 'assistant' AND text <> '' THEN 'User question:' || chr(10) || text END,
+  CASE WHEN role = 'assistant' AND text <> '' THEN '{prompts.EXPLAIN.replace("'", "''")}' END)) AS digest FROM t""")
+def user_payloads(spark, sf_dir):
+    """Each turn as what a model is asked, the turn before as its context: a question as such, an answer as a selection to explain."""
+    turns = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")))
+    answer, none = F.col("role") == "assistant", F.lit(None).cast("string")
+    said = prompts.user_payload(
+        F.when(answer, "explain").otherwise("chat"), F.col("conv_id").cast("string"), F.col("before"), F.when(answer, F.col("text")).otherwise(none), F.when(~answer, F.col("text")).otherwise(none), F.lit(False)
+    )
+    return turns.select("conv_id", "turn", F.md5(said).alias("digest"))
+
+
+@registered("""WITH u AS (SELECT conv_id, min(turn) FILTER (WHERE role <> 'assistant') AS chat, min(turn) FILTER (WHERE role = 'assistant') AS summary, max(turn) AS last, count(*) AS n FROM conversations GROUP BY conv_id),
+h AS (SELECT conv_id, count(*) AS n_turns, md5(string_agg(CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END || ' ' || text, chr(10) ORDER BY turn)) AS turns FROM (
+  SELECT * FROM conversations WHERE text IS NOT NULL AND role <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 60) GROUP BY conv_id),
+s AS (SELECT conv_id, md5(trim(arg_max(text, turn), E' \n\t\r')) AS summary_text FROM conversations WHERE role = 'assistant' AND trim(text) <> '' GROUP BY conv_id)
+SELECT conv_id, n + (chat IS NULL)::INT AS n_notes, coalesce(chat, last + 1) AS chat_place, summary AS summary_place, n_turns, turns, summary_text FROM u LEFT JOIN h USING (conv_id) LEFT JOIN s USING (conv_id)""")
+def saved_notes(spark, sf_dir):
+    """Turns as older notes of their conversation, then its chat and its last answer as a summary saved over them: where they are kept, and what reads back."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("parent"), "turn", "role", F.col("text").alias("content"))
+    answer = F.col("role") == "assistant"
+    kind = F.when(answer, "summary").otherwise("chat")
+    body = notes.encode_note(kind, F.to_json(F.struct(F.coalesce("content", F.lit("")).alias("markdown"))))
+    old = turns.select("parent", F.col("turn").cast("string").alias("note_id"), F.col("turn").alias("position"), F.expr("cast(null as array<string>)").alias("tags"), body.alias("body"))
+    last = notes.last_answer(turns, "parent", "turn", text="content").select("parent", F.col("answer").alias("markdown"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("model"))
+    new = note_store.chat_payloads(turns, "2024").unionByName(note_store.summary_payloads(last, "2024"))
+    saved = stored(note_store.save_payloads(old, new))
+    found = note_store.find_notes(saved).join(saved.select("parent", "note_id", "position"), ["parent", "note_id"])
+    places = found.groupBy("parent").agg(*[F.max(F.when(F.col("kind") == k, F.col("position"))).alias(f"{k}_place") for k in ("chat", "summary")])
+    payloads = note_store.payloads_of(saved)
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(" "), "content").alias("t"))))
+    read_back = note_store.chat_turns(payloads).groupBy("parent").agg(F.count("*").alias("n_turns"), F.md5(F.array_join(F.transform(lines, lambda x: x["t"]), "\n")).alias("turns"))
+    said = note_store.summaries(payloads).select("parent", F.md5("markdown").alias("summary_text"))
+    out = saved.groupBy("parent").agg(F.count("*").alias("n_notes")).join(places, "parent", "left").join(read_back, "parent", "left").join(said, "parent", "left")
+    return out.select(F.col("parent").alias("conv_id"), "n_notes", "chat_place", "summary_place", "n_turns", "turns", "summary_text")
+
+
+_HUNDREDTHS = "regexp_replace((floor(x::DOUBLE * 100 + 0.5) / 100)::DECIMAL(20, 2)::VARCHAR, '\\.?0+$', '')"
+
+
+@registered(f"""WITH q AS (SELECT vec_id, list_transform(range(0, least(6, ceil(len(embedding) / 4))::INT), lambda i: list_transform(embedding[i * 4 + 1 : i * 4 + 4], lambda x: {_HUNDREDTHS})) AS r FROM embeddings)
+SELECT vec_id, CASE WHEN len(r) > 0 THEN '[' || array_to_string(list_transform(r, lambda s: '[' || array_to_string(s, ',') || ']'), ',') || ']' ELSE '' END AS rects, len(list_filter(r, lambda s: len(s) = 4))::INT AS n_read FROM q""")
+def link_rects(spark, sf_dir):
+    """Numbers of each vector, four by four, as the rectangles of a link, and how many of them read back."""
+    v = F.col("embedding").cast("array<double>")
+    fours = F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(4)), lambda i: F.slice(v, i, F.lit(4))))
+    text = boxes.encode_rects(fours)
+    return read(spark, sf_dir, "embeddings").select("vec_id", text.alias("rects"), F.coalesce(F.size(boxes.parse_rects(text)), F.lit(0)).alias("n_read"))
+
+
 @registered("""SELECT conv_id, turn, md5('<div data-kind="chat"><pre>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</pre></div>') AS digest, true AS same FROM conversations""")
 def note_roundtrip(spark, sf_dir):
     """Every turn as a note's body, and whether it reads back as it was."""
