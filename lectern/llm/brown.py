@@ -52,7 +52,9 @@ END = FREQUENT + GROUPS
 UNITS = END + 1
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: A context and its count; greater counts take several cells.
 _CONTEXT = np.dtype([("unit", "<u2"), ("n", "<u4")])
+_FULL = 2**32 - 1
 
 
 def words(text: str | None) -> list[bytes]:
@@ -130,15 +132,34 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 
 
 def frequent_words(shards: DataFrame) -> list[bytes]:
-    """The FREQUENT words that their shards name with the greatest counts in all."""
+    """The FREQUENT words with the greatest counts over all training texts, of equal ones the least, however the texts are cut into shards.
 
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, found, n, _, _ in _shards(batches):
-            at = np.flatnonzero((n > 0) & (n * ONE_IN >= n.sum()))
-            yield pd.DataFrame({"word": pd.Series([found[i].decode("utf-8", "replace") for i in at], dtype=object), "n": n[at]})
+    Shards first name the words that are one in ONE_IN of their tokens; what they leave unnamed of a word is less than one in ONE_IN of all tokens. So words whose named
+    count is below the last frequent one's by more than that are out, and of those left, fewer than ONE_IN, all are counted. Where that bound leaves too much, every word is counted.
+    """
+
+    def counting(asked: set[bytes] | None, one_in: int | None):
+        """Each shard's counts of the asked words, or of those that are one in so many of its tokens, or of all; null stands for all its tokens."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _, found, n, _, _ in _shards(batches):
+                at = np.flatnonzero(n > 0) if one_in is None else np.flatnonzero((n > 0) & (n * one_in >= n.sum()))
+                kept = [i for i in at.tolist() if asked is None or found[i] in asked]
+                names = [found[i].decode("utf-8", "replace") for i in kept] + [None]
+                yield pd.DataFrame({"word": pd.Series(names, dtype=object), "n": [*n[kept].tolist(), int(n.sum())]})
+
+        return count
 
-    rows = shards.mapInPandas(named, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return [r["word"].encode() for r in rows]
+    def greatest(asked: set[bytes] | None, one_in: int | None, most: int) -> tuple[int, list]:
+        counted = shards.mapInPandas(counting(asked, one_in), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        rows = counted.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(most + 1).collect()
+        return (rows[0]["n"], rows[1:]) if rows else (0, [])
+
+    total, named = greatest(None, ONE_IN, ONE_IN)
+    slack = total / ONE_IN
+    last = named[FREQUENT - 1]["n"] if len(named) >= FREQUENT else 0
+    asked = {r["word"].encode() for r in named if r["n"] >= last - slack} if last > 2 * slack else None
+    return [r["word"].encode() for r in greatest(asked, None, FREQUENT)[1]]
 
 
 def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
@@ -163,7 +184,8 @@ def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
 
     def over_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # sorted by word: what a batch ends with may go on in the next
-        last, rest = None, np.empty(0, _CONTEXT)
+        wide = np.dtype([("unit", "<u2"), ("n", "<i8")])
+        last, rest = None, np.empty(0, wide)
         for batch in batches:
             if not len(batch):
                 continue
@@ -174,15 +196,16 @@ def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
             owner = np.repeat(place, [len(x) // _CONTEXT.itemsize for x in batch["contexts"]])
             if last is not None and last != names[0]:
                 names, owner = [last, *names], owner + 1
-            held, owner = np.concatenate([rest, held]), np.concatenate([np.zeros(len(rest), np.int64), owner])
+            held, owner = np.concatenate([rest, held.astype(wide)]), np.concatenate([np.zeros(len(rest), np.int64), owner])
             cells, back = np.unique(owner * UNITS + held["unit"], return_inverse=True)
             times = np.bincount(back, held["n"], len(cells)).astype(np.int64)
             whole = np.searchsorted(cells, (len(names) - 1) * UNITS)
             yield _rows(names[:-1], cells[:whole], times[:whole])
-            last, rest = names[-1], np.empty(len(cells) - whole, _CONTEXT)
+            last = names[-1]
+            rest = np.empty(len(cells) - whole, wide)
             rest["unit"], rest["n"] = cells[whole:] % UNITS, times[whole:]
         if last is not None:
-            yield _rows([last], rest["unit"].astype(np.int64), rest["n"].astype(np.int64))
+            yield _rows([last], rest["unit"].astype(np.int64), rest["n"])
 
     schema = "word string, n long, contexts binary"
     return shards.mapInPandas(in_shard, schema).repartition("word").sortWithinPartitions("word").mapInPandas(over_shards, schema)
@@ -190,6 +213,12 @@ def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
 
 def _rows(names: list[str], cells: np.ndarray, times: np.ndarray) -> pd.DataFrame:
     """(word, n, contexts) of the words that occur, from sorted cells, number of the word times UNITS plus unit."""
+    if len(times) and times.max() > _FULL:
+        parts = -(-times // _FULL)
+        ends = np.cumsum(parts) - 1
+        rest = times - (parts - 1) * _FULL
+        cells, times = np.repeat(cells, parts), np.full(parts.sum(), _FULL)
+        times[ends] = rest
     held = np.empty(len(cells), _CONTEXT)
     held["unit"], held["n"] = cells % UNITS, times
     owner = cells // UNITS
@@ -287,6 +316,14 @@ def gains(pairs: np.ndarray) -> np.ndarray:
     return _xlogx(pairs + np.arange(1, SMALL + 1)[:, None, None]) - _xlogx(pairs)
 
 
+def by_class(context: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words' contexts, classes with counts, with each class once a word: where each word's start, classes and counts."""
+    owner = np.repeat(np.arange(len(sizes)), sizes) * (CLASSES + 1)
+    cells = np.bincount(owner + context, times, len(sizes) * (CLASSES + 1)).astype(np.int64)
+    at = np.flatnonzero(cells)
+    return np.searchsorted(at, np.arange(len(sizes)) * (CLASSES + 1)), at % (CLASSES + 1), cells[at]
+
+
 def choose(own: np.ndarray, starts: np.ndarray, context: np.ndarray, times: np.ndarray, pairs: np.ndarray, looked_up: np.ndarray) -> np.ndarray:
     """The class that suits each word best while all others stay: own is its class, from starts on are its contexts and their counts."""
     pairs, total = pairs[:, :CLASSES], pairs[:, :CLASSES].sum(0)
@@ -331,7 +368,7 @@ def refine(found: DataFrame, frequent: list[bytes], class_of: np.ndarray, bigram
                         part = part.assign(**{"class": own})
                     else:
                         own = part["class"].to_numpy(np.int64)
-                        best = choose(own, np.cumsum(sizes) - sizes, context, times, pairs, looked_up)
+                        best = choose(own, *by_class(context, times, sizes), pairs, looked_up)
                         now = np.array([zlib.crc32(w.encode()) >> 8 & 1 for w in part["word"]]) == turn % 2
                         own = np.where(now, best, own)
                         part = part.assign(**{"class": own})

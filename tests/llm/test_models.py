@@ -104,6 +104,31 @@ def trained(spark, texts):
     return shards, *brown.train(shards)
 
 
+def test_frequent_words_do_not_depend_on_shards(spark, monkeypatch):
+    rnd = random.Random(11)
+    # the least frequent of the frequent ones are close together and bunched in some of the texts
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(40)] + [f"t{d // 25}x{i}" for i in range(30)], [200 / (i + 2) for i in range(40)] + [1] * 30, k=60)) for d in range(200)]
+    count = collections.Counter(w for t in texts for w in t.split())
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    for frequent, one_in in ((20, 500), (20, 30), (10**6, 500), (60, 10**6)):
+        monkeypatch.setattr(brown, "FREQUENT", frequent)
+        monkeypatch.setattr(brown, "ONE_IN", one_in)
+        want = [w.encode() for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:frequent]]
+        for chars, parts in ((300, 7), (2000, 3), (10**7, 1)):
+            monkeypatch.setattr(brown, "SHARD_CHARS", chars)
+            shards = cut(brown.number_texts(docs.repartition(parts), "doc_id", "text", F.lit(True)))
+            assert brown.frequent_words(shards) == want[:frequent]
+    assert brown.frequent_words(shards.limit(0)) == []
+
+
+def test_counts_beyond_a_cell():
+    times = np.array([1, 2**32 - 1, 2**32, 2**34 + 5, 7], np.int64)
+    rows = brown._rows(["a", "b"], np.array([3, 5, 9, brown.UNITS + 3, brown.UNITS + 4]), times)
+    assert rows["word"].tolist() == ["a", "b"] and rows["n"].tolist() == [int(times[:3].sum()), int(times[3:].sum())]
+    held = [np.frombuffer(x, brown._CONTEXT) for x in rows["contexts"]]
+    assert [[int(h["n"][h["unit"] == u].sum(dtype=np.int64)) for u in np.unique(h["unit"])] for h in held] == [times[:3].tolist(), times[3:].tolist()]
+
+
 def test_class_probabilities_sum_to_one(spark):
     _, model, classes = trained(spark, ["a b c a b", "b c d e", None])
     assert np.allclose((10**model.transition).sum(1), 1) and model.ends == 3 and model.tokens == 12
