@@ -12,7 +12,7 @@ Exchange clustering assigns the classes, in two steps:
   driver. Rarer and unseen words stay with their group.
 
 Texts are read and numbered once, in shards of about ``SHARD_CHARS`` that are written with their words. A word's
-contexts are summed in its shard first, then over shards; its count and class go back to the shards that hold it.
+contexts are summed in its shard first (a frequent word's in its task), then over all; its count and class go back to the shards that hold it.
 """
 
 from __future__ import annotations
@@ -167,6 +167,8 @@ def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
     units = {w: u for u, w in enumerate(frequent)}
 
     def in_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # frequent words and the end, which most shards have, are summed over all shards of a task
+        hot = np.zeros((FREQUENT + 1) * UNITS, np.int64)
         for _, found, n, texts, training in _shards(batches):
             unit = np.array([units[w] if w in units else FREQUENT + group(w) for w in found] + [END], np.int64)
             end = np.array([len(found)], np.int32)
@@ -178,9 +180,15 @@ def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
             times, cells = np.diff(np.append(first, len(cells))), cells[first]
             found.append(b"")
+            to = unit[cells // UNITS]
+            often = (to < FREQUENT) | (to == END)
+            hot[np.minimum(to[often], FREQUENT) * UNITS + cells[often] % UNITS] += times[often]
+            cells, times = cells[~often], times[~often]
             for a in range(0, len(found), HANDED):
                 low, high = np.searchsorted(cells, [a * UNITS, (a + HANDED) * UNITS])
                 yield _rows([w.decode("utf-8", "replace") for w in found[a : a + HANDED]], cells[low:high] - a * UNITS, times[low:high])
+        cells = np.flatnonzero(hot)
+        yield _rows([*(w.decode() for w in frequent), *[""] * (FREQUENT + 1 - len(frequent))], cells, hot[cells])
 
     def over_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # sorted by word: what a batch ends with may go on in the next
