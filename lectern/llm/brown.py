@@ -142,8 +142,10 @@ def frequent_words(shards: DataFrame) -> list[bytes]:
         """Each shard's counts of the asked words, or of those that are one in so many of its tokens, or of all; null stands for all its tokens."""
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for _, found, n, _, _ in _shards(batches):
+            for words_, counts in (row for batch in batches for row in zip(batch["words"], batch["n_training"], strict=True)):
+                n = np.frombuffer(counts, np.int64)
                 at = np.flatnonzero(n > 0) if one_in is None else np.flatnonzero((n > 0) & (n * one_in >= n.sum()))
+                found = words_.split()
                 kept = [i for i in at.tolist() if asked is None or found[i] in asked]
                 names = [found[i].decode("utf-8", "replace") for i in kept] + [None]
                 yield pd.DataFrame({"word": pd.Series(names, dtype=object), "n": [*n[kept].tolist(), int(n.sum())]})
@@ -151,7 +153,7 @@ def frequent_words(shards: DataFrame) -> list[bytes]:
         return count
 
     def greatest(asked: set[bytes] | None, one_in: int | None, most: int) -> tuple[int, list]:
-        counted = shards.mapInPandas(counting(asked, one_in), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = shards.select("words", "n_training").mapInPandas(counting(asked, one_in), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         rows = counted.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(most + 1).collect()
         return (rows[0]["n"], rows[1:]) if rows else (0, [])
 
