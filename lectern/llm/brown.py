@@ -39,7 +39,7 @@ ENDING = 3
 LEAST = 3
 #: Share by which the log-likelihood has to rise for another round.
 TOLERANCE = 1e-4
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 4_000_000
 #: Words of a shard that are handed on at a time.
 HANDED = 50_000
 #: A shard names a word for the frequent ones if it is one in so many of its tokens at least.
