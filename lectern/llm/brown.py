@@ -39,11 +39,9 @@ ENDING = 3
 LEAST = 3
 #: Share by which the log-likelihood has to rise for another round.
 TOLERANCE = 1e-4
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 8_000_000
 #: Words of a shard that are handed on at a time.
 HANDED = 50_000
-#: A shard names a word for the frequent ones if it is one in so many of its tokens at least.
-ONE_IN = 50_000
 #: Counts that smoothing adds to each transition and each word of a class.
 ADD_TRANSITION, ADD_WORD = 0.1, 0.5
 
@@ -132,36 +130,17 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 
 
 def frequent_words(shards: DataFrame) -> list[bytes]:
-    """The FREQUENT words with the greatest counts over all training texts, of equal ones the least, however the texts are cut into shards.
+    """The FREQUENT words with the greatest counts over all training texts, of equal ones the least, however the texts are cut into shards."""
 
-    Shards first name the words that are one in ONE_IN of their tokens; what they leave unnamed of a word is less than one in ONE_IN of all tokens. So words whose named
-    count is below the last frequent one's by more than that are out, and of those left, fewer than ONE_IN, all are counted. Where that bound leaves too much, every word is counted.
-    """
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for words_, counts in (row for batch in batches for row in zip(batch["words"], batch["n_training"], strict=True)):
+            n, found = np.frombuffer(counts, np.int64), words_.split()
+            for a in range(0, len(found), HANDED):
+                at = a + np.flatnonzero(n[a : a + HANDED])
+                yield pd.DataFrame({"word": pd.Series([found[i].decode("utf-8", "replace") for i in at.tolist()], dtype=object), "n": n[at]})
 
-    def counting(asked: set[bytes] | None, one_in: int | None):
-        """Each shard's counts of the asked words, or of those that are one in so many of its tokens, or of all; null stands for all its tokens."""
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for words_, counts in (row for batch in batches for row in zip(batch["words"], batch["n_training"], strict=True)):
-                n = np.frombuffer(counts, np.int64)
-                at = np.flatnonzero(n > 0) if one_in is None else np.flatnonzero((n > 0) & (n * one_in >= n.sum()))
-                found = words_.split()
-                kept = [i for i in at.tolist() if asked is None or found[i] in asked]
-                names = [found[i].decode("utf-8", "replace") for i in kept] + [None]
-                yield pd.DataFrame({"word": pd.Series(names, dtype=object), "n": [*n[kept].tolist(), int(n.sum())]})
-
-        return count
-
-    def greatest(asked: set[bytes] | None, one_in: int | None, most: int) -> tuple[int, list]:
-        counted = shards.select("words", "n_training").mapInPandas(counting(asked, one_in), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        rows = counted.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(most + 1).collect()
-        return (rows[0]["n"], rows[1:]) if rows else (0, [])
-
-    total, named = greatest(None, ONE_IN, ONE_IN)
-    slack = total / ONE_IN
-    last = named[FREQUENT - 1]["n"] if len(named) >= FREQUENT else 0
-    asked = {r["word"].encode() for r in named if r["n"] >= last - slack} if last > 2 * slack else None
-    return [r["word"].encode() for r in greatest(asked, None, FREQUENT)[1]]
+    counted = shards.select("words", "n_training").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"].encode() for r in counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
 
 
 def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
