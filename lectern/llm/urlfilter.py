@@ -1,6 +1,6 @@
 """URL filtering (operator 10): rules first, then gradient-boosted trees on lexical features.
 
-The trees (Spark ML) are trained on a bounded sample of labelled URLs and on nothing but the URL's
+The trees (Spark ML) are trained on all labelled URLs and on nothing but the URL's
 letters: lengths, depth, digit ratio, entropy, parameter counts and statistics of its suffix.
 Features are native columns; scoring is a map over the URLs, without a shuffle.
 """
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import ascii_lower, cut, table
 
-#: Labelled URLs the trees are trained on at most.
-SAMPLE_ROWS = 20_000
 TREES = 20
 DEPTH = 4
 #: A suffix' block rate counts this many URLs of the average rate besides its own.
@@ -81,7 +79,7 @@ def features(urls: DataFrame, url: str = "url") -> DataFrame:
 
 
 class UrlModel:
-    """Trees and suffix statistics of a training sample; suffixes: at most SAMPLE_ROWS rows."""
+    """Trees and suffix statistics of the labelled URLs; suffixes: a row a suffix."""
 
     def __init__(self, trees, suffixes: DataFrame, rate: float):
         self.trees, self.suffixes, self.rate = trees, suffixes, rate
@@ -98,7 +96,8 @@ class UrlModel:
 
 
 def _with_suffix(rows: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
-    return rows.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_rate": rate})
+    # as many suffixes as hosts, so Spark decides how they travel
+    return rows.join(suffixes, "suffix", "left").fillna({"suffix_share": 0.0, "suffix_rate": rate})
 
 
 def _assembler() -> VectorAssembler:
@@ -108,21 +107,21 @@ def _assembler() -> VectorAssembler:
 def train(labelled: DataFrame, url: str = "url", label: str = "label") -> UrlModel | None:
     """A model from URLs with label 1 (unwanted) or 0; None if there are not both.
 
-    The sample is SAMPLE_ROWS distinct URLs at most, those with the least hash. Null URLs or labels are left out.
+    All distinct URLs are learned from; of one with both labels the greater counts. Null URLs or labels are left out.
     """
     distinct = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).dropna().groupBy("url").agg(F.max("label").alias("label"))
-    sample = cut(features(distinct.orderBy(F.xxhash64("url"), "url").limit(SAMPLE_ROWS)).drop("url"))
-    n, rate = sample.agg(F.count("*"), F.avg("label")).first()
+    known = cut(features(distinct).drop("url"))
+    n, rate = known.agg(F.count("*"), F.avg("label")).first()
     if not n or rate in (0.0, 1.0):
         return None
-    by_suffix = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("sum"))
+    by_suffix = known.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("sum"))
     smooth = lambda total, count: (total + PRIOR * rate) / (count + PRIOR)
     suffixes = cut(by_suffix.select("suffix", (F.col("n") / n).alias("suffix_share"), smooth(F.col("sum"), F.col("n")).alias("suffix_rate")))
     # a URL's own label is left out of the rate it is trained with
-    without = sample.join(F.broadcast(by_suffix), "suffix").withColumns({"suffix_share": F.col("n") / n, "suffix_rate": smooth(F.col("sum") - F.col("label"), F.col("n") - 1)})
-    ready = _assembler().transform(without).select("features", "label")
-    # a sample of bounded size: a few partitions are enough
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False).fit(ready.coalesce(4))
+    without = known.join(by_suffix, "suffix").withColumns({"suffix_share": F.col("n") / n, "suffix_rate": smooth(F.col("sum") - F.col("label"), F.col("n") - 1)})
+    # written, as every tree reads it again
+    ready = _assembler().transform(cut(without.select(*FEATURES, "label"))).select("features", "label")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False).fit(ready)
     return UrlModel(trees, suffixes, rate)
 
 
