@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that one pass over the rows compares with.
 BLOCK = 2000
+#: Of these, as many as are compared with a batch of rows at a time: a task holds the scores of so many.
+SLICE = 100
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, digits: int = 6) -> DataFrame:
@@ -52,10 +54,13 @@ def _matcher(ids: list, vectors: list, k: int, digits: int):
             keys = batch.iloc[:, 0].to_numpy()
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
-            scores = np.round(mine @ _unit([batch.iloc[i, 1] for i in order], width).T, digits)
-            scores[np.array(ids)[:, None] == keys[None, :]] = -np.inf
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            out = pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "match": keys[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
-            yield out[np.isfinite(out["score"])]
+            units = _unit([batch.iloc[i, 1] for i in order], width).T
+            for low in range(0, len(ids), SLICE):
+                part = np.array(ids[low : low + SLICE])
+                scores = np.round(mine[low : low + SLICE] @ units, digits)
+                scores[part[:, None] == keys[None, :]] = -np.inf
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                out = pd.DataFrame({"query": np.repeat(part, top.shape[1]), "match": keys[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
+                yield out[np.isfinite(out["score"])]
 
     return match
