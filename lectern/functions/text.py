@@ -1,4 +1,4 @@
-"""Text functions as native columns: tokens, sizes, headings, paragraphs, sentences, anchors, hashes, escapes.
+"""Text functions as columns, native but for content_hash(): tokens, sizes, headings, paragraphs, sentences, anchors, hashes, escapes.
 
 Patterns treat white space as Unicode does (no-break spaces and the byte-order mark included) and words
 as ASCII. Null texts count as empty throughout.
@@ -6,11 +6,17 @@ as ASCII. Null texts count as empty throughout.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space, one character.
+#: White space, as characters and as one character of a pattern.
+_WIDE = "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANKS = " \t\n\x0b\f\r\u00a0" + _WIDE
 S = r"[\s\u00A0\uFEFF\p{Z}]"
+#: Runs of white space but for single blanks.
+RUNS = rf"{S}(?:(?<! ){S}*|{S}+)"
 #: ASCII word boundaries.
 WORD_START, WORD_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -28,10 +34,16 @@ NUMBERED_WORDS, CAPITAL_WORDS = 10, 8
 
 # Abbreviations whose last full stop ends no sentence, in any case and as written.
 ABBREVIATIONS, ABBREVIATIONS_AS_WRITTEN = (r"e\.g", r"i\.e", "et al"), ("Fig", "Eq", "Sec")
-SENTENCE_END = r"""(?<=[.!?])\s+(?=[\[A-Z0-9(“"])"""
+# in texts whose white space is squeezed; the blank comes first, as it is rarer than what may stand around it
+SENTENCE_END = r""" (?<=[.!?] )(?=[\[A-Z0-9(“"])"""
+# a stop and white space, or line ends: the lookbehind is tried at white space only
+GROUND_END = rf"{S}(?:(?<=[.!?。！？]{S}){S}*|(?<=\n)\n*)"
 DOT = "\ue000"
 ANCHOR_SHORT, ANCHOR_LIMIT = 80, 320
+#: Characters of a text that are read for its anchor, and of these, squeezed, those that an anchor can depend on.
+ANCHOR_READ, ANCHOR_NEEDS = 1000, 400
 GROUND_MINIMUM = 12
+TOKEN = "[a-z가-힣]{2,}|[0-9]+"
 
 
 def whole(text: Column) -> Column:
@@ -39,12 +51,17 @@ def whole(text: Column) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{S}+|{S}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(whole(text), rf"{S}+", " "))
+    return F.trim(F.regexp_replace(whole(text), RUNS, " "))
+
+
+def _let(value: Column, of) -> Column:
+    """of(value), with the value found once."""
+    return F.transform(F.array(value), of)[0]
 
 
 def lines(text: Column) -> Column:
@@ -53,8 +70,12 @@ def lines(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Search tokens: lower case, parted between letters and digits; runs of a-z, 0-9 and Hangul of two characters up, or digits."""
-    found = F.regexp_extract_all(F.lower(whole(text)), F.lit("[a-z가-힣]+|[0-9]+"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) > 1) | t.between("0", "9"))
+    return F.regexp_extract_all(F.lower(whole(text)), F.lit(TOKEN), F.lit(0))
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens() a text has."""
+    return F.regexp_count(F.lower(whole(text)), F.lit(TOKEN)).cast("long")
 
 
 def utf16_length(text: Column) -> Column:
@@ -68,9 +89,9 @@ def estimate_tokens(text: Column) -> Column:
 
 def normalize_block(text: Column) -> Column:
     """No carriage returns, no blanks before line ends, no more than one blank line, none at the ends."""
-    out = F.regexp_replace(whole(text), "\r", "")
-    out = F.regexp_replace(out, "[ \t]+\n", "\n")
-    return trim(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    out = F.replace(whole(text), F.lit("\r"), F.lit(""))
+    out = _let(out, lambda t: F.when(F.contains(t, F.lit(" \n")) | F.contains(t, F.lit("\t\n")), F.regexp_replace(t, "[ \t]+\n", "\n")).otherwise(t))
+    return trim(_let(out, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t)))
 
 
 def is_heading(line: Column) -> Column:
@@ -90,45 +111,59 @@ def _is_heading(t: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Parts between blank lines, none empty."""
-    return F.filter(F.transform(F.split(normalize_block(text), r"\n\s*\n+"), trim), lambda p: p != "")
+    # without blank lines there is no need to look for them
+    parts = _let(normalize_block(text), lambda t: F.when(t.rlike(r"\n\s*\n"), F.split(t, r"\n\s*\n+")).otherwise(F.array(t)))
+    return F.filter(F.transform(parts, trim), lambda p: p != "")
 
 
-def _sentence_parts(text: Column, limit: int) -> Column:
-    """The text split where sentences end, into ``limit`` parts at most (-1: all); the last part is the rest."""
+def _sentence_parts(squeezed: Column, limit: int) -> Column:
+    """A text, its white space squeezed, split where sentences end, into ``limit`` parts at most (-1: all); the last part is the rest."""
     abbreviation = rf"{WORD_START}((?i:{'|'.join(ABBREVIATIONS)})|{'|'.join(ABBREVIATIONS_AS_WRITTEN)})\."
-    parts = F.split(F.regexp_replace(squeeze(text), abbreviation, f"$1{DOT}"), SENTENCE_END, limit)
-    return F.filter(F.transform(parts, lambda s: F.trim(F.translate(s, DOT, "."))), lambda s: s != "")
+    # most texts have none of them
+    maybe = lambda low: F.exists(F.array(*[F.lit(f"{a.replace(chr(92), '').lower()}.") for a in ABBREVIATIONS + ABBREVIATIONS_AS_WRITTEN]), lambda a: F.contains(low, a))
+    masked = _let(squeezed, lambda t: F.when(_let(F.lower(t), maybe) | F.contains(t, F.lit(DOT)), F.regexp_replace(t, abbreviation, f"$1{DOT}")).otherwise(t))
+    return F.filter(F.transform(F.split(masked, SENTENCE_END, limit), lambda s: F.trim(F.replace(s, F.lit(DOT), F.lit(".")))), lambda s: s != "")
 
 
 def sentences(text: Column) -> Column:
     """Sentences of academic prose: ended by . ! or ? before white space and a capital, a digit, an opening bracket or a quote."""
-    return _sentence_parts(text, -1)
+    return _sentence_parts(squeeze(text), -1)
 
 
 def ground_sentences(text: Column) -> Column:
     """Sentences for grounding: ended by a stop before white space, or by a line end; of 12 characters up."""
-    t = trim(F.regexp_replace(F.regexp_replace(whole(text), "\r", ""), "\n{2,}", "\n"))
-    parts = F.transform(F.split(t, rf"(?<=[.!?。！？]){S}+|\n+"), squeeze)
+    # line ends that follow one another part the text like one
+    t = trim(F.replace(whole(text), F.lit("\r"), F.lit("")))
+    parts = F.transform(F.split(t, GROUND_END), squeeze)
     return F.filter(parts, lambda p: F.length(p) >= GROUND_MINIMUM)
 
 
 def anchor(text: Column) -> Column:
     """The first sentence, with the second if it is short, cut at 320."""
-    def of(found):
-        first = F.coalesce(F.get(found, 0), squeeze(text))
+    read = lambda part: F.when((F.length(text) <= ANCHOR_READ) | (F.length(part) >= ANCHOR_NEEDS), F.left(part, F.lit(ANCHOR_NEEDS))).otherwise(F.left(squeeze(text), F.lit(ANCHOR_NEEDS)))
+
+    def of(begins, found):
+        first = F.coalesce(F.get(found, 0), begins)
         short = (F.length(first) < ANCHOR_SHORT) & (F.size(found) >= 2)
         return F.left(F.when(short, F.trim(F.concat_ws(" ", first, F.get(found, 1)))).otherwise(first), F.lit(ANCHOR_LIMIT))
 
-    return F.transform(F.array(_sentence_parts(text, 3)), of)[0]
+    return _let(_let(squeeze(F.left(text, F.lit(ANCHOR_READ))), read), lambda begins: _let(_sentence_parts(begins, 3), lambda found: of(begins, found)))
 
 
 def content_hash(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 units as eight hex digits, then the number of units in hex."""
-    digits = F.hex(F.encode(whole(text), "UTF-16BE"))
-    units = F.filter(F.regexp_extract_all(digits, F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: u != "")
-    step = lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * F.lit(0x01000193).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    fnv = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), step)
-    return F.concat(F.lpad(F.lower(F.hex(fnv)), 8, "0"), F.lower(F.hex(utf16_length(text))))
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            h, units = 0x811C9DC5, np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2").tolist()
+            for u in units:
+                h = ((h ^ u) * 0x01000193) & 0xFFFFFFFF
+            out.append(f"{h:08x}{len(units):x}")
+        return pd.Series(out, dtype=object)
+
+    return of(whole(text))
 
 
 def normalize_match(text: Column) -> Column:

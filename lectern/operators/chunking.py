@@ -109,7 +109,7 @@ def text_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     heads = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: T.is_heading(F.get(ls, i)))
     secs = let(T.lines(T.normalize_block(F.col(text))), lambda ls: let(heads(ls), lambda found: cut(ls, found)))
     none = F.lit(None).cast("int")
-    return docs.select("doc_id", F.explode(secs).alias("s")).select("doc_id", "s.sec", "s.name", "s.text", none.alias("page_start"), none.alias("page_end"))
+    return docs.select("doc_id", F.explode_outer(secs).alias("s")).filter("s is not null").select("doc_id", "s.sec", "s.name", "s.text", none.alias("page_start"), none.alias("page_end"))
 
 
 def chunk(found: DataFrame, parent_tokens: int = PARENT_TOKENS, child_tokens: int = CHILD_TOKENS) -> DataFrame:
@@ -118,9 +118,10 @@ def chunk(found: DataFrame, parent_tokens: int = PARENT_TOKENS, child_tokens: in
     A parent comes before its children; seq numbers them in that order from 1. Everything below a section is
     array work on the section's own row, so one shuffle by document, for the numbers, is all there is.
     """
-    paras = found.withColumn("paras", T.paragraphs(F.col("text"))).filter(F.size("paras") > 0)
+    # outer, and filtered afterwards: of others Spark makes a filter that finds the exploded array a second time
+    paras = found.withColumn("paras", T.paragraphs(F.col("text")))
     packs = paras.withColumn("packs", pack(F.transform("paras", T.estimate_tokens), parent_tokens)).withColumn("n_packs", F.size("packs"))
-    parents = packs.select("*", F.posexplode("packs").alias("pack", "p")).drop("packs", "text")
+    parents = packs.select("*", F.posexplode_outer("packs").alias("pack", "p")).filter("p is not null").drop("packs", "text")
     parents = parents.withColumn("inside", F.slice("paras", F.col("p.low") + 1, F.col("p.high") - F.col("p.low") + 1)).drop("paras")
 
     def children(para, i):
@@ -147,7 +148,7 @@ def chunk(found: DataFrame, parent_tokens: int = PARENT_TOKENS, child_tokens: in
         i.alias("i"), F.when(is_abstract, "abstract").otherwise("child").alias("kind"), F.col("name").alias("section"), c["text"].alias("text"),
         (low + c["para"] + 1).alias("para_start"), (low + c["para"] + 1).alias("para_end"), (c["low"] + 1).cast("int").alias("sent_start"), (c["high"] + 1).cast("int").alias("sent_end"),
     ))
-    rows = parents.select("doc_id", "sec", "pack", "page_start", "page_end", F.explode(F.concat(F.array(parent), child)).alias("c")).select("doc_id", "sec", "pack", "page_start", "page_end", "c.*")
+    rows = parents.select("doc_id", "sec", "pack", "page_start", "page_end", F.explode_outer(F.concat(F.array(parent), child)).alias("c")).select("doc_id", "sec", "pack", "page_start", "page_end", "c.*")
     order = W.partitionBy("doc_id").orderBy("sec", "pack", "i")
     numbered = rows.withColumn("seq", F.row_number().over(order))
     parent_seq = F.max(F.when(F.col("i") == -1, F.col("seq"))).over(W.partitionBy("doc_id", "sec", "pack"))

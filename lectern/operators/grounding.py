@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import scoring
 from lectern.operators.links import link_phrase
+from lectern.sources.tables import stored
 
 LEAST_PRECISION, LEAST_RUN, LEAST_SCORE = 0.28, 0.35, 0.42
 CLAIM_LINE, CLAIM_MINIMUM, CLAIM_MAXIMUM, CLAIM_SPLIT = 220, 12, 240, 80
@@ -88,18 +89,24 @@ def combined(p: Column, j: Column, r: Column) -> Column:
 
 def sentence_corpus(chunks: DataFrame) -> DataFrame:
     """(doc_id, pos, text, section, page_start, chunk_id): the sentences of each document, none twice; parents' only where the finer chunks give few."""
-    def of(rows: DataFrame, pieces: Column) -> DataFrame:
-        found = rows.select("doc_id", "seq", "section", "page_start", F.col("id").alias("chunk_id"), F.posexplode(pieces).alias("i", "piece"))
-        return found.withColumn("text", T.squeeze(F.col("piece"))).filter(F.length("text") >= SENTENCE_MINIMUM).withColumn("text", _clip(F.col("text"), SENTENCE_MAXIMUM)).drop("piece")
+    together = chunks.select("doc_id", "seq", "section", "page_start", "id", "kind", "anchor_text", "text").repartition("doc_id")
+
+    def of(rows: DataFrame, pieces: Column, tier: int) -> DataFrame:
+        # ground_sentences() are squeezed, and an anchor but for its ends; outer, as Spark would find the pieces a second time for a filter
+        found = rows.select("doc_id", "seq", "section", "page_start", F.col("id").alias("chunk_id"), F.posexplode_outer(pieces).alias("i", "text"))
+        return found.filter(F.length("text") >= SENTENCE_MINIMUM).withColumn("text", _clip(F.col("text"), SENTENCE_MAXIMUM)).withColumn("tier", F.lit(tier))
 
     def distinct(rows: DataFrame) -> DataFrame:
-        key = F.left(T.normalize_match(F.col("text")), F.lit(SENTENCE_KEY))
+        key = F.left(F.lower("text"), F.lit(SENTENCE_KEY))
         return rows.withColumn("key", key).withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "key").orderBy("tier", "seq", "i"))).filter("__n = 1").drop("__n", "key")
 
-    fine = distinct(of(chunks.filter(F.col("kind").isin("child", "abstract")), F.concat(F.array("anchor_text"), T.ground_sentences(F.col("text")))).withColumn("tier", F.lit(0)))
-    enough = fine.groupBy("doc_id").count().filter(F.col("count") >= FEW_SENTENCES).select("doc_id")
-    coarse = of(chunks.filter("kind = 'parent'").join(enough, "doc_id", "left_anti"), T.ground_sentences(F.col("text"))).withColumn("tier", F.lit(1))
-    every = distinct(fine.unionByName(coarse))
+    fine = of(together.filter(F.col("kind").isin("child", "abstract")), F.concat(F.array(F.trim("anchor_text")), T.ground_sentences(F.col("text"))), 0)
+    # read twice, so written once
+    fine = stored(distinct(fine).withColumn("enough", F.count("*").over(W.partitionBy("doc_id")) >= FEW_SENTENCES))
+    enough = fine.filter("enough").select("doc_id").distinct()
+    coarse = of(chunks.filter("kind = 'parent'").join(enough, "doc_id", "left_anti"), T.ground_sentences(F.col("text")), 1)
+    # of documents with enough none is a parent's, and all differ already
+    every = fine.filter("enough").drop("enough").unionByName(distinct(fine.filter("not enough").drop("enough").unionByName(coarse)))
     return every.withColumn("pos", F.row_number().over(W.partitionBy("doc_id").orderBy("tier", "seq", "i"))).drop("tier", "seq", "i")
 
 

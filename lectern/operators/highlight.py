@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators.locate import locate
 from lectern.operators.matching import occurrences
+from lectern.sources.tables import stored
 
 # Sections by weight (the greatest that fits counts, and 1 at least, so those below 1 change nothing); lengths in tokens by factor; limits.
 SECTION_WEIGHTS = (
@@ -135,7 +136,7 @@ def ground_items(items: DataFrame, selected: DataFrame, by: str = "doc_id", per_
     many of a category are kept and so many in all; place is by category, then n. Items and candidates without ``by`` don't meet.
     """
     c = F.col
-    asked = items.filter(c("category").isin(*CATEGORIES)).withColumn("__needle", T.normalize_match(c("quote"))).filter(F.length("__needle") >= QUOTE_MINIMUM)
+    asked = stored(items.filter(c("category").isin(*CATEGORIES)).withColumn("__needle", T.normalize_match(c("quote")))).filter(F.length("__needle") >= QUOTE_MINIMUM)
     texts = selected.select(c(by).alias("doc_id"), c("rank").alias("page"), T.normalize_match(c("text")).alias("text"))
     first = occurrences(asked.select(c(by).alias("doc_id"), c("__needle").alias("needle")), texts).groupBy("doc_id", "needle").agg(F.min("page").alias("candidate"))
     found = asked.join(first.select(c("doc_id").alias(by), c("needle").alias("__needle"), "candidate"), [by, "__needle"])

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lectern.sources.tables import stored
+
 #: Pages and distinct needles of a document that meet in one place.
 PART_PAGES, SLICE_NEEDLES = 256, 20_000
 
@@ -24,10 +26,11 @@ def occurrences(needles: DataFrame, texts: DataFrame) -> DataFrame:
     Empty and null needles and texts are found nowhere, nor do rows without a document meet. Repeated rows of either side give one row. Pages may be
     null, and are then one page.
     """
-    wanted = needles.filter("doc_id is not null and needle <> ''").select("doc_id", "needle").distinct()
+    # both are read several times and dear to make, so they are written once
+    wanted = stored(needles.filter("doc_id is not null and needle <> ''").select("doc_id", "needle").distinct())
     counts = wanted.groupBy("doc_id").agg(F.ceil(F.count("*") / SLICE_NEEDLES).cast("int").alias("slices"))
     part = F.floor(F.coalesce(F.col("page"), F.lit(0)) / PART_PAGES).cast("long").alias("part")
-    pages = texts.filter("text <> ''").select("doc_id", "page", "text", part).join(counts, "doc_id")
+    pages = stored(texts.filter("text <> ''").select("doc_id", "page", "text", part)).join(counts, "doc_id")
     parts = pages.select("doc_id", "part").distinct()
     # a page meets each slice of its document's needles, a needle each part of the pages
     dealt_pages = pages.select("doc_id", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("string").alias("needle"), "page", "text")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators.locate import locate
 from lectern.operators.matching import occurrences
+from lectern.sources.tables import stored
 
 # Words and characters of needles and of their variants; lengths of quotes; how many are located, with how many rectangles.
 FEW_WORDS, FEW_CHARS, SKIPPED, TAKEN = 4, 48, 4, 10
@@ -53,7 +54,7 @@ def fill_pages(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     a section stands. Rows stay as many as they are.
     """
     c = F.col
-    asked = evidence.withColumn("__needle", F.when(c("page_start").isNull(), page_needle(_source())))
+    asked = stored(evidence.withColumn("__needle", F.when(c("page_start").isNull(), page_needle(_source()))))
     found = first_pages(asked.filter("__needle <> ''").select("doc_id", c("__needle").alias("needle")), pages).select(c("doc_id").alias("__doc"), c("needle").alias("__found_needle"), c("page").alias("__page"))
     have = pages.select(c("doc_id").alias("__with")).distinct()
     rows = asked.join(found, (c("doc_id") == c("__doc")) & (c("__needle") == c("__found_needle")), "left").join(have, c("doc_id") == c("__with"), "left")
