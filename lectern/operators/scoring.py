@@ -44,6 +44,14 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles in whole numbers of 2^-20 and of 2^-62, which is the same in any order: units with equal words have equal scores."""
+    scaled = value * F.lit(float(2**20))
+    high = F.floor(scaled).cast("long")
+    low = F.round((scaled - high) * F.lit(float(2**42))).cast("long")
+    return (F.sum(high) + F.sum(low) / F.lit(float(2**42))) / F.lit(float(2**20))
+
+
 def bm25(units: DataFrame, keys: Sequence[str], queries: DataFrame, scope: Sequence[str] = (), text: str = "text", query_scope: Sequence[str] = ()) -> DataFrame:
     """(query_id, keys, score): BM25 of every unit that shares a term with a query(query_id, query[, query_scope]).
 
@@ -54,9 +62,10 @@ def bm25(units: DataFrame, keys: Sequence[str], queries: DataFrame, scope: Seque
     terms = queries.select("query_id", *query_scope, F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", *query_scope, "term").agg(F.count("*").alias("qtf"))
     asked = terms.select("term").distinct()
     all_keys = list(dict.fromkeys([*keys, *scope]))
-    posted = tokens.select(*all_keys, "len", F.explode("toks").alias("term")).join(asked, "term", "left_semi").groupBy(*all_keys, "len", "term").agg(F.count("*").alias("tf"))
+    # outer: of the other Spark makes a filter that finds the tokens a second time; the null of a text without any is in no question
+    posted = tokens.select(*all_keys, "len", F.explode_outer("toks").alias("term")).join(asked, "term", "left_semi").groupBy(*all_keys, "len", "term").agg(F.count("*").alias("tf"))
     df = posted.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(tokens, scope)
+    stats = corpus_stats(units.select(*scope, T.token_count(F.col(text)).alias("len")), scope)
     joined = posted.join(df, [*scope, "term"])
     joined = joined.join(stats, list(scope)) if scope else joined.join(F.broadcast(stats))  # one row
     average = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
@@ -64,7 +73,7 @@ def bm25(units: DataFrame, keys: Sequence[str], queries: DataFrame, scope: Seque
     gain = idf(F.col("n"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * (length / average)))
     weighted = joined.select(*all_keys, "term", gain.alias("gain"))
     on = [*query_scope, "term"]
-    return weighted.join(terms, on).groupBy("query_id", *keys).agg(F.sum(F.col("gain") * F.col("qtf")).alias("score"))
+    return weighted.join(terms, on).groupBy("query_id", *keys).agg(exact_sum(F.col("gain") * F.col("qtf")).alias("score"))
 
 
 def top_k(scored: DataFrame, by: Sequence[str], order: Sequence[str], k: int, score: str = "score", digits: int = 9) -> DataFrame:
@@ -92,5 +101,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(lengths > 0, dot / lengths).otherwise(0.0)
 
 
+def vector_norm(v: Column) -> Column:
+    """The length of a vector, as cosine() takes it."""
+    return F.sqrt(F.aggregate(F.transform(v.cast("array<double>"), lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+
+
+def cosine_with(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """cosine() of vectors whose lengths are at hand: these are found once a vector, not once a pair. Vectors of two widths, and null ones, are left to cosine()."""
+    dot = F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(a) == F.size(b), F.when(norm_a * norm_b > 0, dot / (norm_a * norm_b)).otherwise(0.0)).otherwise(cosine(a, b))
+
+
 def hybrid(dense: Column, lexical: Column) -> Column:
     return DENSE_WEIGHT * dense + LEXICAL_WEIGHT * lexical
