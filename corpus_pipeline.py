@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, of a five-word Jaccard similarity of 0.8 or more: that with the least doc_id.
 
-    Candidates come from MinHash (llm/neardup.py), not from the 64-bit SimHash of operator 3, which at 3 bits misses almost all pairs at 0.8; each is verified on
+    Candidates come from SimHash by ball hashing (llm/neardup.py), by fingerprints of 512 bits: 64 bits within 3, as in operator 3, miss almost all pairs at 0.8. Each is verified on
     its whole sets. All texts without words are one group. Of equal rows one stays; null doc_ids go only in favour of a row that has one.
     """
     return neardup.keep_one(docs, "doc_id", "text", SHINGLE)

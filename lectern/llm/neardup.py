@@ -1,15 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles (the pipeline's near-dedup stage).
-
-Texts whose sets of distinct shingles have a similarity of ``SIMILARITY`` or more are linked, and classes are what links
-join. Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, so a pair of similarity s shares none with the
-chance (1 - s^4)^24, 3e-6 at 0.8. Every candidate pair that could join two classes is verified on the whole sets, so no pair below SIMILARITY is linked.
-
-Texts of equal sets are one node from the start. Shared keys are chained to their least node, and what chains join is a block: no link leaves it. The
-sets of a block travel once, to one task, which grows the classes in it: it asks for each node which of the nodes that are in no class yet, share a key with it, are
-of fitting size and share AGREED minima with it are alike, all of them in one step over their sets. A node that has a class is never asked for again, so a group of copies
-that are alike costs about its sets. Nodes near one another that no link joins are still compared in pairs, by their minima, a few by their sets; but pairs are never rows. A block of more than BLOCK_NODES nodes or BLOCK_BYTES of sets is not held by one task; its buckets
-(the nodes that share a key) are searched in rounds instead: nodes are paired with the first few of their bucket, then with those up to four times as many,
-and so on, pairs that links already join left out, until no bucket has a pair that is neither verified nor joined.
+"""Near-duplicates by SimHash over word shingles, verified by Jaccard similarity (the pipeline's near-dedup stage).
+
+Texts whose sets of distinct shingles have a similarity of ``SIMILARITY`` or more are linked, and classes are what links join. Candidates come from SimHash: a
+shingle's hash gives each of the fingerprint's bits a weight from -255 to 255, and a bit is set if its sum over the text's shingles is above 0. (Weights of one bit each would
+tie in texts of few shingles.) Two sets of similarity 0.8 have a cosine of 8 / 9 or more, so they differ in 15 % of their bits: 10 of 64, far from the 3 that operator 3 links.
+
+So the search is ball hashing that meets in the middle, as there, by ``BLOCKS`` blocks of ``BITS`` bits: a text emits each block as it is and with the ``WEAK`` bits whose sums are
+nearest 0, those that edits turn first, flipped in all ways. The balls of two texts meet if every bit that differs in a block is weak in one of the two. At a similarity of 0.8 this has a chance
+of 0.37 a block, so none of 24 meets with one of 2e-5. Texts that meet are linked if ``CHECKED`` other bits differ in ``NEAR_CHECKED`` at most. Links within a bucket are a tree for each
+group of near fingerprints, never all pairs. Every candidate pair that could join two classes is verified on the whole sets, so no pair below SIMILARITY is linked.
+
+Texts of equal sets are one node from the start. What links of fingerprints join is a block: no class leaves it. The sets of a block travel once, to one task, which grows the classes
+in it: it asks for each node which of the nodes that are in no class yet have a near fingerprint and a fitting size, and which of those are alike, all of them in one step over their sets. A node that has a class is
+never asked for again, so a group of copies that are alike costs about its sets. Nodes near one another that no link joins are still compared in pairs, by their fingerprints, a few by their sets; but pairs are never rows.
+A block of more than BLOCK_NODES nodes or BLOCK_BYTES of sets is not held by one task; its buckets (the nodes that share a key) are searched in rounds instead: nodes are paired with the first few of their bucket, then with
+those up to four times as many, and so on, pairs that links already join or whose fingerprints are not near left out, until no bucket has a pair that is neither looked at nor joined.
 """
 
 from __future__ import annotations
@@ -30,19 +34,27 @@ from lectern.llm.components import components
 SHINGLE = 5
 #: The least similarity, as a fraction.
 SIMILARITY = (4, 5)
-BANDS, ROWS = 24, 4
+#: Blocks of a fingerprint, bits of each, and how many of these are flipped.
+BLOCKS, BITS, WEAK = 24, 16, 2
+#: Bits beside the blocks that texts which meet are compared by, and how many may differ: of two sets of similarity 0.8, 2 pairs in 100,000 differ in more, as do all but one pair in a million of unlike ones.
+CHECKED, NEAR_CHECKED = 128, 37
+#: Bits of all that may differ: of two sets of similarity 0.8, 5 pairs in a million differ in more.
+NEAR = 115
+#: Nodes of a bucket up to which all are compared at once, and from which they are linked without a look.
+ONCE, HOT = 64, 50_000
 #: Nodes of a bucket up to which all pairs are verified at once, the first nodes taken in larger ones, and the growth of their number.
 SMALL, LEADERS, GROWTH = 8, 2, 4
-#: Minima of all that two nodes must share before their sets are compared: by chance, two sets of similarity 0.8 have fewer 5 times in 10 million.
-AGREED = 56
 #: Nodes and bytes of shingles of a block that one task holds.
 BLOCK_NODES, BLOCK_BYTES = 5000, 64 << 20
-#: Shingles whose minima are taken at a time.
-CHUNK = 2048
+#: Shingles whose weights are summed at a time: so many bytes fit 16 bits.
+CHUNK = 256
 
 _RANDOM = np.random.default_rng(42)
-_ADD = _RANDOM.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
-_TIMES = _RANDOM.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+_ADD = _RANDOM.integers(0, 2**64, (BLOCKS * BITS + CHECKED) // 8, np.uint64)
+_TIMES = _RANDOM.integers(0, 2**64, len(_ADD), np.uint64) | np.uint64(1)
+_EVEN = np.uint64(0x00FF00FF00FF00FF)
+#: 16-bit words of a fingerprint that hold bits; after them come the weak bits of each block.
+WORDS = BLOCKS + CHECKED // 16
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -57,33 +69,137 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], simhash.SEED) for a, b in zip(lows, highs, strict=True)), np.uint64, n))
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    """The BANDS x ROWS minima of a set of hashes."""
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+def weights(found: np.ndarray) -> np.ndarray:
+    """The sums of a set's weights, one a bit: each hash gives a byte, twice of which less 255 is the weight."""
+    out = np.zeros((len(_ADD), 8), np.int64)
     for i in range(0, len(found), CHUNK):
-        low = np.minimum(low, ((found[i : i + CHUNK] ^ _ADD) * _TIMES).min(1))
-    return low
+        x = (found[i : i + CHUNK, None] ^ _ADD) * _TIMES
+        x ^= x >> np.uint64(32)
+        out[:, 0::2] += (x & _EVEN).sum(0).view(np.uint16).reshape(-1, 4)
+        out[:, 1::2] += ((x >> np.uint64(8)) & _EVEN).sum(0).view(np.uint16).reshape(-1, 4)
+    return 2 * out.ravel() - 255 * len(found)
 
 
-def bands(low: np.ndarray) -> list[int]:
-    """The signed keys of minima(); none for those of the empty set."""
-    rows = low.reshape(BANDS, ROWS)
-    return [] if (low == 2**64 - 1).all() else [simhash._signed(xxhash.xxh64_intdigest(r.tobytes(), b)) for b, r in enumerate(rows)]
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes in 16-bit words, the blocks first, and the WEAK bits of each block; all 0 for the empty set."""
+    if not len(found):
+        return np.zeros(WORDS + BLOCKS, np.uint16)
+    sums = weights(found)
+    blocks = np.abs(sums[: BLOCKS * BITS]).reshape(BLOCKS, BITS)
+    weak = np.zeros((BLOCKS, BITS), bool)
+    np.put_along_axis(weak, np.argsort(blocks, 1, kind="stable")[:, :WEAK], True, 1)
+    return np.packbits(np.concatenate([sums > 0, weak.ravel()])).view(np.uint16)
 
 
-def _marks(text: Column, shingle: int) -> Column:
-    @F.pandas_udf("node long, bands array<long>, minima binary, shingles binary")
+def keys(prints: np.ndarray) -> np.ndarray:
+    """The keys of fingerprints' balls, a row each: every block with its weak bits flipped in all ways, the block's number above them."""
+    blocks, weak = prints[..., :BLOCKS], prints[..., WORDS:]
+    flips = [np.zeros_like(weak)]
+    for _ in range(WEAK):
+        low = weak & (~weak + np.uint16(1))
+        flips += [f | low for f in flips]
+        weak = weak ^ low
+    number = np.arange(BLOCKS, dtype=np.int32) << BITS
+    return np.concatenate([number | (blocks ^ f).astype(np.int32) for f in flips], -1)
+
+
+#: A fingerprint and its keys by the names that tests know.
+minima = fingerprint
+
+
+def bands(found: np.ndarray) -> list[int]:
+    return keys(found).tolist() if found.any() else []
+
+
+def _marks(text: Column, shingle: int, sets: bool = False) -> Column:
+    """(node, fingerprint) of texts, with their shingles if asked for."""
+
+    @F.pandas_udf("node long, fingerprint binary" + ", shingles binary" * sets)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
-            sets = [shingles(t, shingle) for t in series]
-            lows = [minima(s) for s in sets]
-            yield pd.DataFrame({
-                "node": pd.Series([simhash._signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets], dtype="int64"),
-                "bands": pd.Series([bands(x) for x in lows], dtype=object), "minima": pd.Series([x.astype(np.uint16).tobytes() for x in lows], dtype=object),
-                "shingles": pd.Series([s.tobytes() for s in sets], dtype=object),
+            found = [shingles(t, shingle) for t in series]
+            out = pd.DataFrame({
+                "node": pd.Series([simhash._signed(xxhash.xxh64_intdigest(s.tobytes())) for s in found], dtype="int64"),
+                "fingerprint": pd.Series([fingerprint(s).tobytes() for s in found], dtype=object),
             })
-
-    return of(text)
+            yield out.assign(shingles=pd.Series([s.tobytes() for s in found], dtype=object)) if sets else out
+
+    # so called lest a filter on its result move it before a join
+    return of.asNondeterministic()(text)
+
+
+def _balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, node, check, check2) for the keys of each node(node, fingerprint); texts without words have none."""
+    for batch in batches:
+        for a in range(0, len(batch), 1000):
+            part = batch.iloc[a : a + 1000]
+            prints = np.frombuffer(b"".join(part["fingerprint"]), np.uint16).reshape(-1, WORDS + BLOCKS)
+            some = prints.any(1)
+            prints, nodes = prints[some], part["node"].to_numpy(np.int64)[some]
+            found = keys(prints)
+            checks = np.ascontiguousarray(prints[:, BLOCKS:WORDS]).view(np.int64)
+            each = found.shape[1]
+            yield pd.DataFrame({"key": found.ravel(), "node": nodes.repeat(each), "check": checks[:, 0].repeat(each), "check2": checks[:, 1].repeat(each)})
+
+
+def bucket_links(key: np.ndarray, node: np.ndarray, check: np.ndarray, check2: np.ndarray) -> pd.DataFrame:
+    """Links (u, v) that join all nodes of a bucket whose checked bits are near, directly or by way of others; keys are sorted and whole."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    end, many = np.repeat(first + size, size), np.repeat(size, size)
+    check, check2 = check.view(np.uint64), check2.view(np.uint64)
+    near = lambda i, j: np.bitwise_count(check[i] ^ check[j]) + np.bitwise_count(check2[i] ^ check2[j]) <= NEAR_CHECKED
+    low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at = np.flatnonzero(many <= ONCE)
+    for d in range(1, ONCE):
+        at = at[at + d < end[at]]
+        if not len(at):
+            break
+        hit = at[near(at, at + d)]
+        low.append(hit), high.append(hit + d)
+    low, high = np.concatenate(low), np.concatenate(high)
+    label = np.arange(len(key))
+    while (label[low] != label[high]).any():
+        least = np.minimum(label[low], label[high])
+        np.minimum.at(label, low, least)
+        np.minimum.at(label, high, least)
+        label = label[label]
+    for a, m in zip(first[size > ONCE].tolist(), size[size > ONCE].tolist(), strict=True):
+        if m > HOT:
+            label[a : a + m] = a
+            continue
+        free = np.arange(a, a + m)
+        while len(free):
+            start, free, todo = free[0], free[1:], [free[0]]
+            while todo and len(free):
+                hit = near(free, todo.pop())
+                label[free[hit]] = start
+                todo += free[hit].tolist()
+                free = free[~hit]
+    linked = np.flatnonzero(label != np.arange(len(key)))
+    return pd.DataFrame({"u": node[linked], "v": node[label[linked]]})
+
+
+def _linker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of the buckets of a partition sorted by key; a bucket that goes on in the next batch waits for it."""
+    waiting: list[list[np.ndarray]] = []
+
+    def close() -> pd.DataFrame:
+        out = bucket_links(*(np.concatenate([np.empty(0, np.int64), *(w[i] for w in waiting)]) for i in range(4)))
+        waiting.clear()
+        return out
+
+    for batch in batches:
+        rows = [batch[c].to_numpy(np.int64) for c in ("key", "node", "check", "check2")]
+        if not len(batch):
+            continue
+        whole = int(np.searchsorted(rows[0], rows[0][-1]))
+        if whole or waiting and waiting[0][0][-1] != rows[0][0]:  # else one bucket, which may go on for many batches
+            if whole:
+                waiting.append([x[:whole] for x in rows])
+            yield close()
+        waiting.append([x[whole:] for x in rows])
+    yield close()
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -107,60 +223,48 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, bands, minima, shingles) of nodes(node), made from the text of one document of each: shingles take twice the room of texts, and most nodes need none."""
-    chosen = marked.groupBy("node").agg(F.min(F.struct("name", "key")).alias("of")).join(nodes, "node", "left_semi").select("node", "of.name")
-    texts = docs.join(chosen, "name").select("node", _marks(F.col("text"), shingle).alias("s"))
+    """(node, fingerprint, shingles) of nodes(node), made from the text of one document of each: shingles take twice the room of texts, and most nodes need none."""
+    # written, so that few of them are known to be few
+    chosen = cut(marked.groupBy("node").agg(F.min(F.struct("name", "key")).alias("of")).join(nodes, "node", "left_semi").select("node", "of.name"))
+    texts = docs.join(chosen, "name").select("node", _marks(F.col("text"), shingle, sets=True).alias("s"))
     # names hold a hash only
-    return texts.filter("node = s.node").groupBy("node").agg(*[F.first(f"s.{c}").alias(c) for c in ("bands", "minima", "shingles")])
+    return texts.filter("node = s.node").groupBy("node").agg(*[F.first(f"s.{c}").alias(c) for c in ("fingerprint", "shingles")])
 
 
 def grown(block: pd.DataFrame) -> pd.DataFrame:
-    """(node, component) of a block(node, bands, minima, shingles): the classes of its nodes by their least node; nodes that are alone are left out."""
-    block = block.sort_values("node", ignore_index=True)
+    """(node, component) of a block(node, fingerprint, shingles): the classes of its nodes by their least node; nodes that are alone are left out."""
+    block = block.rename(columns={"minima": "fingerprint"}).sort_values("node", ignore_index=True)
     nodes, sets = block["node"].to_numpy(np.int64), [np.frombuffer(x, np.uint64) for x in block["shingles"]]
-    sizes, free, label = np.array([len(x) for x in sets]), np.ones(len(nodes), bool), np.full(len(nodes), -1)
-    marks = np.stack([np.frombuffer(x, np.uint16) for x in block["minima"]])
-    by_band: dict[int, list[int]] = {}
-    for i, keys in enumerate(block["bands"]):
-        for key in keys:
-            by_band.setdefault(key, []).append(i)
-    shared = {key: np.array(found) for key, found in by_band.items() if len(found) > 1}
-    for start in range(len(nodes)):
-        if not free[start]:
-            continue
-        free[start], todo = False, [start]
-        while todo:
+    sizes, label = np.array([len(x) for x in sets]), np.full(len(nodes), -1)
+    bits = np.stack([np.frombuffer(x, np.uint64, WORDS // 4) for x in block["fingerprint"]])
+    # nodes that have a class are never looked at again
+    free, is_free = np.arange(len(nodes)), np.ones(len(nodes), bool)
+    while len(free):
+        start, free = free[0], free[1:]
+        todo = [start]
+        while todo and len(free):
             u = todo.pop()
-            near = []
-            for key in block["bands"][u]:
-                if key in shared:
-                    # nodes that have a class are never looked at again
-                    shared[key] = shared[key][free[shared[key]]]
-                    near.append(shared[key])
-            if not near:
-                continue
-            near = np.unique(np.concatenate(near))
+            near = free[np.bitwise_count(bits[free] ^ bits[u]).sum(1) <= NEAR]
             near = near[(SIMILARITY[1] * np.minimum(sizes[near], sizes[u])) >= SIMILARITY[0] * np.maximum(sizes[near], sizes[u])]
-            near = near[(marks[near] == marks[u]).sum(1) >= AGREED]
             if not len(near):
                 continue
             flat = np.concatenate([sets[i] for i in near])
             hit = sets[u][np.minimum(np.searchsorted(sets[u], flat), sizes[u] - 1)] == flat
             both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
             alike = near[SIMILARITY[1] * both >= SIMILARITY[0] * (sizes[near] + sizes[u] - both)]
-            free[alike] = False
             label[alike] = label[start] = start
+            is_free[alike] = False
+            free = free[is_free[free]]
             todo += alike.tolist()
     some = label >= 0
     return pd.DataFrame({"node": nodes[some], "component": nodes[label[some]]})
 
 
-def link(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, component): the classes of nodes that links join, from docs(name, text) and marked(name, key, node, bands); nodes without a link are not in it."""
-    rows = marked.select("node", F.explode("bands").alias("band")).distinct()
-    counts = rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("m")).filter("m > 1")
-    members = cut(rows.join(counts, "band"))
-    blocks = cut(components(members.select(F.col("node").alias("u"), F.col("least").alias("v"))))
+def link(docs: DataFrame, marked: DataFrame, distinct: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(node, component): the classes of nodes that links join, from docs(name, text), marked(name, key, node) and distinct(node, fingerprint); nodes without a link are not in it."""
+    schema = "key int, node long, check long, check2 long"
+    balls = distinct.select("node", "fingerprint").mapInPandas(_balls, schema)
+    blocks = cut(components(balls.repartition("key").sortWithinPartitions("key").mapInPandas(_linker, "u long, v long")))
     sets = cut(_sets(docs, marked, blocks.select("node"), shingle))
     held = sets.join(blocks.withColumnRenamed("component", "block"), "node")
     sizes = cut(held.groupBy("block").agg(F.count("*").alias("nodes"), F.sum(F.octet_length("shingles")).alias("bytes")))
@@ -171,19 +275,22 @@ def link(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE) -> DataFram
         out = whole
     else:
         inside = blocks.join(large, blocks["component"] == large["block"], "left_semi").select("node")
-        out = whole.union(_rounds(members.join(inside, "node", "left_semi").select("node", "band", "m"), sets.select("node", "shingles")))
+        members = cut(sets.join(inside, "node", "left_semi").select("node", "fingerprint").mapInPandas(_balls, schema).withColumnRenamed("key", "band"))
+        shared = members.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+        out = whole.union(_rounds(members.join(shared, "band"), sets.select("node", "shingles")))
     return out
 
 
 def _rounds(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """link()'s classes for members(node, band, m) of blocks that no task holds."""
+    """link()'s classes for members(node, band, m, check, check2) of blocks that no task holds."""
     bucket = W.partitionBy("band")
     members = cut(members.withColumn("rank", F.row_number().over(bucket.orderBy("node")) - 1).withColumn("label", F.col("node")))
     classes, start, end = None, 0, LEADERS
     while True:
         leads = members.filter((F.col("rank") >= start) & ((F.col("rank") < end) | (F.col("m") <= SMALL)))
-        leads = leads.select("band", F.col("rank").alias("first"), F.col("node").alias("u"), F.col("label").alias("with"))
-        pairs = leads.join(members, "band").filter("rank > first and label <> with").select("u", F.col("node").alias("v")).distinct()
+        leads = leads.select("band", F.col("rank").alias("first"), F.col("node").alias("u"), F.col("label").alias("with"), F.col("check").alias("a"), F.col("check2").alias("b"))
+        near = f"bit_count(a ^ check) + bit_count(b ^ check2) <= {NEAR_CHECKED}"
+        pairs = leads.join(members, "band").filter(f"rank > first and label <> with and {near}").select("u", F.col("node").alias("v")).distinct()
         found = cut(_verified(pairs, sets))
         # classes so far stand for the links that made them: one row a node, however many pairs were verified
         classes = components(found if classes is None else found.union(classes.select("node", "component")))
@@ -191,7 +298,7 @@ def _rounds(members: DataFrame, sets: DataFrame) -> DataFrame:
         labelled = labelled.withColumn("label", F.coalesce("label", "node"))
         # buckets that links join as a whole are done
         open_ = labelled.withColumns({"low": F.min("label").over(bucket), "high": F.max("label").over(bucket)}).filter("low <> high")
-        members = cut(open_.select("node", "band", "m", "rank", "label"))
+        members = cut(open_.select("node", "band", "m", "rank", "label", "check", "check2"))
         if members.isEmpty():
             return classes
         start, end = end, end * GROWTH
@@ -206,10 +313,10 @@ def near_duplicates(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE
     # key and hash of the text, so that rows of one key, or of none, are told apart
     name = F.concat_ws("|", F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.col(key).cast("string"))
     named_docs = docs.select(F.col(key).alias("key"), name.alias("name"), F.col(text).alias("text"))
-    marked = cut(named_docs.select("key", "name", _marks(F.col("text"), shingle).alias("s")).select("key", "name", "s.node", "s.bands"))
-    distinct = cut(marked.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("__n")))
+    marked = cut(named_docs.select("key", "name", _marks(F.col("text"), shingle).alias("s")).select("key", "name", "s.node", "s.fingerprint"))
+    distinct = cut(marked.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("__n"), F.first("fingerprint").alias("fingerprint")))
     total = distinct.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    named = cut(distinct.join(link(named_docs.select("name", "text"), marked, shingle), "node", "left").select("node", "least", "__n", F.coalesce("component", "node").alias("label")))
+    named = cut(distinct.join(link(named_docs.select("name", "text"), marked, distinct, shingle), "node", "left").select("node", "least", "__n", F.coalesce("component", "node").alias("label")))
     classes = named.groupBy("label").agg(F.min("least").alias("component"))
     return join_counted(marked.select("key", "node"), named.join(classes, "label").select("node", "__n", "component"), "node", total).select(F.col("key").alias(key), "node", "component")
 

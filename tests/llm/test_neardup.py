@@ -90,3 +90,28 @@ def test_comparisons_in_a_hot_group(monkeypatch):
 
     assert asked(800, 1, 3) < 0.1 * 800 * 799 / 2
     assert asked(800, 4, 9) < 0.45 * 800 * 799 / 2
+
+
+def test_candidates_come_from_simhash(spark):
+    """Fingerprints are SimHash: bits of summed weights, whose differences follow the angle; pairs at the limit of the similarity meet, short ones too, as do buckets of any size."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    found, different = rnd.integers(0, 2**64, 300, np.uint64), []
+    parts = sum(neardup.weights(found[i : i + 1]) for i in range(300))
+    assert (neardup.weights(found) == parts).all() and abs(parts).max() < 300 * 256
+    bits = np.unpackbits(neardup.fingerprint(found)[: neardup.WORDS].view(np.uint8))
+    assert (bits == (parts > 0)).all() and not neardup.fingerprint(found[:0]).any() and neardup.bands(neardup.fingerprint(found[:0])) == []
+    for n in [5] * 100 + [10] * 100 + [100] * 100:
+        union = rnd.integers(0, 2**64, n, np.uint64)
+        a, b = (neardup.fingerprint(x) for x in (union[: -n // 10 or -1], np.concatenate([union[: n * 4 // 5], union[n - n // 10 :]])))
+        assert set(neardup.bands(a)) & set(neardup.bands(b))
+        different.append(int(np.bitwise_count(a[: neardup.WORDS] ^ b[: neardup.WORDS]).sum()))
+    assert max(different) <= neardup.NEAR and abs(np.mean(different[200:]) - 512 * np.arccos(8 / 9) / np.pi) < 3
+    # near fingerprints of a bucket are one tree, whatever their number; others have no link
+    for copies in (30, 300):
+        check, check2 = (np.concatenate([np.full(copies, -5), rnd.integers(-(2**63), 2**63, 40)]) for _ in range(2))
+        key, node = np.full(len(check), 7), np.arange(len(check))
+        links = neardup.bucket_links(key, node, check, check2)
+        assert sorted(links["u"]) == list(range(1, copies)) and set(links["v"]) == {0}
+    assert not len(neardup.bucket_links(np.arange(9), np.arange(9), np.zeros(9, np.int64), np.zeros(9, np.int64)))
