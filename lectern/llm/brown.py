@@ -61,7 +61,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def group(word: bytes) -> int:
-    return zlib.crc32(word.decode("utf-8", "replace")[-ENDING:].encode()) % GROUPS
+    tail = word[-ENDING:]
+    return zlib.crc32(tail if tail.isascii() else word.decode("utf-8", "replace")[-ENDING:].encode()) % GROUPS
 
 
 @dataclass
@@ -80,8 +81,11 @@ class Model:
     denominator: np.ndarray
 
     def unit(self, word: bytes) -> int:
-        known = self.frequent.get(word)
-        return known[0] if known else FREQUENT + group(word)
+        return self.units([word])[0]
+
+    def units(self, words: list[bytes]) -> list[int]:
+        frequent = self.frequent
+        return [frequent[w][0] if w in frequent else FREQUENT + group(w) for w in words]
 
 
 def _numbers() -> defaultdict:
@@ -356,10 +360,11 @@ def refine(found: DataFrame, frequent: list[bytes], class_of: np.ndarray, bigram
                         own = np.array([class_of[_unit(w.encode(), units)] for w in part["word"]])
                         part = part.assign(**{"class": own})
                     else:
-                        own = part["class"].to_numpy(np.int64)
-                        best = choose(own, *by_class(context, times, sizes), pairs, looked_up)
+                        own = part["class"].to_numpy(np.int64, copy=True)
                         now = np.array([zlib.crc32(w.encode()) >> 8 & 1 for w in part["word"]]) == turn % 2
-                        own = np.where(now, best, own)
+                        if now.any():
+                            theirs = np.repeat(now, sizes)
+                            own[now] = choose(own[now], *by_class(context[theirs], times[theirs], sizes[now]), pairs, looked_up)
                         part = part.assign(**{"class": own})
                     cells += np.bincount(context * (CLASSES + 1) + np.repeat(own, sizes), times, len(cells)).astype(np.int64)
                     yield part
@@ -423,12 +428,11 @@ def _scorer(model: Model):
     def score(shard: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         keys, out = [], []
         for r, (_, found, _, texts, _) in zip(shard.itertuples(index=False), _shards(iter([shard])), strict=True):
-            unit = np.array([*map(model.unit, found), END], np.int64)
+            unit = np.array([*model.units(found), END], np.int64)
             before = model.context[unit]
             c, k = np.zeros(len(found) + 1), before.copy()
-            for i, w in enumerate(found):
-                if w in model.frequent:
-                    _, c[i], k[i] = model.frequent[w]
+            for i in np.flatnonzero(unit < FREQUENT).tolist():
+                _, c[i], k[i] = model.frequent[found[i]]
             answer = answers["answer"].to_numpy(np.int64)
             at = answer & 2**24 - 1
             c[at], k[at] = answer >> 31, answer >> 24 & 127

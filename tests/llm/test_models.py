@@ -270,3 +270,18 @@ def test_url_filter_learns_from_every_url(spark):
     """Each URL has a suffix of its own: before, 20,000 URLs at most were learned from."""
     urls = spark.range(21_000).select(F.concat(F.lit("https://x.s"), "id", F.lit(".t"), "id", F.lit("/p")).alias("url"), (F.col("id") % 2).alias("label"))
     assert urlfilter.train(urls).suffixes.count() == 21_000
+
+
+def test_groups_of_words_read_their_endings_alone():
+    """A word that ends in ASCII is not decoded; whatever it ends in, its group is that of its last code points."""
+
+    class Undecoded(bytes):
+        def decode(self, *_):
+            raise AssertionError("decoded")
+
+    words = ["a", "walking", "größe", "straße", "maßab", "日本語", "日abc", "é", "ab\U0001f600", "x́yz"]
+    plain = [zlib.crc32(w[-brown.ENDING :].encode()) % brown.GROUPS for w in words]
+    assert [brown.group(w.encode()) for w in words] == plain
+    assert [brown.group(Undecoded(w.encode())) for w in ("a", "walking", "日abc")] == [plain[i] for i in (0, 1, 6)]
+    model = brown.Model(0, 0, 0, {b"walking": (7, 3, 2)}, None, None, None)
+    assert model.units([w.encode() for w in words]) == [model.unit(w.encode()) for w in words] == [7 if w == "walking" else brown.FREQUENT + g for w, g in zip(words, plain)]
