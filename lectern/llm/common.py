@@ -74,6 +74,25 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Bits of split_by()'s bitmap for each key, the most it has, and those of a row of it.
+BITS_A_KEY, MOST_BITS, ROW_BITS = 16, 1 << 30, 1 << 15
+
+
+def split_by(rows: DataFrame, key: str, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be in some(key), and rows whose key surely isn't, told apart without a shuffle of rows.
+
+    A bitmap of hashed keys is broadcast, 2 bytes a key (to the next power of two). A row that surely isn't in some may be a null
+    key, about one of 16 others that are not in it may be in the first part: what is in some is for a join to say.
+    """
+    bits = 1 << max(ROW_BITS.bit_length() - 1, min(MOST_BITS.bit_length() - 1, (BITS_A_KEY * some.count() - 1).bit_length()))
+    place = F.xxhash64(key).bitwiseAND(bits - 1)
+    row, bit = (place / ROW_BITS).cast("int"), place % ROW_BITS
+    bitmap = some.filter(F.col(key).isNotNull()).select(row.alias("__row"), bit.alias("__bit")).groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("__row", row).join(F.broadcast(bitmap), "__row", "left").withColumn("__in", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull())
+    return found.filter("__in").select(*rows.columns), found.filter("not __in").select(*rows.columns)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that cut() wrote and nothing reads any more."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm import simhash
-from lectern.llm.common import cut, join_counted
+from lectern.llm.common import cut, join_counted, split_by
 from lectern.llm.components import components
 
 SHINGLE = 5
@@ -40,6 +40,8 @@ BLOCKS, BITS, WEAK = 24, 16, 2
 CHECKED, NEAR_CHECKED = 128, 37
 #: Bits of all that may differ: of two sets of similarity 0.8, 5 pairs in a million differ in more.
 NEAR = 115
+#: First bits of a block by which its keys are dealt out: keys of a ball that agree in them travel as one record.
+SLOT_BITS = 6
 #: Nodes of a bucket up to which all are compared at once, and from which they are linked without a look.
 ONCE, HOT = 64, 50_000
 #: Nodes of a bucket up to which all pairs are verified at once, the first nodes taken in larger ones, and the growth of their number.
@@ -91,16 +93,26 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
     return np.packbits(np.concatenate([sums > 0, weak.ravel()])).view(np.uint16)
 
 
-def keys(prints: np.ndarray) -> np.ndarray:
-    """The keys of fingerprints' balls, a row each: every block with its weak bits flipped in all ways, the block's number above them."""
-    blocks, weak = prints[..., :BLOCKS], prints[..., WORDS:]
+#: What a node has in a slot: a block and its weak bits, of which the slot's keys are made, and the bits by which texts that meet are compared.
+_RECORD = np.dtype([("block", "<u2"), ("weak", "<u2"), ("node", "<i8"), ("check", "<i8"), ("check2", "<i8")])
+#: Bits of a block that don't tell its slot.
+_INSIDE = BITS - SLOT_BITS
+
+
+def _flips(weak: np.ndarray) -> list[np.ndarray]:
+    """The weak bits in all ways."""
     flips = [np.zeros_like(weak)]
     for _ in range(WEAK):
         low = weak & (~weak + np.uint16(1))
         flips += [f | low for f in flips]
         weak = weak ^ low
-    number = np.arange(BLOCKS, dtype=np.int32) << BITS
-    return np.concatenate([number | (blocks ^ f).astype(np.int32) for f in flips], -1)
+    return flips
+
+
+def keys(prints: np.ndarray) -> np.ndarray:
+    """The keys of fingerprints' balls, a row each: every block with its weak bits flipped in all ways, the block's number above them."""
+    blocks, number = prints[..., :BLOCKS], np.arange(BLOCKS, dtype=np.int32) << BITS
+    return np.concatenate([number | (blocks ^ f).astype(np.int32) for f in _flips(prints[..., WORDS:])], -1)
 
 
 #: A fingerprint and its keys by the names that tests know.
@@ -112,15 +124,15 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def _marks(text: Column, shingle: int, sets: bool = False) -> Column:
-    """(node, fingerprint) of texts, with their shingles if asked for."""
+    """(node, fingerprint, number of shingles) of texts, with their shingles if asked for."""
 
-    @F.pandas_udf("node long, fingerprint binary" + ", shingles binary" * sets)
+    @F.pandas_udf("node long, fingerprint binary, size long" + ", shingles binary" * sets)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
             found = [shingles(t, shingle) for t in series]
             out = pd.DataFrame({
                 "node": pd.Series([simhash._signed(xxhash.xxh64_intdigest(s.tobytes())) for s in found], dtype="int64"),
-                "fingerprint": pd.Series([fingerprint(s).tobytes() for s in found], dtype=object),
+                "fingerprint": pd.Series([fingerprint(s).tobytes() for s in found], dtype=object), "size": pd.Series([len(s) for s in found], dtype="int64"),
             })
             yield out.assign(shingles=pd.Series([s.tobytes() for s in found], dtype=object)) if sets else out
 
@@ -142,6 +154,26 @@ def _balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": found.ravel(), "node": nodes.repeat(each), "check": checks[:, 0].repeat(each), "check2": checks[:, 1].repeat(each)})
 
 
+def _least(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least that links join with each of n."""
+    label = np.arange(n)
+    while (label[low] != label[high]).any():
+        least = np.minimum(label[low], label[high])
+        np.minimum.at(label, low, least)
+        np.minimum.at(label, high, least)
+        label = label[label]
+    return label
+
+
+def slot_links(slot: int, records: list[bytes]) -> pd.DataFrame:
+    """bucket_links() of all buckets of a slot, what they join linked once: each node to the least one."""
+    links = bucket_links(*entries(slot, records))
+    nodes, at = np.unique(np.concatenate([links["u"], links["v"]]), return_inverse=True)
+    label = _least(len(nodes), *np.split(at, 2))
+    linked = np.flatnonzero(label != np.arange(len(nodes)))
+    return pd.DataFrame({"u": nodes[linked], "v": nodes[label[linked]]})
+
+
 def bucket_links(key: np.ndarray, node: np.ndarray, check: np.ndarray, check2: np.ndarray) -> pd.DataFrame:
     """Links (u, v) that join all nodes of a bucket whose checked bits are near, directly or by way of others; keys are sorted and whole."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
@@ -158,12 +190,7 @@ def bucket_links(key: np.ndarray, node: np.ndarray, check: np.ndarray, check2: n
         hit = at[near(at, at + d)]
         low.append(hit), high.append(hit + d)
     low, high = np.concatenate(low), np.concatenate(high)
-    label = np.arange(len(key))
-    while (label[low] != label[high]).any():
-        least = np.minimum(label[low], label[high])
-        np.minimum.at(label, low, least)
-        np.minimum.at(label, high, least)
-        label = label[label]
+    label = _least(len(key), low, high)
     for a, m in zip(first[size > ONCE].tolist(), size[size > ONCE].tolist(), strict=True):
         if m > HOT:
             label[a : a + m] = a
@@ -180,26 +207,49 @@ def bucket_links(key: np.ndarray, node: np.ndarray, check: np.ndarray, check2: n
     return pd.DataFrame({"u": node[linked], "v": node[label[linked]]})
 
 
-def _linker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of the buckets of a partition sorted by key; a bucket that goes on in the next batch waits for it."""
-    waiting: list[list[np.ndarray]] = []
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(slot, records): the _RECORDs of a batch of node(node, fingerprint), a row a slot, so that their size doesn't depend on the number of partitions; texts without words have none."""
+    for batch in batches:
+        prints = np.frombuffer(b"".join(batch["fingerprint"]), np.uint16).reshape(-1, WORDS + BLOCKS)
+        some = prints.any(1)
+        prints, nodes = prints[some], batch["node"].to_numpy(np.int64)[some]
+        checks = np.ascontiguousarray(prints[:, BLOCKS:WORDS]).view(np.int64)
+        blocks, weak = prints[:, :BLOCKS], prints[:, WORDS:]
+        # of keys in one slot, the one without a flip inside it stands for all
+        sent = [(*np.nonzero((f & (2**_INSIDE - 1)) == 0), f) for f in _flips(weak)]
+        slot = np.concatenate([at << SLOT_BITS | (blocks[i, at] ^ f[i, at]) >> _INSIDE for i, at, f in sent])
+        node, block = np.concatenate([i for i, _, _ in sent]), np.concatenate([at for _, at, _ in sent])
+        order = np.argsort(slot, kind="stable")
+        slot, node, block = slot[order], node[order], block[order]
+        held = np.empty(len(slot), _RECORD)
+        held["block"], held["weak"], held["node"], held["check"], held["check2"] = blocks[node, block], weak[node, block], nodes[node], checks[node, 0], checks[node, 1]
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.empty(0, np.int64)
+        ends = np.append(first, len(slot))[1:]
+        yield pd.DataFrame({"slot": slot[first].astype(np.int32), "records": pd.Series([held[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], dtype=object)})
+
+
+def entries(slot: int, records: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, node, check and check2 of a slot's keys, sorted by key and node: so the root of a bucket's tree is its least node, and buckets of a group of near copies have few roots."""
+    held = np.frombuffer(b"".join(records), _RECORD)
+    found = [held["block"] ^ f for f in _flips(held["weak"])]
+    inside = [np.flatnonzero(k >> _INSIDE == slot & (2**SLOT_BITS - 1)) for k in found]
+    key, held = np.concatenate([k[i] for k, i in zip(found, inside, strict=True)]).astype(np.int64), held[np.concatenate(inside)]
+    order = np.lexsort((held["node"], key))
+    return key[order], *(held[c][order] for c in ("node", "check", "check2"))
 
-    def close() -> pd.DataFrame:
-        out = bucket_links(*(np.concatenate([np.empty(0, np.int64), *(w[i] for w in waiting)]) for i in range(4)))
-        waiting.clear()
-        return out
 
+def _linker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of the buckets of a partition's slots; it is sorted by slot, and a slot that goes on in the next batch waits for it."""
+    at, waiting = -1, []
     for batch in batches:
-        rows = [batch[c].to_numpy(np.int64) for c in ("key", "node", "check", "check2")]
-        if not len(batch):
-            continue
-        whole = int(np.searchsorted(rows[0], rows[0][-1]))
-        if whole or waiting and waiting[0][0][-1] != rows[0][0]:  # else one bucket, which may go on for many batches
-            if whole:
-                waiting.append([x[:whole] for x in rows])
-            yield close()
-        waiting.append([x[whole:] for x in rows])
-    yield close()
+        for slot, records in zip(batch["slot"].tolist(), batch["records"], strict=True):
+            if slot != at and waiting:
+                yield slot_links(at, waiting)
+                waiting = []
+            at = slot
+            waiting.append(records)
+    if waiting:
+        yield slot_links(at, waiting)
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -223,17 +273,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, fingerprint, shingles) of nodes(node), made from the text of one document of each: shingles take twice the room of texts, and most nodes need none."""
-    # written, so that few of them are known to be few
-    chosen = cut(marked.groupBy("node").agg(F.min(F.struct("name", "key")).alias("of")).join(nodes, "node", "left_semi").select("node", "of.name"))
-    texts = docs.join(chosen, "name").select("node", _marks(F.col("text"), shingle, sets=True).alias("s"))
-    # names hold a hash only
-    return texts.filter("node = s.node").groupBy("node").agg(*[F.first(f"s.{c}").alias(c) for c in ("fingerprint", "shingles")])
+    """(node, block, fingerprint, shingles) of nodes(node, block), made from the text of one document of each: shingles take twice the room of texts, and most nodes need none."""
+    chosen = cut(marked.groupBy("node").agg(F.min(F.struct("name", "key")).alias("of")).join(nodes, "node").select("node", "block", "of.name"))
+    asked, _ = split_by(docs, "name", chosen.select("name"))
+    # names hold a hash only; repeated rows give one set
+    texts = asked.join(chosen, "name").groupBy("name", F.md5("text").alias("digest")).agg(*[F.first(c).alias(c) for c in ("node", "block", "text")])
+    return texts.select("node", "block", _marks(F.col("text"), shingle, sets=True).alias("s")).filter("node = s.node").select("node", "block", "s.fingerprint", "s.shingles")
 
 
 def grown(block: pd.DataFrame) -> pd.DataFrame:
     """(node, component) of a block(node, fingerprint, shingles): the classes of its nodes by their least node; nodes that are alone are left out."""
-    block = block.rename(columns={"minima": "fingerprint"}).sort_values("node", ignore_index=True)
+    block = block.rename(columns={"minima": "fingerprint"}).drop_duplicates("node").sort_values("node", ignore_index=True)
     nodes, sets = block["node"].to_numpy(np.int64), [np.frombuffer(x, np.uint64) for x in block["shingles"]]
     sizes, label = np.array([len(x) for x in sets]), np.full(len(nodes), -1)
     bits = np.stack([np.frombuffer(x, np.uint64, WORDS // 4) for x in block["fingerprint"]])
@@ -261,24 +311,20 @@ def grown(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def link(docs: DataFrame, marked: DataFrame, distinct: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, component): the classes of nodes that links join, from docs(name, text), marked(name, key, node) and distinct(node, fingerprint); nodes without a link are not in it."""
-    schema = "key int, node long, check long, check2 long"
-    balls = distinct.select("node", "fingerprint").mapInPandas(_balls, schema)
-    blocks = cut(components(balls.repartition("key").sortWithinPartitions("key").mapInPandas(_linker, "u long, v long")))
-    sets = cut(_sets(docs, marked, blocks.select("node"), shingle))
-    held = sets.join(blocks.withColumnRenamed("component", "block"), "node")
-    sizes = cut(held.groupBy("block").agg(F.count("*").alias("nodes"), F.sum(F.octet_length("shingles")).alias("bytes")))
-    fits = (F.col("nodes") <= BLOCK_NODES) & (F.col("bytes") <= BLOCK_BYTES)
-    whole = cut(held.join(sizes.filter(fits), "block").groupBy("block").applyInPandas(grown, "node long, component long"))
-    large = sizes.filter(~fits).select("block")
+    """(node, component): the classes of nodes that links join, from docs(name, text), marked(name, key, node) and distinct(node, fingerprint, size); nodes without a link are not in it."""
+    records = distinct.select("node", "fingerprint").mapInPandas(_records, "slot int, records binary")
+    linked = components(records.repartition("slot").sortWithinPartitions("slot").mapInPandas(_linker, "u long, v long"))
+    blocks = cut(linked.join(distinct.select("node", "size"), "node").select("node", F.col("component").alias("block"), "size"))
+    fits = (F.count("*") <= BLOCK_NODES) & (8 * F.sum("size") <= BLOCK_BYTES)
+    large = cut(blocks.groupBy("block").agg(fits.alias("fits")).filter("not fits").select("block"))
     if large.isEmpty():
-        out = whole
-    else:
-        inside = blocks.join(large, blocks["component"] == large["block"], "left_semi").select("node")
-        members = cut(sets.join(inside, "node", "left_semi").select("node", "fingerprint").mapInPandas(_balls, schema).withColumnRenamed("key", "band"))
-        shared = members.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
-        out = whole.union(_rounds(members.join(shared, "band"), sets.select("node", "shingles")))
-    return out
+        return cut(_sets(docs, marked, blocks, shingle).groupBy("block").applyInPandas(grown, "node long, component long"))
+    small = blocks.join(F.broadcast(large), "block", "left_anti")
+    whole = cut(_sets(docs, marked, small, shingle).groupBy("block").applyInPandas(grown, "node long, component long"))
+    sets = cut(_sets(docs, marked, blocks.join(F.broadcast(large), "block", "left_semi"), shingle))
+    members = cut(sets.select("node", "fingerprint").mapInPandas(_balls, "key int, node long, check long, check2 long").withColumnRenamed("key", "band"))
+    shared = members.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+    return whole.union(_rounds(members.join(shared, "band"), sets.select("node", "shingles")))
 
 
 def _rounds(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -313,8 +359,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE
     # key and hash of the text, so that rows of one key, or of none, are told apart
     name = F.concat_ws("|", F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.col(key).cast("string"))
     named_docs = docs.select(F.col(key).alias("key"), name.alias("name"), F.col(text).alias("text"))
-    marked = cut(named_docs.select("key", "name", _marks(F.col("text"), shingle).alias("s")).select("key", "name", "s.node", "s.fingerprint"))
-    distinct = cut(marked.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("__n"), F.first("fingerprint").alias("fingerprint")))
+    marked = cut(named_docs.select("key", "name", _marks(F.col("text"), shingle).alias("s")).select("key", "name", "s.node", "s.fingerprint", "s.size"))
+    distinct = cut(marked.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("__n"), F.first("fingerprint").alias("fingerprint"), F.first("size").alias("size")))
     total = distinct.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     named = cut(distinct.join(link(named_docs.select("name", "text"), marked, distinct, shingle), "node", "left").select("node", "least", "__n", F.coalesce("component", "node").alias("label")))
     classes = named.groupBy("label").agg(F.min("least").alias("component"))

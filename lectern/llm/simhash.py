@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, join_counted, table
+from lectern.llm.common import cut, join_counted, split_by, table
 from lectern.llm.components import components
 
 SHINGLE = 3
@@ -210,13 +210,15 @@ def keep_one(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> Da
 
 
 def keep_least(docs: DataFrame, key: str, classes: DataFrame) -> DataFrame:
-    """docs with one row of each class of classes(key, component)."""
-    # the same string is the key of the join and of the window, so texts are shuffled once
-    name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null"))
-    found = classes.filter(F.col(key).eqNullSafe(F.col("component"))).select(name.alias("__key")).distinct()
+    """docs with one row of each class of classes(key, component), which has a row for each row of docs."""
+    name = lambda c: F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit("null"))
+    keys = classes.groupBy(name(key).alias("__key")).agg(F.count("*").alias("__n"), F.max(F.col(key).eqNullSafe(F.col("component"))).alias("__kept"))
+    keys = cut(keys.filter("__n > 1 or not __kept").select("__key", "__kept"))
+    # a row whose key is kept and has no other row stays as it is: only the rest is shuffled, by the key of the join and of the window alike
+    asked, sure = split_by(docs.withColumn("__key", name(key)), "__key", keys.select("__key"))
     order = [F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")]
-    kept = docs.withColumn("__key", name).join(found, "__key").withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy(*order)))
-    return kept.filter("__n = 1").select(*docs.columns)
+    kept = asked.join(keys, "__key", "left").filter("coalesce(__kept, true)").withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy(*order)))
+    return sure.select(*docs.columns).union(kept.filter("__n = 1").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,50 @@ def test_candidates_come_from_simhash(spark):
         links = neardup.bucket_links(key, node, check, check2)
         assert sorted(links["u"]) == list(range(1, copies)) and set(links["v"]) == {0}
     assert not len(neardup.bucket_links(np.arange(9), np.arange(9), np.zeros(9, np.int64), np.zeros(9, np.int64)))
+
+
+def test_near_copies_have_few_roots(spark, monkeypatch):
+    """The links of a group of near copies stay well below one for each node and key (96): a slot's trees start from their least nodes, and a slot has one link a node."""
+    rnd, asked, real = random.Random(4), [], neardup.components
+    base = [f"h{k}" for k in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(edited(rnd, base, rnd.randint(0, 4)))) for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(neardup, "components", lambda links: (asked.append(links.distinct().count()), real(links))[1])
+    found = neardup.near_duplicates(docs, "doc_id", "text").collect()
+    assert len(found) == 400 and {r["component"] for r in found} == {0}
+    assert len(asked) == 1 and 399 <= asked[0] < 20 * len({r["node"] for r in found})
+
+
+def test_records_give_the_keys_of_the_balls():
+    """Every key of a ball is in one slot once, and a record costs the same in any partitioning."""
+    import numpy as np
+    import pandas as pd
+
+    rnd = np.random.default_rng(8)
+    prints = [neardup.fingerprint(rnd.integers(0, 2**64, 40, np.uint64)) for _ in range(50)] + [neardup.fingerprint(np.empty(0, np.uint64))]
+    rows = next(neardup._records(iter([pd.DataFrame({"node": np.arange(51), "fingerprint": [x.tobytes() for x in prints]})])))
+    assert rows["slot"].is_unique and sum(map(len, rows["records"])) < 50 * 1500
+    found = []
+    for slot, records in zip(rows["slot"], rows["records"], strict=True):
+        key, node, check, _ = neardup.entries(slot, [records])
+        assert (np.lexsort((node, key)) == np.arange(len(key))).all() and all(prints[n][neardup.BLOCKS :].view(np.int64)[0] == c for n, c in zip(node, check, strict=True))
+        found += zip(((slot >> neardup.SLOT_BITS) << neardup.BITS | key).tolist(), node.tolist(), strict=True)
+    assert sorted(found) == sorted((k, n) for n in range(50) for k in neardup.bands(prints[n]))
+
+
+def test_rows_are_split_without_a_shuffle(spark):
+    from lectern.llm.common import split_by
+
+    rows = spark.createDataFrame([(str(i),) for i in range(3000)] + [(None,), ("7",)], "name string")
+    some = rows.filter("cast(name as int) % 10 = 0").union(rows.limit(0))
+    maybe, sure = (x.collect() for x in split_by(rows, "name", some))
+    assert len(maybe) + len(sure) == 3002 and {str(i) for i in range(0, 3000, 10)} <= {r["name"] for r in maybe}
+    assert len(maybe) < 300 + 2700 / 8 and (None,) in [tuple(r) for r in sure]
+    none, every = split_by(rows, "name", rows.limit(0))
+    assert none.count() == 0 and every.count() == 3002
+
+
+def test_one_row_a_key_where_keys_repeat(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (1, base), (1, base + " x"), (2, base + " y"), (3, "one that stands alone among them all"), (None, "no key and no copy of this"), (4, None), (5, "")]
+    found = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1, base), rows[4], rows[5], rows[6]], key=str)
