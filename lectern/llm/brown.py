@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +52,8 @@ UNITS = END + 1
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A context and its count; greater counts take several cells.
-_CONTEXT = np.dtype([("unit", "<u2"), ("n", "<u4")])
-_FULL = 2**32 - 1
+_CONTEXT = np.dtype([("unit", "<u2"), ("n", "<u2")])
+_FULL = 2**16 - 1
 
 
 def words(text: str | None) -> list[bytes]:
@@ -88,6 +89,16 @@ class Model:
         return [frequent[w][0] if w in frequent else FREQUENT + group(w) for w in words]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The array compressed, its bytes by planes: those of one place, of which the high ones are mostly 0, lie together."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return planes.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def _numbers() -> defaultdict:
     """A dict that gives every new key the next number."""
     ids = defaultdict()
@@ -96,7 +107,7 @@ def _numbers() -> defaultdict:
 
 
 def number_texts(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame:
-    """The texts in shards, a row each: keys, which texts are for training, their lengths, the numbers of their words and the words."""
+    """The texts in shards, a row each: keys, which texts are for training, their lengths, the numbers of their words (packed), the words and their counts (packed)."""
     kind = docs.schema[key].dataType.simpleString()
     schema = f"shard long, keys array<{kind}>, training array<boolean>, lengths array<long>, ids binary, words binary, n_training binary"
 
@@ -107,7 +118,7 @@ def number_texts(docs: DataFrame, key: str, text: str, training: Column) -> Data
         def shard() -> pd.DataFrame:
             all_ = np.concatenate(numbers)
             seen = np.concatenate([np.empty(0, np.int32), *(x for x, t in zip(numbers, training, strict=True) if t)])
-            row = (task << 32 | made, keys, training, [len(x) for x in numbers], all_.tobytes(), b" ".join(ids), np.bincount(seen, minlength=len(ids)).astype(np.int64).tobytes())
+            row = (task << 32 | made, keys, training, [len(x) for x in numbers], packed(all_), b" ".join(ids), packed(np.bincount(seen, minlength=len(ids)).astype(np.int64)))
             return pd.DataFrame([row], columns=[c.split(" ")[0] for c in schema.split(", ")])
 
         for batch in batches:
@@ -129,8 +140,8 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     """(shard, words, counts of the words in training texts, numbers of each text's words, which are for training)."""
     for batch in batches:
         for r in batch.itertuples(index=False):
-            ids = np.frombuffer(r.ids, np.int32)
-            yield r.shard, r.words.split(), np.frombuffer(r.n_training, np.int64), np.split(ids, np.cumsum(r.lengths)[:-1]), r.training
+            ids = unpacked(r.ids, np.int32)
+            yield r.shard, r.words.split(), unpacked(r.n_training, np.int64), np.split(ids, np.cumsum(r.lengths)[:-1]), r.training
 
 
 def frequent_words(shards: DataFrame) -> list[bytes]:
@@ -138,7 +149,7 @@ def frequent_words(shards: DataFrame) -> list[bytes]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for words_, counts in (row for batch in batches for row in zip(batch["words"], batch["n_training"], strict=True)):
-            n, found = np.frombuffer(counts, np.int64), words_.split()
+            n, found = unpacked(counts, np.int64), words_.split()
             for a in range(0, len(found), HANDED):
                 at = a + np.flatnonzero(n[a : a + HANDED])
                 yield pd.DataFrame({"word": pd.Series([found[i].decode("utf-8", "replace") for i in at.tolist()], dtype=object), "n": n[at]})
@@ -171,9 +182,9 @@ def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
             cells, times = cells[~often], times[~often]
             for a in range(0, len(found), HANDED):
                 low, high = np.searchsorted(cells, [a * UNITS, (a + HANDED) * UNITS])
-                yield _rows([w.decode("utf-8", "replace") for w in found[a : a + HANDED]], cells[low:high] - a * UNITS, times[low:high])
+                yield _rows([w.decode("utf-8", "replace") for w in found[a : a + HANDED]], cells[low:high] - a * UNITS, times[low:high])[["word", "contexts"]]
         cells = np.flatnonzero(hot)
-        yield _rows([*(w.decode() for w in frequent), *[""] * (FREQUENT + 1 - len(frequent))], cells, hot[cells])
+        yield _rows([*(w.decode() for w in frequent), *[""] * (FREQUENT + 1 - len(frequent))], cells, hot[cells])[["word", "contexts"]]
 
     def over_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # sorted by word: what a batch ends with may go on in the next
@@ -200,8 +211,8 @@ def contexts(shards: DataFrame, frequent: list[bytes]) -> DataFrame:
         if last is not None:
             yield _rows([last], rest["unit"].astype(np.int64), rest["n"])
 
-    schema = "word string, n long, contexts binary"
-    return shards.mapInPandas(in_shard, schema).repartition("word").sortWithinPartitions("word").mapInPandas(over_shards, schema)
+    held = shards.mapInPandas(in_shard, "word string, contexts binary").repartition("word").sortWithinPartitions("word")
+    return held.mapInPandas(over_shards, "word string, n long, contexts binary")
 
 
 def _rows(names: list[str], cells: np.ndarray, times: np.ndarray) -> pd.DataFrame:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.llm import brown, htmlcut, langid, pii, urlfilter
@@ -285,3 +286,18 @@ def test_groups_of_words_read_their_endings_alone():
     assert [brown.group(Undecoded(w.encode())) for w in ("a", "walking", "日abc")] == [plain[i] for i in (0, 1, 6)]
     model = brown.Model(0, 0, 0, {b"walking": (7, 3, 2)}, None, None, None)
     assert model.units([w.encode() for w in words]) == [model.unit(w.encode()) for w in words] == [7 if w == "walking" else brown.FREQUENT + g for w, g in zip(words, plain)]
+
+
+def test_numbers_of_words_are_small(spark):
+    """Shards hold well under the 4 bytes a word of plain numbers, and give the same numbers back."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(3000)], [1 / (i + 2) for i in range(3000)], k=500)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string").coalesce(1)
+    shards = brown.number_texts(docs, "doc_id", "text", F.lit(True)).collect()
+    assert sum(len(r["ids"]) for r in shards) < 2 * 500 * 200
+    for shard, found, n, held, _ in brown._shards(iter([pd.DataFrame(shards, columns=shards[0].__fields__)])):
+        texts_of = [[found[i].decode() for i in ids] for ids in held]
+        assert texts_of == [(t or "").split() for t in [*texts, None]][: len(texts_of)] and len(texts_of) == 201
+        assert n.tolist() == [collections.Counter(w for t in texts_of for w in t)[w.decode()] for w in found]
+    for kind in (np.int32, np.int64):
+        assert brown.unpacked(brown.packed(np.array([], kind)), kind).tolist() == [] and brown.unpacked(brown.packed(np.array([-1, 5, 2**31 - 1], kind)), kind).tolist() == [-1, 5, 2**31 - 1]
