@@ -180,6 +180,43 @@ def test_contexts_are_the_same_in_any_shards(spark, monkeypatch):
     assert few == one(docs.coalesce(1)) and sum(n for w, n, _ in few if not w) == 80
 
 
+def test_contexts_travel_in_rows_of_many_words(spark, monkeypatch):
+    """A row for each bucket of words, not for each word; tasks that sum their words in several goes give the same."""
+    rnd = random.Random(23)
+    frequent = [b"the", b"of"]
+    texts = [" ".join(rnd.choices(["The", "of", *(f"w{i}" for i in range(3000))], [900, 600] + [1] * 3000, k=200)) for _ in range(60)] + [None, ""]
+    want = collections.Counter()
+    for t in texts:
+        path = [b"", *((t or "").lower().encode().split()), b""]
+        want.update((w, brown.END if not a else frequent.index(a) if a in frequent else brown.FREQUENT + brown.group(a)) for a, w in zip(path, path[1:]))
+    monkeypatch.setattr(brown, "SHARD_CHARS", 10_000)
+    shards = cut(brown.number_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", F.lit(True)))
+    for summed in (10, 10**6):
+        monkeypatch.setattr(brown, "SUMMED", summed)
+        rows = brown.context_blocks(shards, frequent).toPandas()
+        assert len(rows) <= brown._buckets(spark) < 100
+        found, names = collections.Counter(), []
+        for words, sizes, held in brown._blocks(iter([rows])):
+            names += words
+            for (w, u), n in zip(((w, u) for w, u in zip(np.repeat(np.array(words, object), sizes), held["unit"].tolist())), held["n"].tolist()):
+                found[w, u] += n
+        assert found == want and len(names) == len(set(names)) > 2500
+
+
+def test_texts_are_split_at_ascii_white_space(spark, monkeypatch):
+    texts = ["", None, " ", "  A\tb\x0b\x0cC\r\n", "x\u2003y\x85z \x1c \x1f\xa0 ", "ÀÉ aZ[", "one", "日本 語\n"] + [chr(i) + "Q" + chr(i) for i in range(1, 128)]
+    for chars in (1, 7, 10**6):
+        monkeypatch.setattr(brown, "SHARD_CHARS", chars)
+        docs = spark.createDataFrame([(None if i == 3 else f"k{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+        shards = brown.number_texts(docs, "doc_id", "text", F.col("doc_id") != "k5").toPandas()
+        found = {}
+        for r, (_, names, n, ids, training) in zip(shards.itertuples(index=False), brown._shards(iter([shards])), strict=True):
+            found |= {k: ([names[i].decode() for i in x], bool(use)) for k, x, use in zip(r.keys, ids, training, strict=True)}
+            assert n.tolist() == [sum(int((x == i).sum()) for x, use in zip(ids, training) if use) for i in range(len(names))]
+        low = lambda t: re.findall("[^\x20\x09-\x0d]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+        assert found == {None if i == 3 else f"k{i}": (low(t), i not in (3, 5)) for i, t in enumerate(texts)}
+
+
 def test_no_texts(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert brown.query(spark, str(tmp_path)).count() == 0
