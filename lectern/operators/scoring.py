@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 
 K1, B = 1.2, 0.75
+#: Terms of all queries up to which these, with their counts and weights, are broadcast.
+FEW_TERMS = 200_000
 DENSE_WEIGHT, LEXICAL_WEIGHT = 0.6, 0.4
 
 
@@ -56,24 +58,27 @@ def bm25(units: DataFrame, keys: Sequence[str], queries: DataFrame, scope: Seque
     """(query_id, keys, score): BM25 of every unit that shares a term with a query(query_id, query[, query_scope]).
 
     A term that a query repeats counts repeatedly. query_scope: columns in which a query and its units agree.
-    Queries are the small side; they are broadcast only if Spark finds them small.
+    Queries are the small side. Without a scope, and of FEW_TERMS at most, they are broadcast and texts are dealt out by unit once: all
+    that is counted and summed of a unit stays in its task, so neither postings nor their products with queries are shuffled.
     """
-    tokens = unit_tokens(units, list(dict.fromkeys([*keys, *scope])), text)
+    all_keys = list(dict.fromkeys([*keys, *scope]))
     terms = queries.select("query_id", *query_scope, F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", *query_scope, "term").agg(F.count("*").alias("qtf"))
+    few = not scope and terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    small = F.broadcast if few else lambda df: df
+    tokens = unit_tokens(units.select(*all_keys, text).repartition(*keys) if few else units, all_keys, text)
     asked = terms.select("term").distinct()
-    all_keys = list(dict.fromkeys([*keys, *scope]))
     # outer: of the other Spark makes a filter that finds the tokens a second time; the null of a text without any is in no question
-    posted = tokens.select(*all_keys, "len", F.explode_outer("toks").alias("term")).join(asked, "term", "left_semi").groupBy(*all_keys, "len", "term").agg(F.count("*").alias("tf"))
+    posted = tokens.select(*all_keys, "len", F.explode_outer("toks").alias("term")).join(small(asked), "term", "left_semi").groupBy(*all_keys, "len", "term").agg(F.count("*").alias("tf"))
     df = posted.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     stats = corpus_stats(units.select(*scope, T.token_count(F.col(text)).alias("len")), scope)
-    joined = posted.join(df, [*scope, "term"])
+    joined = posted.join(small(df), [*scope, "term"])
     joined = joined.join(stats, list(scope)) if scope else joined.join(F.broadcast(stats))  # one row
     average = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     length = F.greatest(F.col("len"), F.lit(1))
     gain = idf(F.col("n"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * (length / average)))
     weighted = joined.select(*all_keys, "term", gain.alias("gain"))
     on = [*query_scope, "term"]
-    return weighted.join(terms, on).groupBy("query_id", *keys).agg(exact_sum(F.col("gain") * F.col("qtf")).alias("score"))
+    return weighted.join(small(terms), on).groupBy("query_id", *keys).agg(exact_sum(F.col("gain") * F.col("qtf")).alias("score"))
 
 
 def top_k(scored: DataFrame, by: Sequence[str], order: Sequence[str], k: int, score: str = "score", digits: int = 9) -> DataFrame:
