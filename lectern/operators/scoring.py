@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.sources.tables import stored
 
 K1, B = 1.2, 0.75
 #: Terms of all queries up to which these, with their counts and weights, are broadcast.
@@ -94,6 +95,16 @@ def min_max(score: Column, window) -> Column:
     return (score - low) / F.when(high - low == 0, F.lit(1e-9)).otherwise(high - low)
 
 
+def min_max_by(scored: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
+    """scored, its score scaled to 0..1 in each group as min_max() does. Groups are few: their bounds are broadcast, so rows are neither shuffled nor sorted; they are written once."""
+    c, rows = F.col, stored(scored)
+    bounds = rows.groupBy(*by).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
+    same = [c(f"__rows.{k}").eqNullSafe(c(f"__bounds.{k}")) for k in by]
+    span = c("__high") - c("__low")
+    scaled = ((c(f"__rows.{score}") - c("__low")) / F.when(span == 0, F.lit(1e-9)).otherwise(span)).alias(score)
+    return rows.alias("__rows").join(F.broadcast(bounds).alias("__bounds"), same).select(*[scaled if k == score else c(f"__rows.{k}") for k in scored.columns])
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Over the shorter of two vectors; 0 where one has no length. Null vectors count as empty."""
     none = F.expr("cast(array() as array<double>)")

@@ -3,7 +3,11 @@
 import random
 import re
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
 from lectern.operators import scoring
+from lectern.plans import catalogue
 
 
 def _executed(df):
@@ -25,3 +29,13 @@ def test_products_of_postings_and_queries_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(scoring, "FEW_TERMS", 0)
     joined = scoring.bm25(units, ["unit"], queries)
     assert "hashpartitioning(query_id" in _executed(joined) and rows == sorted(map(tuple, joined.collect())) and len(rows) > 1000
+
+
+def test_bounds_of_groups_need_no_window(spark):
+    rows = spark.createDataFrame([(g, n, float(n % 7)) for g in ("a", "b", None) for n in range(50)] + [("c", 1, 2.0), ("c", 2, 2.0), ("d", 1, None)], "g string, n long, score double")
+    found = scoring.min_max_by(rows, ["g"])
+    assert found.columns == rows.columns and "Window" not in _executed(found)
+    plain = rows.withColumn("score", scoring.min_max(F.col("score"), W.partitionBy("g")))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, found.collect())) == sorted(map(key, plain.collect()))
+    assert "Window" not in _executed(catalogue.queries()["minmax_scores"](spark, "/root/testdata/sf0.001"))
