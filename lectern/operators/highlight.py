@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.locate import locate
-from lectern.operators.matching import occurrences
-from lectern.sources.tables import stored
 
 # Sections by weight (the greatest that fits counts, and 1 at least, so those below 1 change nothing); lengths in tokens by factor; limits.
 SECTION_WEIGHTS = (
@@ -133,13 +131,16 @@ def ground_items(items: DataFrame, selected: DataFrame, by: str = "doc_id", per_
     """(by, n, category, quote, reason, candidate, place): the items(by, n, category, quote, reason) whose quote stands in a candidate(by, rank, text), with the first that has it.
 
     Quotes and candidates are compared lower-cased with white space squeezed; quotes shorter than QUOTE_MINIMUM, and items of other categories, go. In order of n so
-    many of a category are kept and so many in all; place is by category, then n. Items and candidates without ``by`` don't meet.
+    many of a category are kept and so many in all; place is by category, then n. Items and candidates without ``by`` don't meet. Candidates are few and short, as
+    select_passages() gives them: those of a document travel as one row, and each of its items is looked for in them.
     """
     c = F.col
-    asked = stored(items.filter(c("category").isin(*CATEGORIES)).withColumn("__needle", T.normalize_match(c("quote")))).filter(F.length("__needle") >= QUOTE_MINIMUM)
-    texts = selected.select(c(by).alias("doc_id"), c("rank").alias("page"), T.normalize_match(c("text")).alias("text"))
-    first = occurrences(asked.select(c(by).alias("doc_id"), c("__needle").alias("needle")), texts).groupBy("doc_id", "needle").agg(F.min("page").alias("candidate"))
-    found = asked.join(first.select(c("doc_id").alias(by), c("needle").alias("__needle"), "candidate"), [by, "__needle"])
+    asked = items.filter(c("category").isin(*CATEGORIES)).withColumn("__needle", T.normalize_match(c("quote"))).filter(F.length("__needle") >= QUOTE_MINIMUM)
+    passage = F.struct(c("rank").isNull().alias("last"), "rank", T.normalize_match(c("text")).alias("text"))
+    texts = selected.groupBy(by).agg(F.sort_array(F.collect_list(passage)).alias("__texts"))
+    # exploded, so that candidates are searched once: of a filter on them the join makes a condition that searches them again
+    hit = F.explode_outer(F.slice(F.filter("__texts", lambda t: F.contains(t["text"], c("__needle"))), 1, 1))
+    found = asked.join(texts, by).withColumn("__hit", hit).filter("__hit is not null").withColumn("candidate", c("__hit.rank")).drop("__texts", "__needle", "__hit")
     return cap_items(found, [by], "n", per_category, in_all).select(by, "n", "category", "quote", "reason", "candidate", "place")
 
 

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.operators import scoring
+from lectern.operators import highlight, scoring
 from lectern.plans import catalogue
 
 
@@ -39,3 +39,16 @@ def test_bounds_of_groups_need_no_window(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, found.collect())) == sorted(map(key, plain.collect()))
     assert "Window" not in _executed(catalogue.queries()["minmax_scores"](spark, "/root/testdata/sf0.001"))
+
+
+def test_texts_are_dealt_out_once_for_quotes(spark):
+    plan = _executed(catalogue.queries()["grounded_quotes"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("REPARTITION_BY_COL") == 2 and "ENSURE_REQUIREMENTS" not in plan and "regexp_replace" in plan
+
+
+def test_the_first_candidate_of_a_quote(spark):
+    texts = [(1, 3, "Here the CONTROLLER reduces errors by a third."), (1, 2, "So the controller  reduces errors by a third, too."), (1, None, "The plant is only in this one, without rank."), (1, 1, None), (None, 1, "the controller reduces errors by a third")]
+    quotes = ["controller reduces errors by a third", "Controller\nreduces errors by a third", "the plant is only in this one", "nowhere to be found in them", None]
+    items = [(d, n, "claim", q, "r") for d in (1, 2, None) for n, q in enumerate(quotes)]
+    found = highlight.ground_items(spark.createDataFrame(items, "doc_id long, n int, category string, quote string, reason string"), spark.createDataFrame(texts, "doc_id long, rank int, text string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "claim", quotes[0], "r", 2, 1), (1, 1, "claim", quotes[1], "r", 2, 2), (1, 2, "claim", quotes[2], "r", None, 3)]
