@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.locate import locate
-from lectern.operators.matching import occurrences
+from lectern.operators.matching import few, occurrences
 from lectern.sources.tables import stored
 
 # Words and characters of needles and of their variants; lengths of quotes; how many are located, with how many rectangles.
@@ -34,12 +36,10 @@ def variants(needle: Column) -> Column:
     return F.when(F.length(needle) >= VARIANT_MINIMUM, F.filter(F.array_distinct(every), lambda v: F.length(v) >= VARIANT_MINIMUM))
 
 
-def first_pages(needles: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, needle, page): for each needle(doc_id, needle) the first of its document's pages(doc_id, page, text) that holds one of its variants, in any case and with any white space."""
-    asked = needles.select("doc_id", "needle").distinct().select("doc_id", "needle", F.explode(variants(F.col("needle"))).alias("variant"))
-    found = occurrences(asked.select("doc_id", F.col("variant").alias("needle")), pages.select("doc_id", "page", T.normalize_match(F.col("text")).alias("text")))
-    firsts = found.groupBy("doc_id", F.col("needle").alias("variant")).agg(F.min("page").alias("page"))
-    return asked.join(firsts, ["doc_id", "variant"]).groupBy("doc_id", "needle").agg(F.min("page").alias("page"))
+def shortest(needle: Column) -> Column:
+    """The shortest of a needle's variants: as all of them are beginnings of one text, it stands on every page that holds any."""
+    every = F.flatten(F.transform(F.array(needle), variants))
+    return F.array_min(F.transform(every, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
 
 
 def _source() -> Column:
@@ -47,20 +47,26 @@ def _source() -> Column:
     return F.coalesce(filled("anchor_text"), filled("context_text"), filled("text"), F.lit(""))
 
 
-def fill_pages(evidence: DataFrame, pages: DataFrame) -> DataFrame:
+def fill_pages(evidence: DataFrame, pages: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """evidence(doc_id, anchor_text, context_text, text, page_start, page_end) with unknown pages filled by search, ``page_index0`` and ``via``.
 
     A known page is never changed. ``via`` is known, search, search-miss, or no-pages where the document has none. A page is never guessed from where
-    a section stands. Rows stay as many as they are.
+    a section stands. Rows stay as many as they are. columns: those of evidence that the result has (all, if not given); others are neither written nor
+    shuffled. pages(doc_id, page, text) are read several times.
     """
     c = F.col
-    asked = stored(evidence.withColumn("__needle", F.when(c("page_start").isNull(), page_needle(_source()))))
-    found = first_pages(asked.filter("__needle <> ''").select("doc_id", c("__needle").alias("needle")), pages).select(c("doc_id").alias("__doc"), c("needle").alias("__found_needle"), c("page").alias("__page"))
-    have = pages.select(c("doc_id").alias("__with")).distinct()
-    rows = asked.join(found, (c("doc_id") == c("__doc")) & (c("__needle") == c("__found_needle")), "left").join(have, c("doc_id") == c("__with"), "left")
-    via = F.when(c("page_start").isNotNull(), "known").when(c("__page") > 0, "search").when(c("__with").isNotNull(), "search-miss").otherwise("no-pages")
+    kept = [x for x in columns or evidence.columns if x not in ("page_start", "page_end", "page_index0", "via")]
+    # a needle is found first where the shortest of its variants is
+    asked = evidence.withColumn("__needle", F.when(c("page_start").isNull(), shortest(page_needle(_source())))).withColumn("__row", F.monotonically_increasing_id())
+    asked = stored(asked.select(*dict.fromkeys([*kept, "doc_id", "page_start", "page_end"]), "__needle", "__row"))
+    needles = asked.select("doc_id", "__row", c("__needle").alias("needle"))
+    found = occurrences(needles, pages.select("doc_id", "page", T.normalize_match(c("text")).alias("text")), "__row", True, True).groupBy("__row").agg(F.min("page").alias("__page"))
+    # mostly none, or few
+    without = asked.select("doc_id").distinct().join(pages.select("doc_id").distinct(), "doc_id", "left_anti").select(c("doc_id").alias("__without"))
+    without = F.broadcast(without) if few(without) else without
+    rows = asked.join(found, "__row", "left").join(without, c("doc_id") == c("__without"), "left")
+    via = F.when(c("page_start").isNotNull(), "known").when(c("__page") > 0, "search").when(c("__without").isNotNull() | c("doc_id").isNull(), "no-pages").otherwise("search-miss")
     start, end = F.coalesce("page_start", F.when(c("__page") > 0, c("__page"))), F.when(c("page_start").isNull() & (c("__page") > 0), c("__page")).otherwise(c("page_end"))
-    kept = [x for x in evidence.columns if x not in ("page_start", "page_end", "page_index0", "via")]
     return rows.select(*kept, start.alias("page_start"), end.alias("page_end"), F.when(start >= 1, start - 1).alias("page_index0"), via.alias("via"))
 
 
