@@ -25,7 +25,7 @@ def page_needle(text: Column) -> Column:
         start = F.least(F.lit(SKIPPED), F.greatest(F.lit(0), F.size(words) - TAKEN))
         return F.when(F.size(words) < FEW_WORDS, F.left(F.array_join(words, " "), F.lit(FEW_CHARS))).otherwise(F.array_join(F.slice(words, start + 1, F.lit(TAKEN)), " "))
 
-    plain = F.trim(F.regexp_replace(F.regexp_replace(T.whole(text), r"[^A-Za-z0-9_\s\u00A0\uFEFF\p{Z}.,;:%-]", " "), rf"{T.S}+", " "))
+    plain = T.squeeze(F.regexp_replace(T.whole(text), r"[^A-Za-z0-9_\s\u00A0\uFEFF\p{Z}.,;:%-]", " "))
     return F.transform(F.array(F.filter(F.split(plain, " "), lambda w: F.length(w) > 2)), of)[0]
 
 
@@ -38,8 +38,11 @@ def variants(needle: Column) -> Column:
 
 def shortest(needle: Column) -> Column:
     """The shortest of a needle's variants: as all of them are beginnings of one text, it stands on every page that holds any."""
-    every = F.flatten(F.transform(F.array(needle), variants))
-    return F.array_min(F.transform(every, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
+    def of(low):
+        words, cut = F.substring_index(low, " ", VARIANT_WORDS), F.left(low, F.lit(min(VARIANTS)))
+        return F.when(F.length(words).between(VARIANT_MINIMUM, min(VARIANTS)), words).otherwise(cut)
+
+    return F.transform(F.array(needle), lambda n: F.when(F.length(n) >= VARIANT_MINIMUM, F.transform(F.array(F.lower(n)), of)[0]))[0]
 
 
 def _source() -> Column:
